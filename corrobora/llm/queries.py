@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrobora.llm.chat import CHAT_SQL, chat_digest, with_probe
+from corrobora.llm.decontam import contamination_report
+from corrobora.llm.licenses import license_report, license_sql
 from corrobora.llm.packing import pack
 from corrobora.llm.quality import quality_report
 from corrobora.llm.sharding import shard
@@ -24,6 +27,18 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(_documents(spark, sf_dir))
 
@@ -33,7 +48,10 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_rendezvous_sharding, op8_token_files, op9_repetition_quality)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_rendezvous_sharding, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": license_sql(), "op6_chat_formatting": CHAT_SQL}
