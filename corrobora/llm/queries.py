@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corrobora.llm.chat import CHAT_SQL, chat_digest, with_probe
 from corrobora.llm.decontam import contamination_report
+from corrobora.llm.jaccard import jaccard_components
 from corrobora.llm.licenses import license_report, license_sql
 from corrobora.llm.packing import pack
 from corrobora.llm.quality import quality_report
@@ -27,6 +28,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_rendezvous_sharding, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality,
+        op1_best_fit_packing, op2_rendezvous_sharding, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality,
     )
 }
 
