@@ -11,6 +11,7 @@ from corrobora.llm.decontam import contamination_report
 from corrobora.llm.jaccard import jaccard_components
 from corrobora.llm.licenses import license_report, license_sql
 from corrobora.llm.packing import pack
+from corrobora.llm.pii import pii_report
 from corrobora.llm.quality import quality_report
 from corrobora.llm.sharding import shard
 from corrobora.llm.tokenfile import tokenize_to_files
@@ -52,10 +53,14 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_rendezvous_sharding, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality,
+        op1_best_fit_packing, op2_rendezvous_sharding, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality, op10_pii_surrogates,
     )
 }
 
