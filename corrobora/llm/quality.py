@@ -2,9 +2,11 @@
 
 Words are hashed from the text's bytes, n-grams by rolling those hashes, all in
 numpy over blocks of documents. For each n the rule measures the characters of
-words that lie in an n-gram found twice or more in the document; for lines, the
-characters of lines equal to an earlier one. Longer n-grams are looked for only
-where the shorter ones inside them repeat, which loses none.
+words that lie in an n-gram equal to an earlier one of the document; for lines,
+the characters of lines equal to an earlier one. A first occurrence does not
+count, so a heading said again at a text's end costs it once. Longer n-grams
+are looked for only where the shorter ones inside them repeat, which loses
+none.
 
 Defined results: a null or empty text has no words and fails; a null doc_id is
 kept; rows are judged one by one, so ties and repeated rows change nothing; an
@@ -88,7 +90,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     word_chars = np.diff(chars)
     for k in lengths:
         at = repeated(k, at)
-        out[f"dup_{k}gram_chars"] = by_doc(np.where(covered(k, at), word_chars, 0), first)
+        later = at[_again(windows(hashes, k)[at] ^ salt[doc[at]])] if len(at) else at
+        out[f"dup_{k}gram_chars"] = by_doc(np.where(covered(k, later), word_chars, 0), first)
     line_starts, line_ends, line_first = spans(data, offsets, _NOT_NEWLINE)
     solid = np.concatenate([[0], np.cumsum(NON_SPACE[data])])
     full = solid[line_ends] > solid[line_starts]
