@@ -15,6 +15,7 @@ from corrobora.llm.pii import pii_report
 from corrobora.llm.quality import quality_report
 from corrobora.llm.sharding import shard
 from corrobora.llm.tokenfile import tokenize_to_files
+from corrobora.llm.wrapper import extract
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(_documents(spark, sf_dir))
 
@@ -60,7 +65,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_rendezvous_sharding, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_chat_formatting, op8_token_files, op9_repetition_quality, op10_pii_surrogates,
+        op1_best_fit_packing, op2_rendezvous_sharding, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_chat_formatting, op7_html_extraction, op8_token_files, op9_repetition_quality, op10_pii_surrogates,
     )
 }
 
