@@ -1,0 +1,5 @@
+"""Queries over the driver's tables: name -> (function, oracle SQL or None)."""
+
+from corrobora.plans import evaluation
+
+QUERIES = {**evaluation.QUERIES}
