@@ -14,11 +14,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corrobora.functions.text import JS_SPACE
 
 LEAST = 12
-SCHEMA = "status string, verified boolean, verified_text string, segments array<struct<text:string,found:boolean,located:boolean>>"
+_SEGMENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("found", T.BooleanType()), T.StructField("located", T.BooleanType())])
+SCHEMA = T.StructType([T.StructField("status", T.StringType()), T.StructField("verified", T.BooleanType()), T.StructField("verified_text", T.StringType()), T.StructField("segments", T.ArrayType(_SEGMENT))])
 
 #: Named entities that are decoded.
 NAMED = {
@@ -128,12 +130,12 @@ def _verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=["status", "verified", "verified_text", "segments"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

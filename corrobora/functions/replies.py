@@ -7,8 +7,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCHEMA = "verdict string, confidence int, comments string, reason_type string, source_quote string"
+SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n == "confidence" else T.StringType()) for n in ("verdict", "confidence", "comments", "reason_type", "source_quote")])
 _FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```")
 _PROSE = re.compile(r"verdict[\s:\"']+([A-Z][A-Z _]*)", re.I)
 _PREFIXES = [("NOT", "NOT SUPPORTED"), ("PARTIAL", "PARTIALLY SUPPORTED"), ("UNAVAIL", "SOURCE UNAVAILABLE"), ("SOURCE", "SOURCE UNAVAILABLE"), ("SUPPORT", "SUPPORTED")]

@@ -1,5 +1,5 @@
 """Queries over the driver's tables: name -> (function, oracle SQL or None)."""
 
-from corrobora.plans import evaluation
+from corrobora.plans import evaluation, evidence
 
-QUERIES = {**evaluation.QUERIES}
+QUERIES = {**evaluation.QUERIES, **evidence.QUERIES}
