@@ -182,16 +182,6 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, short: in
         yield from run(buffer_g, buffer_c, buffer_n)
 
 
-def _cluster_sets(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
-    """The whole sets of clusters' classes; a row whose text is of another class (a doc_id used twice) gives none."""
-    for rows, sets in _sets(batches, k, lower):
-        ok = [len(s) > 0 and class_id(s) == c for s, c in zip(sets, rows.column("cid").to_pylist(), strict=True)]
-        kept = rows.filter(pa.array(ok))
-        names = [x for x in rows.schema.names if x != "text"]
-        shingles = pa.array([s.tobytes() for s, x in zip(sets, ok, strict=True) if x], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(kept.column(x) for x in names), shingles], [*names, "shingles"])
-
-
 class LocalIndex:
     """Inverted lists of a group of sets; a list holds set numbers in ascending order."""
 
@@ -235,10 +225,20 @@ class LocalIndex:
         return self.owner[np.repeat(first - total, size) + np.arange(int(size.sum()))]
 
 
-def linked_groups(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links inside a group of sets (or between its two blocks): each class's root in the group and its number of linked rows."""
-    frame = frame.drop_duplicates("cid").sort_values("cid")
-    sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+def linked_groups(frame: pd.DataFrame, k: int, lower: bool, num: int, den: int) -> pd.DataFrame:
+    """Links inside a group of texts (or between its two blocks): each class's root in the group and its number of linked rows.
+
+    A row whose text is of another class (a doc_id used twice) is none of the group.
+    """
+    frame = frame.drop_duplicates(["cid", "text"]).sort_values("cid")
+    sets = list(shingle_sets(*buffers(pa.array(frame["text"], pa.string())), k, lower))
+    own = np.array([len(s) > 0 and class_id(s) == c for s, c in zip(sets, frame["cid"], strict=True)], dtype=bool)
+    frame, sets = frame[own], [s for s, x in zip(sets, own.tolist(), strict=True) if x]
+    if frame["cid"].duplicated().any():  # texts that differ, with one set
+        first = ~frame["cid"].duplicated().to_numpy()
+        frame, sets = frame[first], [s for s, x in zip(sets, first.tolist(), strict=True) if x]
+    if not sets:
+        return pd.DataFrame({"cid": [], "root": [], "links": []}).astype("int64")
     cids, sizes, copies = frame["cid"].to_numpy(), frame["n"].to_numpy(), frame["copies"].to_numpy()
     side = frame["block"].to_numpy()
     across = frame["bi"].iloc[0] != frame["bj"].iloc[0]
@@ -305,12 +305,12 @@ def linked_classes(docs: DataFrame, k: int = 3, lower: bool = True, num: int = 9
     sizes = classes.select("cid", "key", "copies", "n").join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
     weight = sizes.groupBy("cluster").agg(F.expr(f"(sum(n) + {block_shingles - 1}) div {block_shingles}").cast("int").alias("parts"))
     members = materialize(sizes.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "members")
-    texts = _keyed(docs).select("key", "text").join(members, "key").select("text", "cid", "copies", "n", "cluster", "parts", "block")
-    sets = texts.mapInArrow(partial(_cluster_sets, k=k, lower=lower), "cid long, copies long, n long, cluster long, parts int, block int, shingles binary")
+    # one plan at every size: members are a share of all rows and no table to broadcast
+    sets = _keyed(docs).select("key", "text").join(members.hint("merge"), "key").select("text", "cid", "copies", "n", "cluster", "parts", "block")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sets.select("*", other.alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return linked_groups(frame, num, den)
+        return linked_groups(frame, k, lower, num, den)
 
     linked = dealt.groupBy("cluster", "bi", "bj").applyInPandas(run, "cid long, root long, links long")
     linked = materialize(linked, "linked")
