@@ -75,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, compatible: bool = False) -> DataFr
     if not compatible:
         table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
         return table.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in table.columns))
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     header = _split(spark.read.text(path).first()[0])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
