@@ -18,6 +18,7 @@ from corrobora.functions.text import claim_hash, revision_id, source_text, sourc
 from corrobora.functions.urls import source_key
 from corrobora.operators.citations import extract_citations
 from corrobora.sources.fetch import fetch_articles, resolve_sources
+from corrobora.sources.shared import materialize
 
 
 def outcomes(articles: DataFrame, citations: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def outcomes(articles: DataFrame, citations: DataFrame) -> DataFrame:
 
 def process(candidates: DataFrame, article: Callable, source: Callable) -> tuple[DataFrame, DataFrame]:
     """(articles with outcomes, citations with sources) of candidates (page_id, title, revision_id)."""
-    articles = fetch_articles(candidates, article)
+    articles = materialize(fetch_articles(candidates, article), "articles")  # read twice, fetched once
     citations = extract_citations(articles.select(F.col("page_id").alias("doc_id"), "html"))
-    return outcomes(articles, citations), resolve_sources(citations, source)
+    return outcomes(articles, citations), materialize(resolve_sources(citations, source), "sources")
 
 
 def ask(rows: DataFrame, model: Callable[[str], str], prompt: Column) -> DataFrame:
