@@ -1,13 +1,17 @@
-"""Commands: compare, analyze, ensemble and inspect over files of rows.
+"""Commands over files of rows: compare, analyze, ensemble, inspect, convert, run, extract, select, sweep, verify.
 
-Exit codes: 0, 2 for a wrong use or nothing to compare.
+What leaves the process is named as ``module:function`` and imported. Exit
+codes: 0, 2 for a wrong use or nothing to compare; ``verify`` also has 3 (no
+such article), 4 (article not to be had), 5 (no such citation), 6 (no source
+address), 7 (no source), 9, 10 and 11 (the model's side).
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +19,24 @@ from pyspark.sql.types import _parse_datatype_string
 
 from corrobora import reports
 from corrobora.functions import verdicts as V
+from corrobora.functions.quotes import verify as check_quote
+from corrobora.functions.replies import parse
+from corrobora.functions.urls import wiki_title
+from corrobora.operators import benchmark as B
+from corrobora.operators import citations as X
 from corrobora.operators import compare as C
 from corrobora.operators import ensemble as E
+from corrobora.operators import findings as K
 from corrobora.operators import metrics as M
 from corrobora.operators import runs as R
+from corrobora.operators import wice as W
 from corrobora.schemas import DATASET, RESULTS
 from corrobora.session import session
-from corrobora.sources.files import read_rows, write_rows
+from corrobora.sources.changes import RecentChanges
+from corrobora.sources.fetch import exit_code
+from corrobora.sources.files import read_csv, read_jsonl, read_log, read_rows, write_log, write_rows
+from corrobora.sources.shared import materialize
+from corrobora.streaming import sweep as S
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +78,55 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--provider")
     p.add_argument("--status", choices=["exact", "partial", "wrong", "error"], default="wrong")
     p.add_argument("--limit", type=int, default=20)
+    p = sub.add_parser("convert")
+    p.add_argument("--claims", required=True)
+    p.add_argument("--subclaims", required=True)
+    p.add_argument("--split", required=True)
+    p.add_argument("--output", required=True)
+    p = sub.add_parser("run")
+    p.add_argument("--dataset", required=True)
+    p.add_argument("--results", required=True)
+    p.add_argument("--models", required=True, help="module:function that gives {provider: callable}")
+    p.add_argument("--providers")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--version")
+    p.add_argument("--resume", action="store_true")
+    p.add_argument("--concurrency", type=int, default=5)
+    p = sub.add_parser("extract")
+    p.add_argument("--input", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--article", required=True, help="module:function(url) -> html")
+    p.add_argument("--source", required=True, help="module:function(url, page) -> {content, status, error}")
+    p.add_argument("--version")
+    p.add_argument("--rows")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--dry-run", action="store_true")
+    p = sub.add_parser("select")
+    for table in ("links", "targets", "pages"):
+        p.add_argument(f"--{table}", required=True)
+    p.add_argument("--criterion", default="failed-verification")
+    p.add_argument("--after", type=int, default=0)
+    p.add_argument("--max", type=int, default=20)
+    p = sub.add_parser("sweep")
+    p.add_argument("--pages", required=True, help="module:function(wiki, start, end, token) -> (changes, next token)")
+    p.add_argument("--wikis", default="en.wikipedia.org")
+    p.add_argument("--match", required=True)
+    p.add_argument("--lookback-hours", default="48")
+    p.add_argument("--log", required=True)
+    p = sub.add_parser("verify")
+    p.add_argument("url")
+    p.add_argument("number")
+    p.add_argument("--article", required=True, help="module:function(title, revision) -> {html, status, error}")
+    p.add_argument("--source", required=True, help="module:function(url, page) -> {content, status, error}")
+    p.add_argument("--model", required=True, help="module:function(prompt) -> reply")
     return top
 
 
+def _named(name: str):
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def compare(spark: SparkSession, a: argparse.Namespace, out) -> int:
     if a.noise_floor < 0:
         raise SystemExit(2)
@@ -134,9 +195,134 @@ def inspect(spark: SparkSession, a: argparse.Namespace, out) -> int:
     return 0
 
 
+CLAIM = "id string, label string, claim string, evidence array<string>, supporting_sentences array<array<int>>, meta struct<id: string, claim_title: string, claim_section: string, claim_context: string>"
+
+
+def convert(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    claims, subclaims = (read_jsonl(spark, path, _parse_datatype_string(CLAIM)) for path in (a.claims, a.subclaims))
+    flat = claims.select(F.col("meta.id").alias("id"), "label", "claim", "evidence", "supporting_sentences", "meta.claim_title", "meta.claim_section", "meta.claim_context")
+    subs = subclaims.select(F.regexp_extract("meta.id", "-([0-9]+)$", 1).try_cast("int").alias("pos"), F.col("meta.id").alias("id"), "label")
+    rows = W.convert(flat, subs, a.split)
+    write_rows(rows, a.output, {"split": a.split})
+    for r in W.summary(rows).orderBy("tally", "value").collect():
+        print(f"{r['tally']} {r['value']}: {r['n']}", file=out)
+    return 0
+
+
+def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    models = _named(a.models)()
+    wanted = a.providers.split(",") if a.providers else list(models)
+    if unknown := [p for p in wanted if p not in models]:
+        print(f"unknown providers: {', '.join(unknown)} (known: {', '.join(models)})", file=sys.stderr)
+        return 2
+    dataset = load_dataset(spark, a.dataset)
+    if a.version:
+        dataset = dataset.where(F.col("dataset_version") == a.version)
+    if a.limit:
+        dataset = R.by_number(dataset).limit(a.limit)
+    older = load_results(spark, a.results) if a.resume else None
+    kept = R.reload(older, wanted, resume=True) if older is not None else None
+    fresh = materialize(B.run(dataset, {p: models[p] for p in wanted}, {p: p for p in wanted}, a.concurrency, kept), "results")  # asked once
+    both = kept.drop("pos").unionByName(fresh.withColumn("timestamp", F.col("timestamp").cast("string")), allowMissingColumns=True) if kept is not None else fresh
+    write_rows(both, a.results, {"run_at": datetime.now(timezone.utc).isoformat()})
+    for r in M.run_summary(fresh, F.col("correct")).orderBy("provider").collect():
+        print(f"{r['provider']}: {r['exact']}/{r['total']} exact, {r['partial']} partial, {r['wrong']} wrong, {r['errors']} errors", file=out)
+    return 0
+
+
+#: Headings of the table of citations to check.
+HEADINGS = {"Article URL": "article_url", "Citation number": "citation_number", "Citation instance": "occurrence", "Ground truth": "ground_truth", "Dataset version": "dataset_version", "Claim text override": "claim_override", "Source URL override": "url_override"}
+
+
+def extract(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    table = read_csv(spark, a.input, compatible=True).withColumnRenamed("_row", "row")
+    for heading, column in HEADINGS.items():
+        table = table.withColumn(column, F.nullif(F.col(heading), F.lit("")) if heading in table.columns else F.lit(None).cast("string"))
+    rows = table.select("row", "article_url", "citation_number", F.col("occurrence").try_cast("int").alias("occurrence"), "ground_truth", "dataset_version", "claim_override", "url_override")
+    if a.version:
+        rows = rows.where(F.coalesce("dataset_version", F.lit("v1")) == a.version)
+    if a.rows:
+        rows = rows.where(F.concat(F.lit("row_"), F.col("row").cast("string")).isin([x.strip() for x in a.rows.split(",") if x.strip()]))
+    if a.limit:
+        rows = rows.orderBy("row").limit(a.limit)
+    if a.dry_run:
+        print(f"{rows.count()} citations of {rows.select('article_url').distinct().count()} articles", file=out)
+        return 0
+    entries = materialize(B.extract_dataset(rows, _named(a.article), _named(a.source)), "dataset")
+    write_rows(R.by_number(entries), a.output, {"extracted_at": datetime.now(timezone.utc).date().isoformat(), "version_filter": a.version})
+    for r in entries.groupBy("extraction_status").count().orderBy("extraction_status").collect():
+        print(f"{r[0]}: {r[1]}", file=out)
+    return 0
+
+
+def select(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    links, targets, pages = (spark.read.parquet(p) for p in (a.links, a.targets, a.pages))
+    for row in K.candidates(links, targets, pages, K.criterion(a.criterion), a.after, a.max).toJSON().collect():
+        print(row, file=out)
+    return 0
+
+
+def sweep(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    hours = int(a.lookback_hours) if a.lookback_hours.isdigit() else 48
+    now = datetime.now(timezone.utc)
+    stamp = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
+    spark.dataSource.register(RecentChanges)
+    log, failed = read_log(spark, a.log), []
+    for wiki in [w.strip() for w in a.wikis.split(",") if w.strip()]:
+        options = {"wikis": wiki, "pages": a.pages, "start": stamp(now - timedelta(hours=hours)), "end": stamp(now)}
+        try:
+            fresh = materialize(S.sweep(spark.read.format("recent_changes").options(**options).load(), log, a.match, F.lit(stamp(now))), "sweep")
+        except Exception as error:  # the other wikis are still swept
+            failed.append(wiki)
+            print(f"{wiki}: {str(error).splitlines()[0]}", file=sys.stderr)
+            continue
+        print(f"{wiki}: {fresh.count()} new", file=out)
+        log = log.unionByName(fresh)
+    write_log(materialize(log, "log"), a.log)
+    return 1 if failed else 0
+
+
+def verify(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    title = spark.range(1).select(wiki_title(F.lit(a.url))).first()[0]
+    if not title or not a.number.isdigit():
+        print("an article's address and a citation's number are needed", file=sys.stderr)
+        return 2
+    oldid = dict(x.partition("=")[::2] for x in a.url.partition("?")[2].split("&")).get("oldid", "")
+    got = _named(a.article)(title, int(oldid) if oldid.isdigit() else None)
+    if not got.get("html"):
+        return 3 if got.get("status") == 404 else 4
+    page = spark.createDataFrame([(title, got["html"])], "doc_id string, html string")
+    cited = X.by_number(X.extract_citations(page), a.number).first()
+    if cited is None:
+        return 5
+    if not cited["url"]:
+        return 6
+    source = _named(a.source)(cited["url"], cited["page_num"])
+    if not source.get("content"):
+        return 7
+    try:
+        reply = _named(a.model)(user_prompt_text(cited["claim_text"], source["content"]))
+    except Exception as error:
+        return exit_code(str(error))
+    said = parse(reply)
+    if said["verdict"] == "PARSE_ERROR":
+        return 11
+    quote = check_quote(source["content"], said["source_quote"])
+    print(f"Claim: {cited['claim_text']}\nSource: {cited['url']}\nVerdict: {said['verdict']} ({said['confidence']})\n{said['comments']}\nQuote: {quote['status']} {quote['verified_text']}".rstrip(), file=out)
+    return 0
+
+
+def user_prompt_text(claim: str, content: str) -> str:
+    body = content.partition("Source Content:\n")[2] or content
+    return f'Claim: "{claim}"\n\nSource text:\n{body}'
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = _parser().parse_args(argv)
-    return {"compare": compare, "analyze": analyze, "ensemble": ensemble, "inspect": inspect}[a.command](spark or session(), a, out)
+    return COMMANDS[a.command](spark or session(), a, out)
+
+
+COMMANDS = {f.__name__: f for f in (compare, analyze, ensemble, inspect, convert, run, extract, select, sweep, verify)}
 
 
 if __name__ == "__main__":

@@ -26,12 +26,13 @@ def section_title(article: Column, citation: Column, check: Column) -> Column:
     return F.concat(F.lit("Feedback: "), title, F.when(number != "", F.concat(F.lit(" ["), number, F.lit("]"))).otherwise(""), F.lit(" (check "), F.coalesce(check, F.lit("unknown")), F.lit(")"))
 
 
-def section_body(fields: Mapping[str, Column]) -> Column:
+def section_body(fields: Mapping[str, Column], marker: str = "check") -> Column:
     """A section's text: the check's details where known, the editor's verdict, and a place to explain.
 
     fields: article_url, article_title, citation_number, claim_text, source_url,
     verdict, comments, provider, model, corrected_verdict, check_id, revision_id,
-    revision_url; each may be missing.
+    revision_url; each may be missing. ``marker`` names the hidden line by which
+    a section and its check are joined.
     """
     get = lambda n: fields.get(n, F.lit(None).cast("string"))
     has = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
@@ -49,7 +50,7 @@ def section_body(fields: Mapping[str, Column]) -> Column:
     return F.concat_ws(
         "\n\n", F.when(details != "", F.concat(F.lit("{{hidden begin|title=Check details}}\n"), details, F.lit("\n{{hidden end}}"))),
         F.when(has(get("corrected_verdict")), F.concat(F.lit("'''Editor says it should be:''' "), _text(get("corrected_verdict")))),
-        F.lit("'''Editor's explanation:''' <!-- Write your explanation here, then sign and publish. -->"), F.concat(F.lit("<!-- source-verifier check: "), F.coalesce(get("check_id"), F.lit("unknown")), F.lit(" -->")),
+        F.lit("'''Editor's explanation:''' <!-- Write your explanation here, then sign and publish. -->"), F.concat(F.lit(f"<!-- {marker}: "), F.coalesce(get("check_id"), F.lit("unknown")), F.lit(" -->")),
     )
 
 

@@ -63,8 +63,8 @@ def test_feedback(spark):
     fields = {"article_url": F.lit("https://w/A"), "article_title": F.lit("A  b"), "citation_number": F.lit("3"), "claim_text": F.lit("c <nowiki>"), "verdict": F.lit("NOT SUPPORTED"), "provider": F.lit("p"), "model": F.lit("m"), "check_id": F.lit("ab12"), "revision_id": F.lit("77")}
     title, body, empty, url = spark.range(1).select(B.section_title(F.lit(" A  b"), F.lit("3<"), F.lit("ab12")), B.section_body(fields), B.section_body({}), B.comment_url(fields, "User talk:X", "User:X/p")).first()
     assert title == "Feedback: A b [3] (check ab12)"
-    assert body.split("\n")[:2] == ["{{hidden begin|title=Check details}}", "* '''Article:''' [https://w/A A b], citation [3], revision 77"] and "* '''Tool's verdict:''' NOT SUPPORTED (p, m)" in body and "<nowiki>c</nowiki>" in body and body.endswith("<!-- source-verifier check: ab12 -->")
-    assert empty.startswith("'''Editor's explanation:'''") and empty.endswith("check: unknown -->")
+    assert body.split("\n")[:2] == ["{{hidden begin|title=Check details}}", "* '''Article:''' [https://w/A A b], citation [3], revision 77"] and "* '''Tool's verdict:''' NOT SUPPORTED (p, m)" in body and "<nowiki>c</nowiki>" in body and body.endswith("<!-- check: ab12 -->")
+    assert empty.startswith("'''Editor's explanation:'''") and empty.endswith("<!-- check: unknown -->")
     assert url.startswith("https://en.wikipedia.org/w/index.php?title=User+talk%3AX&action=edit&section=new&preloadtitle=Feedback%3A+A+b+%5B3%5D")
     entries = {"articleUrl": "entry.1", "claimText": "entry.2", "llmQuote": "entry.PLACEHOLDER_Q"}
     assert spark.range(1).select(B.submission_url("https://f/v", entries, {"claimText": F.lit("a b"), "articleUrl": F.lit(""), "llmQuote": F.lit("q")})).first()[0] == "https://f/v?usp=pp_url&entry.2=a+b"
