@@ -10,6 +10,7 @@ from corrobora.llm.chat import CHAT_SQL, chat_digest, with_probe
 from corrobora.llm.decontam import contamination_report
 from corrobora.llm.jaccard import jaccard_components
 from corrobora.llm.licenses import license_report, license_sql
+from corrobora.llm.oracles import JACCARD_SQL, contamination_sql, quality_sql
 from corrobora.llm.packing import pack
 from corrobora.llm.pii import pii_report
 from corrobora.llm.quality import quality_report
@@ -69,4 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": license_sql(), "op6_chat_formatting": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": JACCARD_SQL, "op4_license_scan": license_sql(), "op5_decontamination": contamination_sql(), "op6_chat_formatting": CHAT_SQL, "op9_repetition_quality": quality_sql(),
+}
