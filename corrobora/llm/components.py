@@ -32,25 +32,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: each upper end has one link and no lower end is an upper one. With u > v these are the smallest nodes."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b, longs); root is its component's smallest node."""
-    edges = materialize(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges",
-    )
-    state = _state(edges)
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(ROUNDS):
-        if not state[0]:
+        if _settled(edges):
             break
         older, edges = edges, materialize(_star(_star(edges, True), False), "edges")
         forget(older)
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
