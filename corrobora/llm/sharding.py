@@ -33,8 +33,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-F.array_max(F.array(*shards))["shard"]).cast("int")
 
 
-def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "doc_id", bucket_rows: int = 100_000) -> DataFrame:
-    """Shard and slot of every row, and its shard if one more of the mean weight is added."""
+def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "doc_id") -> DataFrame:
+    """Shard and slot of every row, and its shard if one more of the mean weight is added.
+
+    Slots are numbered in as many sub-buckets of each shard as the session has
+    shuffle partitions, 64 at least: a cluster for more rows has more of them.
+    """
     grown = [*weights, sum(weights) / len(weights)]
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -43,7 +47,7 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "do
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), grown).alias("grown_shard"),
     )
-    buckets = 64
+    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
     sums = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
