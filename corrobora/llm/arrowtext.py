@@ -134,14 +134,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(out)
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k consecutive entries (row borders are the caller's business)."""
+def windows(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each run of k consecutive entries, or of those that start ``at`` (row borders are the caller's business)."""
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, dtype=_U)
-    out = hashes[:m] * _U(0xD6E8FEB86659FD93)
+    out = (hashes[:m] if at is None else hashes[at]) * _U(0xD6E8FEB86659FD93)
     for i in range(1, k):
-        out = mix64(out + hashes[i : i + m]) * _U(0xD6E8FEB86659FD93)
+        out = mix64(out + (hashes[i : i + m] if at is None else hashes[at + i])) * _U(0xD6E8FEB86659FD93)
     return mix64(out ^ _U(k))
 
 

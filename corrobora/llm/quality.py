@@ -67,13 +67,15 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     salt = mix64(np.arange(n, dtype=np.uint64) + np.uint64(1))
     hashes = span_hashes(data, starts, ends)
 
-    def repeated(k: int, at: np.ndarray) -> np.ndarray:
-        """Starts, among ``at``, of k-word windows that occur twice or more in their document."""
+    def repeated(k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts, among ``at``, of k-word windows that occur twice or more in their document, and the windows' keys."""
         at = at[at + k <= len(hashes)]
         at = at[doc[at] == doc[at + k - 1]]
         if not len(at):
-            return at
-        return at[_twice(windows(hashes, k)[at] ^ salt[doc[at]])]
+            return at, np.zeros(0, np.uint64)
+        keys = windows(hashes, k, at) ^ salt[doc[at]]
+        twice = _twice(keys)
+        return at[twice], keys[twice]
 
     def covered(k: int, at: np.ndarray) -> np.ndarray:
         edge = np.zeros(len(hashes) + 1, np.int64)
@@ -85,13 +87,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
         total = np.concatenate([[0], np.cumsum(values)])
         return total[bounds[1:]] - total[bounds[:-1]]
 
-    at = repeated(3, np.arange(len(hashes)))
+    at, _ = repeated(3, np.arange(len(hashes)))
     out["n_repeat_words"] = by_doc(covered(3, at), first)
     word_chars = np.diff(chars)
     for k in lengths:
-        at = repeated(k, at)
-        later = at[_again(windows(hashes, k)[at] ^ salt[doc[at]])] if len(at) else at
-        out[f"dup_{k}gram_chars"] = by_doc(np.where(covered(k, later), word_chars, 0), first)
+        at, keys = repeated(k, at)
+        out[f"dup_{k}gram_chars"] = by_doc(np.where(covered(k, at[_again(keys)]), word_chars, 0), first)
     line_starts, line_ends, line_first = spans(data, offsets, _NOT_NEWLINE)
     solid = np.concatenate([[0], np.cumsum(NON_SPACE[data])])
     full = solid[line_ends] > solid[line_starts]
