@@ -60,6 +60,16 @@ def test_licenses(spark):
     assert got[6]["n_unknown"] == 1 and got[7]["n_license_sentences"] == 0
 
 
+def test_licenses_without_the_word_or_wrapped(spark):
+    texts = {
+        "Available under CC BY-SA 4.0.": "CC-BY-SA", "Released under the 3-clause BSD terms.": "BSD-3-Clause", "Creative Commons Attribution 4.0 International": "CC-BY", "Dedicated to the public\ndomain by us.": "Public-Domain", "(c) We. All rights\nreserved": "Proprietary",
+        "In no event shall we pay.": "", "nothing of the kind": "",
+    }
+    got = {r["doc_id"]: r for r in license_report(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i]["licenses"] for i in range(len(texts))] == list(texts.values())
+    assert got[5]["sentence_ids"] == "NO_LIABILITY" and got[6]["n_license_sentences"] == 0
+
+
 def test_licenses_match_sql(spark):
     documents = docs(spark, LICENSED).toPandas()  # noqa: F841
     con = duckdb.connect()
