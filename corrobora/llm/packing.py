@@ -3,12 +3,19 @@
 Sequences hold at most ``capacity`` tokens, so whatever the corpus, packing
 depends only on how many pieces there are of each of ``capacity`` lengths.
 That histogram (at most ``capacity`` rows) is all the driver sees. It is packed
-there by branch and bound: take the largest length left, enumerate undominated
-fillings of the room beside it, most full first, and cut off a branch whose
-bins plus the waste bound of the rest cannot beat the incumbent, which is the
-best-fit-decreasing packing at first. Equal fillings are applied as often as
-the counts allow, so the result is a short list of (filling, repetitions).
-Pieces then find their place by their rank among the pieces of their length.
+there by bin completion: take the largest length left and fill the room beside
+it. The best-fit-decreasing packing is the first incumbent. While more than
+``FEW`` pieces are left, descents are greedy: each takes the fullest filling
+found (as often as the counts allow), but for one departure, and is cut off
+when its bins plus the waste bound of the rest cannot beat the incumbent. The
+last ``FEW`` pieces are packed by branch and bound, with backtracking over all
+undominated fillings; it ends at the waste bound, with its tree searched
+through, or after ``STEPS`` steps of enumeration, a twentieth of them at most
+in one room. So ``FEW`` pieces or less are
+packed optimally unless the steps run out; of more, the number of sequences is
+at most that of best fit decreasing. The result is a short list of (filling,
+repetitions). Pieces then find their place by their rank among the pieces of
+their length.
 
 Ranks are counted in two steps, a count for each (length, bucket) and a window
 inside it, so a length that a third of all pieces share is spread over all
@@ -32,6 +39,9 @@ from pyspark.sql import functions as F
 from corrobora.llm.arrowtext import blocks, buffers
 from corrobora.llm.durable import materialize
 
+#: So many pieces are packed by branch and bound, in at most so many steps of enumeration a search.
+FEW, STEPS = 100, 100_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -114,11 +124,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def fillings(counts: np.ndarray, room: int, most: int, nodes: int) -> list[Filling]:
-    """Undominated fillings of ``room`` from the lengths left, most full first.
+    """Some full fillings of ``room`` from the lengths left, most full first, for greedy descents.
 
-    A single length that fits exactly dominates all; a filling is dropped when
-    one of its pieces could be replaced by a larger length that still fits, or
-    another could be added. The best-fit filling is always among those found.
+    A single length, else two, that fit exactly are taken at once; else at
+    most ``nodes`` steps look for fillings fuller than the best-fit one, which
+    is always among those found.
     """
     first = _greedy(counts, room)
     found: dict[Filling, int] = {first: room - sum(a * b for a, b in first)}
@@ -173,8 +183,83 @@ def _greedy(counts: np.ndarray, room: int) -> Filling:
     return tuple(out)
 
 
+def completions(left: list[list[int]], room: int, steps: list[int]) -> list[Filling]:
+    """All undominated fillings of ``room`` from [length, count] pairs (descending), most full first.
+
+    A single length that fits exactly dominates all. A filling is dropped when
+    a length left could be added to it, or put in place of a smaller one of
+    its. ``steps[0]`` is counted down; at 0 the enumeration is cut short.
+    """
+    have = [(s, n) for s, n in left if n and s <= room]
+    if have and have[0][0] == room:
+        return [((room, 1),)]
+    found: list[tuple[int, Filling]] = []
+
+    def dominated(times: list[int], rest: int) -> bool:
+        used = 0  # the smallest larger length of which a piece is left, seen from the largest down
+        for (s, n), k in zip(have, times, strict=True):
+            if k and used and used - s <= rest:
+                return True
+            if k < n:
+                used = s
+                if s <= rest:
+                    return True
+        return False
+
+    def search(i: int, rest: int, times: list[int]) -> None:
+        if steps[0] <= 0:
+            return
+        steps[0] -= 1
+        while i < len(have) and have[i][0] > rest:
+            times, i = [*times, 0], i + 1
+        if i == len(have):
+            if not dominated(times, rest):
+                found.append((rest, tuple((s, k) for (s, _), k in zip(have, times, strict=True) if k)))
+            return
+        size, n = have[i]
+        for k in range(min(n, rest // size), -1, -1):
+            search(i + 1, rest - k * size, [*times, k])
+
+    search(0, room, [])
+    return [f for _, f in sorted(found, key=lambda x: (x[0], sum(k for _, k in x[1])))]
+
+
+def branch_and_bound(counts: dict[int, int], capacity: int, below: int, steps: int = STEPS) -> Plan | None:
+    """The fewest bins for few pieces, if fewer than ``below``; None when there are none, or none found in ``steps``."""
+    sizes = sorted((k for k, v in counts.items() if v), reverse=True)
+    bound = -(-sum(k * counts[k] for k in sizes) // capacity)
+    budget, best, plan = [steps], below, None
+    seen: dict[tuple[int, ...], int] = {}
+
+    def descend(left: list[int], tokens: int, bins: list[Filling]) -> None:
+        nonlocal best, plan
+        if not tokens:
+            best, plan = len(bins), [(1, f) for f in bins]
+            return
+        state = tuple(left)
+        if len(bins) + -(-tokens // capacity) >= best or seen.get(state, below) <= len(bins):
+            return
+        seen[state] = len(bins)
+        top = next(i for i, n in enumerate(left) if n)
+        after = [*left]
+        after[top] -= 1
+        share = [max(1, min(budget[0], steps // 20))]  # no single room takes all steps
+        given = share[0]
+        options = completions([[s, n] for s, n in zip(sizes, after, strict=True)], capacity - sizes[top], share)
+        budget[0] -= given - share[0]
+        for option in options or [()]:
+            need = dict(option)
+            need[sizes[top]] = need.get(sizes[top], 0) + 1
+            descend([n - need.get(s, 0) for s, n in zip(sizes, left, strict=True)], tokens - sum(s * n for s, n in need.items()), [*bins, tuple(need.items())])
+            if best <= bound or budget[0] <= 0:
+                return
+
+    descend([counts[s] for s in sizes], sum(s * counts[s] for s in sizes), [])
+    return plan
+
+
 def complete_bins(counts: dict[int, int], capacity: int, width: int = 3, tries: int = 12, nodes: int = 300) -> Plan:
-    """Packs a histogram of lengths; ``width`` fillings a bin, ``tries`` descents and ``nodes`` a filling bound the search."""
+    """Packs a histogram of lengths; ``width`` fillings a bin, ``tries`` descents and ``nodes`` a filling bound the greedy part."""
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
         return []
@@ -188,17 +273,22 @@ def complete_bins(counts: dict[int, int], capacity: int, width: int = 3, tries:
         plan = _descend(dict(counts), capacity, best, width, discrepancy, nodes)
         if plan is not None:
             incumbent, best = plan, sum(n for n, _ in plan)
+        if sum(counts.values()) <= FEW:
+            break  # searched as a whole
     return incumbent
 
 
 def _descend(counts: dict[int, int], capacity: int, best: int, width: int, discrepancy: int, nodes: int) -> Plan | None:
-    """One descent of the search: try k departs from the fullest filling at its k-th choice. None when cut off by the waste bound."""
+    """One descent: try k departs from the fullest filling at its k-th choice; few pieces left are searched. None when cut off by the waste bound."""
     left = np.zeros(capacity + 1, np.int64)
     for k, v in counts.items():
         left[k] = v
     tokens = int((left * np.arange(capacity + 1)).sum())
     plan, used, choices = [], 0, 0
     while tokens:
+        if left.sum() <= FEW:
+            rest = branch_and_bound({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity, best - used)
+            return rest and plan + rest
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
         options = fillings(left, capacity - top, width, nodes) if top < capacity else [()]

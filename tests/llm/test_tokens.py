@@ -67,6 +67,36 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for n, _ in complete_bins(counts, 100)) == 4
 
 
+def fewest(items, room):
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j in {b: k for k, b in enumerate(bins)}.values():
+            if bins[j] >= items[i]:
+                place(i + 1, [*bins[:j], bins[j] - items[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, room - items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_few_pieces_are_packed_optimally():
+    assert sum(n for n, _ in complete_bins({892: 1, 824: 2, 748: 1, 680: 1, 612: 1, 544: 2, 476: 1}, 2048)) == 3
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        items = sorted(rng.integers(8, 32, rng.integers(1, 11)).tolist(), reverse=True)
+        counts = {s: items.count(s) for s in items}
+        plan = complete_bins(counts, 50)
+        assert sum(n for n, _ in plan) == fewest(items, 50)
+        assert {s: sum(n * dict(f).get(s, 0) for n, f in plan) for s in counts} == counts and all(sum(a * b for a, b in f) <= 50 for _, f in plan)
+
+
 def test_fillings_hold_an_exact_one_first():
     counts = np.zeros(101, np.int64)
     counts[[40, 30, 20, 10]] = [1, 2, 2, 1]
