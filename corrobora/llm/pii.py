@@ -66,9 +66,12 @@ _PATTERNS: list[tuple[str, str]] = [
 ]
 TYPES = [name for name, _ in _PATTERNS]
 _ALL = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS))
-#: Bytes without which no entity but a person can stand in a text, and the forms of address.
+#: Bytes one of which is in each entity but a person or a key made of letters: ASCII digits, marks, and the first bytes of all other decimal digits.
 _HINT = np.zeros(256, dtype=bool)
-_HINT[[*b"0123456789@="]] = True
+_HINT[[*b"0123456789@=:"]] = True
+_HINT[[chr(c).encode()[0] for c in range(128, 0x110000) if chr(c).isdecimal()]] = True
+#: Keys made of letters are runs of so many of these bytes; persons stand after a form of address.
+_RUNS = [(32, b"0123456789abcdefABCDEF"), (20, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")]
 _ADDRESSED = re.compile(b"|".join(sorted((re.escape(x.encode()) for x in ADDRESS), key=len, reverse=True)))
 
 
@@ -183,6 +186,12 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hint = total[offsets[1:]] > total[offsets[:-1]]
     at = np.fromiter((m.start() for m in _ADDRESSED.finditer(data.tobytes())), np.int64)
     hint[np.searchsorted(offsets, at, "right") - 1] = True
+    for length, members in _RUNS:
+        table = np.zeros(256, dtype=bool)
+        table[[*members]] = True
+        total = np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
+        at = np.flatnonzero(total[length:] - total[:-length] == length)
+        hint[np.searchsorted(offsets, at, "right") - 1] = True
     return np.flatnonzero(hint)
 
 

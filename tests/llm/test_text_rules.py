@@ -214,6 +214,18 @@ def test_permutation_covers_its_domain():
     assert len(every) == 1000
 
 
+def test_single_entities_are_found_by_the_columns(spark):
+    alone = [
+        "a@b.example", "AKIA" + "QWERTYUIOPASDFGH", "my password: correcthorsebattery", "secret: correcthorse", "Token: correcthorse", "api_key: correcthorse", "passwd=correcthorse", "abcdefab" * 4, "ABCDEFAB" * 5,
+        "DE89 3704 0044 0532 0130 00", "8.8.8.8", "4111111111111111", "123-45-6789", "+1 (205) 555-0613", "٠١٢-٣٤-٥٦٧٨", "Mrs Smith", "no entity",
+    ]
+    rows = [(i, f"see {t} here") for i, t in enumerate(alone)]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii_report(docs(spark, rows)).collect()}
+    for i, t in rows:
+        new, found = replace_in(t)
+        assert got[i] == (new, len(found)) and len(found) == (i < len(alone) - 1), t
+
+
 def test_reports_and_replacement_agree(spark):
     rows = ODD + [(50, SAID), (51, SAID), (52, "x@y.example and 4111111111111111")]
     frame = docs(spark, rows)
