@@ -2,8 +2,10 @@
 
 A string is split into its varying symbols, each a digit in the base of its
 class (lower-case letters, upper-case letters, decimal or hexadecimal digits,
-letters of another script), and the digits pass an eight-round Feistel network
-of modular additions keyed by BLAKE2b. Characters of no class stay. The map is
+letters of another script). The digits pass an eight-round Feistel network of
+modular additions keyed by BLAKE2b, a keyed step prime to the number of digit
+strings, and the network backwards: one cycle through all of them, which leaves
+none as it was. Characters of no class stay. The map is
 one-to-one on all strings of one pattern, so different strings get different
 results with no table of what was given before.
 """
@@ -11,14 +13,17 @@ results with no table of what was given before.
 from __future__ import annotations
 
 import hashlib
+import math
+import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 ROUNDS = 8
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 HEX = "0123456789abcdef"
-#: Alphabets by script; letters outside them (accents and the like) stay as they are.
+#: Alphabets by script; other letters vary among those of their block and category.
 SCRIPTS = [LOWER, UPPER, "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 
@@ -38,35 +43,63 @@ def _digits(value: int, bases: Sequence[int]) -> list[int]:
 
 
 def permute(digits: Sequence[int], bases: Sequence[int], key: bytes, tweak: bytes) -> list[int]:
-    """A permutation of all digit strings in these bases."""
+    """A permutation of all digit strings in these bases: a single cycle, so only a string without choice stays."""
     half = len(digits) // 2
     left, n = _number(digits[:half], bases[:half])
     right, m = _number(digits[half:], bases[half:])
+    size = n * m
+
+    def drawn(r: int, modulus: int, value: int) -> int:
+        return int.from_bytes(hashlib.blake2b(tweak + b"|%d|%d|%d" % (r, modulus, value), key=key, digest_size=32).digest(), "little")
+
+    step = drawn(ROUNDS, size, 0) % size or 1
+    while math.gcd(step, size) != 1:
+        step += 1
     for r in range(ROUNDS):
-        h = hashlib.blake2b(key=key, digest_size=32)
         if r % 2:
-            h.update(tweak + b"|%d|%d|%d" % (r, n, left))
-            right = (right + int.from_bytes(h.digest(), "little")) % m
+            right = (right + drawn(r, n, left)) % m
+        else:
+            left = (left + drawn(r, m, right)) % n
+    left, right = divmod((left * m + right + step) % size, m)
+    for r in reversed(range(ROUNDS)):
+        if r % 2:
+            right = (right - drawn(r, n, left)) % m
         else:
-            h.update(tweak + b"|%d|%d|%d" % (r, m, right))
-            left = (left + int.from_bytes(h.digest(), "little")) % n
+            left = (left - drawn(r, m, right)) % n
     return _digits(left, bases[:half]) + _digits(right, bases[half:])
 
 
+@lru_cache(maxsize=10_000)
+def alphabet_of(c: str) -> str:
+    """Letters or decimal digits of a character's category in its block of 256 (ten digits of its script), or '' for other characters."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    first, kind = ord(c) & ~255, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind and not (x.isascii() and x.isalpha()))
+
+
 def permute_text(text: str, alphabets: Sequence[str], key: bytes, tweak: str, allowed: Callable[[str], bool] = lambda x: True) -> str:
-    """The surrogate of ``text``: characters of ``alphabets`` vary, others stay.
+    """The surrogate of ``text``: characters of ``alphabets``, other letters and other digits vary, the rest stays.
 
-    Results that are not ``allowed``, or equal to the text, are permuted again;
-    where the text itself is allowed this keeps the map one-to-one on allowed
-    strings (but for the rare text whose only other choice is itself).
+    Results that are not ``allowed`` are permuted again; where the text itself
+    is allowed this keeps the map one-to-one on allowed strings. As
+    ``permute`` is a single cycle, the text comes back only if no other is allowed.
     """
     where = {c: (i, k) for i, a in enumerate(alphabets) for k, c in enumerate(a)}
+    alphabets, given = list(alphabets), len(alphabets)
+    for c in sorted({c for c in text if not c.isascii() and c not in where}):
+        if c not in where and (own := "".join(x for x in alphabet_of(c) if x not in where)):
+            alphabets.append(own)
+            where |= {x: (len(alphabets) - 1, k) for k, x in enumerate(own)}
     places = [(p, where[c]) for p, c in enumerate(text) if c in where]
     if not places:
         return text
     bases = [len(alphabets[i]) for _, (i, _) in places]
     digits = [k for _, (_, k) in places]
-    pattern = "".join(f"{where[c][0]}." if c in where else c for c in text)
+    pattern = "".join((f"{i}." if (i := where[c][0]) < given else f"{ord(alphabets[i][0]):x}.") if c in where else c for c in text)
     chars = list(text)
     for _ in range(1000):
         digits = permute(digits, bases, key, f"{tweak}|{pattern}".encode())

@@ -24,6 +24,7 @@ get equal results; an empty table gives no rows; extra columns are kept by
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -51,7 +52,10 @@ ADDRESS = {
     "Señor": "male", "Señora": "female", "Sr": "male", "Sra": "female", "Don": "male", "Doña": "female", "господин": "male", "Господин": "male", "госпожа": "female", "Госпожа": "female",
 }
 
-_WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: Combining marks, which are parts of words in many scripts but no word characters to ``re``.
+_MARK = "".join(re.escape(chr(c)) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+_LETTERS = rf"(?:[^\W\d_][{_MARK}]*)+"
+_WORD = rf"{_LETTERS}(?:[-'’]{_LETTERS})*"
 _PATTERNS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -130,9 +134,19 @@ def _name(word: str, gender: str, key: bytes) -> str:
 
 def canonical(kind: str, text: str) -> str:
     """The form by which two mentions are one entity."""
+    if kind in ("phone", "iban"):
+        return "".join(c for c in text if c.isalnum() or c == "+")
     return text.lower() if kind in ("email", "hex_key") else text
 
 
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO = re.compile(r"2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+
+
+def _country(phone: str) -> str:
+    return phone[: 2 if phone[1] in "17" else 3 if _TWO.match(phone, 1) else 4]
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     """The surrogate of an entity in canonical form."""
@@ -155,7 +169,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     if kind == "person":
         return _person(text, key)
     if kind == "phone" and text[0] == "+":
-        country = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
+        country = _country(text)
         return country + fpe.permute_text(text[len(country) :], [fpe.DIGITS], key, kind + country)
     return fpe.permute_text(text, [fpe.DIGITS], key, kind)
 
@@ -172,9 +186,12 @@ def replace_in(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, s
     for start, end, kind, mention in entities(text):
         own = canonical(kind, mention)
         new = surrogate(kind, own, key)
-        if own != mention and mention.isupper():
+        if kind not in ("phone", "iban") and own != mention and mention.isupper():
             new = new.upper()
         found.append((kind, own, new))
+        if kind in ("phone", "iban"):  # into the mention's own spaces and marks
+            spare = iter(new)
+            new = "".join(next(spare) if c.isalnum() or c == "+" else c for c in mention)
         out += [text[done:start], new]
         done = end
     return ("".join([*out, text[done:]]) if found else text), found
@@ -238,9 +255,19 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.mapInArrow(partial(_replace, key=key, report=False), docs.schema).toDF(*names)
 
 
+def checked_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """``pii_report`` with ``corpus_collisions``, the number of rows of ``collisions`` over all documents, in every row."""
+    return pii_report(docs, key).crossJoin(F.broadcast(collisions(docs, key).agg(F.count("*").alias("corpus_collisions"))))  # one row
+
+
 def _mentions(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {x for text in batch.column("text").to_pylist() if text for x in replace_in(text, key)[1]}
+        data, offsets = buffers(batch.column("text"))
+        found = set()
+        for i, j in blocks(offsets):
+            part = data[offsets[i] : offsets[j]]
+            for k in _suspects(part, offsets[i : j + 1] - offsets[i]).tolist():
+                found.update((t, own, new.lower() if t in ("email", "hex_key") else new) for t, own, new in replace_in(data[offsets[i + k] : offsets[i + k + 1]].tobytes().decode("utf-8", "replace"), key)[1])
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(found)], pa.string()) for k in range(3)], ["type", "entity", "surrogate"])
 
 

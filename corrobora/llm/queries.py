@@ -12,7 +12,7 @@ from corrobora.llm.jaccard import jaccard_components
 from corrobora.llm.licenses import license_report, license_sql
 from corrobora.llm.oracles import JACCARD_SQL, contamination_sql, quality_sql
 from corrobora.llm.packing import pack
-from corrobora.llm.pii import pii_report
+from corrobora.llm.pii import checked_report
 from corrobora.llm.quality import quality_report
 from corrobora.llm.sharding import shard
 from corrobora.llm.tokenfile import tokenize_to_files
@@ -60,7 +60,7 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_report(_documents(spark, sf_dir))
+    return checked_report(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

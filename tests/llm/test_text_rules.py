@@ -214,6 +214,23 @@ def test_permutation_covers_its_domain():
     assert len(every) == 1000
 
 
+def test_no_entity_stays_and_separators_do_not_matter():
+    for name in ("Dr 王伟", "Dr محمد", "Dr देवी", "Mr Åß", "Mr Xi", "Mr K", "Dr Ё"):
+        new, found = replace_in(name)
+        assert [(k, old) for k, old, _ in found] == [("person", name)] and new != name and len(new) == len(name), name
+    pairs = {fpe.permute_text(a + b, [fpe.LOWER], b"k", "t"): a + b for a in fpe.LOWER for b in fpe.LOWER}
+    assert len(pairs) == 676 and all(k != v for k, v in pairs.items())
+    for a, b in (("+1 (205) 555-0613", "+12055550613"), ("+49 30 123456", "+4930123456"), ("(205) 555-0613", "205-555-0613"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000")):
+        one, two = (re.sub(r"[^\w+]", "", replace_in(x)[0]) for x in (a, b))
+        assert one == two != re.sub(r"[^\w+]", "", a) and (a[0] == "(" or one[:2] == a[:2])
+
+
+def test_the_query_runs_the_check(spark, sf_dir):
+    from corrobora.llm.queries import QUERIES
+
+    assert {r[0] for r in QUERIES["op10_pii_surrogates"](spark, sf_dir).select("corpus_collisions").distinct().collect()} == {0}
+
+
 def test_single_entities_are_found_by_the_columns(spark):
     alone = [
         "a@b.example", "AKIA" + "QWERTYUIOPASDFGH", "my password: correcthorsebattery", "secret: correcthorse", "Token: correcthorse", "api_key: correcthorse", "passwd=correcthorse", "abcdefab" * 4, "ABCDEFAB" * 5,
