@@ -119,7 +119,7 @@ QUOTE_CHECK_SQL = "SELECT doc_id, item_id, 'exact' AS status, true AS verified F
 def quote_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with other quotation marks, dashes and spaces, held against their own texts."""
     quote = F.concat(F.lit("“"), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("  ")), F.lit(" … "), F.upper(F.substring("text", 60, 40)), F.lit("”"))
-    rows = _documents(spark, sf_dir).where("length(text) > 200").select("doc_id", Q.check("text", quote).alias("q"))
+    rows = _documents(spark, sf_dir).select("doc_id", Q.check("text", quote).alias("q"))
     return rows.select("doc_id", "q.status", "q.verified", F.size("q.segments").alias("segments"))
 
 
@@ -334,7 +334,7 @@ SELECT event_id, CASE WHEN f < 3 THEN 'NOT SUPPORTED' WHEN f = 3 THEN 'PARTIALLY
 
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles made of documents: each line a paragraph with two adjacent references and its notes."""
-    lines = F.slice(F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1), 1, 3)
+    lines = F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1)
     body = F.array_join(F.transform(lines, lambda s, i: F.concat(F.lit("<p>"), s, F.format_string('<sup id="r%d" class="reference"><a href="#n%d">[%d]</a></sup><sup id="s%d" class="reference"><a href="./T#m">[9]</a></sup></p>', i, i, i, i))), "")
     notes = F.lit('<ol><li id="n0"><a href="https://a.example/">a</a> pp. 7</li><li id="n1"><a href="https://en.wikipedia.org/wiki/X">x</a></li><li id="m"><a href="https://archive.is/x">y</a><a href="https://b.example/">b</a></li></ol>')
     docs = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(body, notes).alias("html"))

@@ -36,6 +36,14 @@ def test_query(spark, sf_dir, con, name):
         assert sorted(tuple(cell(r[i]) for i in order) for r in cursor.fetchall()) == got
 
 
+def test_whole_texts_and_all_rows_are_read(spark, tmp_path):
+    rows = [(1, "\n".join(f"line {i} of a text" for i in range(7))), (2, "short"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["citation_extract"][0](spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert {int(r[0]): r[1] for r in found}[1] == 14
+    assert {r["doc_id"] for r in plans.QUERIES["quote_normalized"][0](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
