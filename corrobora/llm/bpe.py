@@ -7,7 +7,9 @@ characters across such borders (tests hold this against whole texts), so a
 text's ids are its segments' ids in a row. A worker keeps the ids of the segments it has met, up
 to a bound, and hands the library only new ones. Texts for which the borders
 might not hold (white space outside ASCII, control characters, strings of
-special tokens) are encoded whole.
+special tokens) are encoded whole. Special tokens' strings in texts get the
+special ids, as the library does unless told otherwise; ``special_as_text``
+makes them ordinary text.
 """
 
 from __future__ import annotations
@@ -39,24 +41,24 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(name: str) -> "SegmentEncoder":
+def encoder(name: str, special_as_text: bool = False) -> "SegmentEncoder":
     """One encoder per worker and vocabulary."""
-    if name not in _OPEN:
-        _OPEN[name] = SegmentEncoder(vocabulary(name))
-    return _OPEN[name]
+    if (name, special_as_text) not in _OPEN:
+        _OPEN[name, special_as_text] = SegmentEncoder(vocabulary(name), special_as_text=special_as_text)
+    return _OPEN[name, special_as_text]
 
 
 class SegmentEncoder:
     """Encodes rows of UTF-8 bytes to flat ids. ``most`` bounds the segments kept."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 2_000_000, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         self.most = most
         self.spelled = None
         if self.library.normalizer is None:

@@ -4,16 +4,17 @@ Sequences hold at most ``capacity`` tokens, so whatever the corpus, packing
 depends only on how many pieces there are of each of ``capacity`` lengths.
 That histogram (at most ``capacity`` rows) is all the driver sees. It is packed
 there by bin completion: take the largest length left and fill the room beside
-it. The best-fit-decreasing packing is the first incumbent. While more than
-``FEW`` pieces are left, descents are greedy: each takes the fullest filling
-found (as often as the counts allow), but for one departure, and is cut off
-when its bins plus the waste bound of the rest cannot beat the incumbent. The
-last ``FEW`` pieces are packed by branch and bound, with backtracking over all
-undominated fillings; it ends at the waste bound, with its tree searched
-through, or after ``STEPS`` steps of enumeration, a twentieth of them at most
-in one room. So ``FEW`` pieces or less are
+it. The best-fit-decreasing packing is the first incumbent; where it meets the
+lower bound (tokens, pieces that cannot share, Martello and Toth's L2) it is
+optimal. Else ``FEW`` pieces or less are packed by branch and bound, depth first
+with a stack over all undominated fillings, which ends at the bound, with its
+tree searched through, or after ``STEPS`` steps of enumeration, a twentieth of
+them at most in one room. While more pieces are left, descents are greedy: each
+takes the fullest filling found (as often as the counts allow), but for one
+departure, until ``FEW`` are left to be searched. So ``FEW`` pieces or less are
 packed optimally unless the steps run out; of more, the number of sequences is
-at most that of best fit decreasing. The result is a short list of (filling,
+at most that of best fit decreasing, and ``least_sequences`` in each row tells
+the lower bound, so the gap is known. The result is a short list of (filling,
 repetitions). Pieces then find their place by their rank among the pieces of
 their length.
 
@@ -183,12 +184,36 @@ def _greedy(counts: np.ndarray, room: int) -> Filling:
     return tuple(out)
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: the tokens' bound, the bound by pieces of which k at most share a bin, and Martello and Toth's L2."""
+    sizes = np.array(sorted((k for k, v in counts.items() if v > 0), reverse=True), np.int64)
+    if not len(sizes):
+        return 0
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    pieces, tokens = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    best = -(-int(tokens[-1]) // capacity)
+
+    def first(limit: np.ndarray) -> np.ndarray:
+        """How many lengths exceed each limit."""
+        return np.searchsorted(-sizes, -limit, "left")
+
+    k = np.arange(1, capacity // int(sizes[-1]) + 1)
+    best = max(best, int((-(-pieces[first(capacity // (k + 1))] // k)).max()))
+    small = np.unique(np.append(sizes[2 * sizes <= capacity], 0))
+    one, half, last = first(capacity - small), first(np.full(len(small), capacity // 2)), first(small - 1)
+    two_pieces, two_tokens = pieces[half] - pieces[one], tokens[half] - tokens[one]
+    spare = two_pieces * capacity - two_tokens
+    more = np.maximum(0, -(-(tokens[last] - tokens[half] - spare) // capacity))
+    return max(best, int((pieces[half] + more).max()))
+
+
 def completions(left: list[list[int]], room: int, steps: list[int]) -> list[Filling]:
     """All undominated fillings of ``room`` from [length, count] pairs (descending), most full first.
 
     A single length that fits exactly dominates all. A filling is dropped when
-    a length left could be added to it, or put in place of a smaller one of
-    its. ``steps[0]`` is counted down; at 0 the enumeration is cut short.
+    a length left could be added to it, or put in place of one or more smaller
+    pieces of its (Martello and Toth's criterion for a single piece). ``steps[0]``
+    is counted down; below 0 the enumeration was cut short.
     """
     have = [(s, n) for s, n in left if n and s <= room]
     if have and have[0][0] == room:
@@ -196,90 +221,108 @@ def completions(left: list[list[int]], room: int, steps: list[int]) -> list[Fill
     found: list[tuple[int, Filling]] = []
 
     def dominated(times: list[int], rest: int) -> bool:
-        used = 0  # the smallest larger length of which a piece is left, seen from the largest down
-        for (s, n), k in zip(have, times, strict=True):
-            if k and used and used - s <= rest:
-                return True
+        sums = 1  # bit t: pieces of the filling, smaller than the one in hand, add up to t
+        for (s, n), k in zip(reversed(have), reversed(times), strict=True):
             if k < n:
-                used = s
-                if s <= rest:
+                low = max(0, s - rest)
+                if sums >> low & ((1 << (s - low + 1)) - 1):
                     return True
+            for _ in range(k):
+                sums |= sums << s
         return False
 
-    def search(i: int, rest: int, times: list[int]) -> None:
-        if steps[0] <= 0:
-            return
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack:
         steps[0] -= 1
+        if steps[0] < 0:
+            break
+        i, rest, times = stack.pop()
         while i < len(have) and have[i][0] > rest:
-            times, i = [*times, 0], i + 1
+            times, i = (*times, 0), i + 1
         if i == len(have):
-            if not dominated(times, rest):
+            if not dominated(list(times), rest):
                 found.append((rest, tuple((s, k) for (s, _), k in zip(have, times, strict=True) if k)))
-            return
+            continue
         size, n = have[i]
-        for k in range(min(n, rest // size), -1, -1):
-            search(i + 1, rest - k * size, [*times, k])
-
-    search(0, room, [])
+        stack += [(i + 1, rest - k * size, (*times, k)) for k in range(min(n, rest // size) + 1)]
     return [f for _, f in sorted(found, key=lambda x: (x[0], sum(k for _, k in x[1])))]
 
 
 def branch_and_bound(counts: dict[int, int], capacity: int, below: int, steps: int = STEPS) -> Plan | None:
-    """The fewest bins for few pieces, if fewer than ``below``; None when there are none, or none found in ``steps``."""
+    """The fewest bins for few pieces, if fewer than ``below``; None when there are none, or none found in ``steps``.
+
+    Depth first with a stack: each level closes the bin of the largest piece left
+    with one of its undominated fillings; a branch ends where its bins and the
+    lower bound of the rest reach the best packing known.
+    """
     sizes = sorted((k for k, v in counts.items() if v), reverse=True)
-    bound = -(-sum(k * counts[k] for k in sizes) // capacity)
-    budget, best, plan = [steps], below, None
+    least, best, plan = lower_bound(counts, capacity), below, None
+    budget = [steps]
     seen: dict[tuple[int, ...], int] = {}
 
-    def descend(left: list[int], tokens: int, bins: list[Filling]) -> None:
-        nonlocal best, plan
-        if not tokens:
-            best, plan = len(bins), [(1, f) for f in bins]
-            return
-        state = tuple(left)
-        if len(bins) + -(-tokens // capacity) >= best or seen.get(state, below) <= len(bins):
-            return
-        seen[state] = len(bins)
+    def options(left: tuple[int, ...]) -> Iterator[Filling]:
         top = next(i for i, n in enumerate(left) if n)
-        after = [*left]
-        after[top] -= 1
         share = [max(1, min(budget[0], steps // 20))]  # no single room takes all steps
         given = share[0]
-        options = completions([[s, n] for s, n in zip(sizes, after, strict=True)], capacity - sizes[top], share)
-        budget[0] -= given - share[0]
-        for option in options or [()]:
+        found = completions([[s, n - (i == top)] for i, (s, n) in enumerate(zip(sizes, left, strict=True))], capacity - sizes[top], share)
+        budget[0] -= given - max(0, share[0])
+        for option in found or [()]:
             need = dict(option)
             need[sizes[top]] = need.get(sizes[top], 0) + 1
-            descend([n - need.get(s, 0) for s, n in zip(sizes, left, strict=True)], tokens - sum(s * n for s, n in need.items()), [*bins, tuple(need.items())])
-            if best <= bound or budget[0] <= 0:
-                return
-
-    descend([counts[s] for s in sizes], sum(s * counts[s] for s in sizes), [])
+            yield tuple(need.items())
+
+    start = tuple(counts[s] for s in sizes)
+    bins: list[Filling] = []
+    stack = [(start, options(start))] if sizes else []
+    while stack and best > least and budget[0] > 0:
+        left, rest = stack[-1]
+        filling = next(rest, None)
+        if filling is None:
+            stack.pop()
+            if bins:
+                bins.pop()
+            continue
+        need = dict(filling)
+        after = tuple(n - need.get(s, 0) for s, n in zip(sizes, left, strict=True))
+        used = len(bins) + 1
+        if not any(after):
+            if used < best:
+                best, plan = used, [(1, f) for f in (*bins, filling)]
+            continue
+        if seen.get(after, below) <= used or used + lower_bound(dict(zip(sizes, after, strict=True)), capacity) >= best:
+            continue
+        seen[after] = used
+        bins.append(filling)
+        stack.append((after, options(after)))
     return plan
 
 
 def complete_bins(counts: dict[int, int], capacity: int, width: int = 3, tries: int = 12, nodes: int = 300) -> Plan:
-    """Packs a histogram of lengths; ``width`` fillings a bin, ``tries`` descents and ``nodes`` a filling bound the greedy part."""
+    """Packs a histogram of lengths.
+
+    At most ``FEW`` pieces are searched as a whole. Of more, ``tries`` descents
+    close bins greedily until ``FEW`` are left, which are searched; each tries
+    ``width`` fillings of a bin, found in ``nodes`` steps. All ends at the lower bound.
+    """
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
         return []
-    total = sum(k * v for k, v in counts.items())
-    bound = -(-total // capacity)
+    least = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     best = sum(n for n, _ in incumbent)
-    for discrepancy in range(tries):
-        if best <= bound:
+    if best > least and sum(counts.values()) <= FEW:
+        return branch_and_bound(counts, capacity, best) or incumbent
+    for discrepancy in range(tries * (width - 1) + 1):
+        if best <= least:
             break
-        plan = _descend(dict(counts), capacity, best, width, discrepancy, nodes)
+        plan = _descend(dict(counts), capacity, best, width, -(-discrepancy // (width - 1)), 1 + (discrepancy - 1) % (width - 1), nodes)
         if plan is not None:
             incumbent, best = plan, sum(n for n, _ in plan)
-        if sum(counts.values()) <= FEW:
-            break  # searched as a whole
     return incumbent
 
 
-def _descend(counts: dict[int, int], capacity: int, best: int, width: int, discrepancy: int, nodes: int) -> Plan | None:
-    """One descent: try k departs from the fullest filling at its k-th choice; few pieces left are searched. None when cut off by the waste bound."""
+def _descend(counts: dict[int, int], capacity: int, best: int, width: int, departure: int, other: int, nodes: int) -> Plan | None:
+    """One descent that takes the ``other``-th filling instead of the fullest at one choice; few pieces left are searched. None when cut off by the lower bound."""
     left = np.zeros(capacity + 1, np.int64)
     for k, v in counts.items():
         left[k] = v
@@ -296,7 +339,7 @@ def _descend(counts: dict[int, int], capacity: int, best: int, width: int, discr
         pick = 0
         if len(options) > 1:
             choices += 1
-            pick = 1 if choices == discrepancy else 0
+            pick = min(other, len(options) - 1) if choices == departure else 0
         need = dict(options[pick])
         need[top] = need.get(top, 0) + 1
         times = min(int(left[s]) // n for s, n in need.items())
@@ -328,16 +371,16 @@ def placements(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = 2048, bucket_rows: int = 50_000) -> DataFrame:
     """Packs documents into sequences of at most ``capacity`` tokens: one row per piece with its sequence and place."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
+    pieces = materialize(token_pieces(docs, vocabulary, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = placements(complete_bins(counts, capacity))
     table = F.broadcast(spark.createDataFrame(runs, "length long, begin long, end long, times long, first long, base long"))
     buckets = max(16, sum(counts.values()) // bucket_rows)
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     sums = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = keyed.withColumn("inside", F.row_number().over(inside) - 1).join(sums, ["length", "bucket"])
     rank = (F.col("earlier") + F.col("inside")).alias("rank")
     return (
@@ -347,5 +390,6 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
             "doc_id", "piece", "start", "length", "ids_crc32",
             (F.col("first") + F.expr("(rank - begin) div times")).alias("sequence_id"),
             (F.col("base") + ((F.col("rank") - F.col("begin")) % F.col("times")) * F.col("length")).alias("offset"),
+            F.lit(lower_bound(counts, capacity)).cast("long").alias("least_sequences"),
         )
     )

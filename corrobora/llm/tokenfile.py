@@ -8,7 +8,8 @@ the pages of a doc_id. Documents are range-partitioned and sorted before they
 are encoded, so texts are shuffled once, compressed, and encoded once.
 
 Defined results: a null text is an empty one and has the end id alone; null
-doc_ids come first; rows with one doc_id stand side by side, ordered by text;
+doc_ids come first; rows with one doc_id stand side by side, ordered by the first
+``PREFIX`` characters of the text, and may lie in several files;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from corrobora.llm.arrowtext import blocks, buffers
 from corrobora.llm.durable import new_path
 
+#: Characters of the text that order rows of one doc_id.
+PREFIX = 64
+
 FILE = "part int, row long, doc_id long, local_start long, n_tokens int, ids array<int>"
 
 
@@ -63,8 +67,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     """Writes the ids of every text and the end id to ``path``."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = slim.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, PREFIX).alias("prefix"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("prefix").asc_nulls_first(), F.col("row")]  # a doc_id used very often is split too
+    ordered = slim.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     (
         ordered.mapInArrow(_encode(vocabulary, end_id), FILE)
         .write.option("parquet.writer.version", "v2").option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from corrobora.llm.arrowtext import blocks, buffers
 from corrobora.llm.bpe import encoder
-from corrobora.llm.packing import best_fit, complete_bins, fillings, pack, placements
+from corrobora.llm.packing import best_fit, complete_bins, completions, fillings, lower_bound, pack, placements
 from corrobora.llm.tokenfile import token_index, tokenize_to_files, write_tokens
 from tests.llm.helpers import ODD, docs
 
@@ -163,3 +163,73 @@ def test_token_files_have_page_indexes_and_small_row_groups(spark, tmp_path):
     column = file.metadata.row_group(0).column(file.schema_arrow.names.index("doc_id"))
     assert column.has_column_index and column.has_offset_index
     assert any("DELTA" in x or "DICTIONARY" in x for x in column.encodings)
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+@settings(max_examples=60, deadline=None)
+@given(rows=st.lists(pieces.map("".join), min_size=1, max_size=5))
+def test_ids_are_the_untouched_librarys(name, rows):
+    from tokenizers import Tokenizer
+
+    from corrobora.llm.bpe import vocabulary
+
+    flat, offsets = encoder(name).encode(*buffers(pa.array(rows)))
+    plain = _plain.setdefault(name, Tokenizer.from_file(vocabulary(name)))
+    for i, text in enumerate(rows):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+_plain: dict = {}
+
+
+def test_special_strings_can_be_ordinary_text():
+    text = "a <|endoftext|> b"
+    special, plain = (encoder(BYTE, as_text).encode(*buffers(pa.array([text])))[0].tolist() for as_text in (False, True))
+    assert 50256 in special and 50256 not in plain
+
+
+def test_a_thousand_histograms_are_packed_optimally_and_bounds_hold():
+    rng = np.random.default_rng(11)
+    for _ in range(1000):
+        low, high = sorted(rng.integers(5, 70, 2).tolist())
+        items = sorted(rng.integers(low, high + 1, rng.integers(1, 11)).tolist(), reverse=True)
+        counts = {s: items.count(s) for s in items}
+        want = fewest(items, 100)
+        assert lower_bound(counts, 100) <= want == sum(n for n, _ in complete_bins(counts, 100))
+
+
+def test_pieces_that_cannot_share_prove_the_bound():
+    counts = {s: 5 for s in range(513, 683)}
+    assert lower_bound(counts, 2048) == -(-5 * 170 // 3) > -(-sum(s * n for s, n in counts.items()) // 2048)
+    assert lower_bound({60: 3, 50: 1, 45: 2}, 100) == 5 and lower_bound({}, 100) == 0
+
+
+def test_completions_are_the_undominated_ones():
+    def full(left, room):
+        if not left:
+            return [()]
+        (s, n), *rest = left
+        return [((s, k), *f) if k else f for k in range(min(n, room // s) + 1) for f in full(rest, room - k * s)]
+
+    for left, room in (([[50, 1], [30, 2], [20, 2], [10, 1]], 60), ([[40, 1], [21, 2], [20, 1], [7, 3]], 62), ([[9, 2], [5, 3], [4, 3]], 13)):
+        found = completions(left, room, [10_000])
+        every = full(left, room)
+        assert set(found) <= set(every)
+        if [room, 1] not in left:
+            best = min(room - sum(s * k for s, k in f) for f in every)
+            assert room - sum(s * k for s, k in found[0]) == best
+        for f in found:  # nothing left can be added, or take the place of smaller pieces of less room
+            rest, have = room - sum(s * k for s, k in f), dict(f)
+            assert not any(have.get(s, 0) < n and s <= rest for s, n in left)
+
+
+def test_equal_rows_are_packed_and_written_apart(spark, tmp_path):
+    rows = [(7, "same words here")] * 300 + [(i, "other") for i in range(20)]
+    got = pack(docs(spark, rows)).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+    path = f"file://{tmp_path}/t"
+    write_tokens(docs(spark, rows), path, files=4)
+    index = sorted(map(tuple, token_index(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in index] == sorted(i for i, _ in rows) and [r[1] for r in index] == [0, *np.cumsum([r[2] for r in index])[:-1].tolist()]
+    sizes = [r[0] for r in spark.read.parquet(path).groupBy("part").count().select("count").collect()]
+    assert max(sizes) < 200
