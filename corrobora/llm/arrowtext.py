@@ -134,15 +134,43 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(out)
 
 
+class Rolling:
+    """Rolling hashes of runs of entries: one prefix sum of entries times powers gives the hash of any run of at most ``most``.
+
+    Prefix sums are made in slabs that overlap by ``most``, so tables of powers stay of bounded size.
+    """
+
+    def __init__(self, hashes: np.ndarray, most: int):
+        self.n, self.most = len(hashes), most
+        self.slab = max(_SLAB, most)
+        self.sums = []
+        for lo in range(0, max(1, self.n), self.slab):
+            part = hashes[lo : lo + self.slab + most]
+            total = np.zeros(len(part) + 1, dtype=_U)
+            np.cumsum(part * _tables(len(part) + 1)[0][: len(part)], out=total[1:])
+            self.sums.append(total)
+
+    def windows(self, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each run of k entries, or of those that start ``at`` (ascending); row borders are the caller's business."""
+        m = self.n - k + 1
+        if m <= 0 or (at is not None and not len(at)):
+            return np.zeros(0, dtype=_U)
+        out = np.empty(m if at is None else len(at), dtype=_U)
+        for number, total in enumerate(self.sums):
+            lo = number * self.slab
+            if at is None:
+                own, i, j = np.arange(max(0, min(self.slab, m - lo))), lo, min(lo + self.slab, m)
+            else:
+                i, j = np.searchsorted(at, [lo, lo + self.slab])
+                own = at[i:j] - lo
+            if j > i:
+                out[i:j] = (total[own + k] - total[own]) * _tables(len(total))[1][own]
+        return mix64(out ^ _U(k * 0xD6E8FEB86659FD93 & _MASK))
+
+
 def windows(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each run of k consecutive entries, or of those that start ``at`` (row borders are the caller's business)."""
-    m = len(hashes) - k + 1
-    if m <= 0:
-        return np.zeros(0, dtype=_U)
-    out = (hashes[:m] if at is None else hashes[at]) * _U(0xD6E8FEB86659FD93)
-    for i in range(1, k):
-        out = mix64(out + (hashes[i : i + m] if at is None else hashes[at + i])) * _U(0xD6E8FEB86659FD93)
-    return mix64(out ^ _U(k))
+    """Hash of each run of k consecutive entries, or of those that start ``at``, ascending."""
+    return Rolling(hashes, k).windows(k, at)
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

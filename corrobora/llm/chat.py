@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ESCAPE, HEADER, BODY, SPLIT, END = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Turns, or spans, that are summed up or cut together, so that a long conversation costs no square of its turns.
+CHUNK = 256
 _CODES = {ESCAPE: "e", HEADER: "h", BODY: "b", SPLIT: "s", END: "n"}
 
 
@@ -61,18 +63,32 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         ),
     )
     rows = gathered.select("conv_id", marked.alias("ms"))
-    sizes = F.transform("ms", lambda m: F.char_length(m["lead"]) + F.char_length(m["text"]))
-    start = F.aggregate(
-        F.arrays_zip("ms", sizes.alias("size")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["size"]).alias("at"),
-            F.when(x["ms"]["loss"], F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["ms"]["lead"])).alias("start"), F.char_length(x["ms"]["text"]).alias("length"))))).otherwise(acc["out"]).alias("out"),
+    sizes = F.transform("ms", lambda m: F.struct(F.char_length(m["lead"]).alias("lead"), F.char_length(m["text"]).alias("text"), m["loss"].alias("loss")))
+    formatted = F.concat(F.array_join(F.transform("ms", lambda m: F.concat(m["lead"], m["text"])), ""), F.lit(END))
+    rows = rows.select("conv_id", formatted.alias("formatted"), _chunks(sizes).alias("chunks"))
+    # where chunks start, then turns inside them: arrays that grow one by one stay short
+    totals = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["lead"] + x["text"]))
+    starts = F.aggregate(
+        totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"],
+    )
+    spans = F.transform(
+        F.arrays_zip("chunks", starts.alias("start")),
+        lambda z: F.aggregate(
+            z["chunks"],
+            F.struct(z["start"].alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["lead"] + x["text"]).alias("at"),
+                F.when(x["loss"], F.array_append(acc["out"], F.struct((acc["at"] + x["lead"]).alias("start"), x["text"].alias("length")))).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: acc["out"],
         ),
-        lambda acc: acc["out"],
     )
-    formatted = F.concat(F.array_join(F.transform("ms", lambda m: F.concat(m["lead"], m["text"])), ""), F.lit(END))
-    return rows.select("conv_id", formatted.alias("formatted"), start.alias("spans"))
+    return rows.select("conv_id", "formatted", F.flatten(spans).alias("spans"))
+
+
+def _chunks(items: Column) -> Column:
+    """An array in pieces of ``CHUNK``."""
+    return F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, CHUNK))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -87,7 +103,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("spans", lambda s: F.substr("formatted", s["start"] + 1, s["length"])), "")
+    # a chunk of spans is cut from the whole text first, then each span from that
+    cut = F.transform(
+        _chunks(F.col("spans")),
+        lambda c: F.transform(
+            F.array(F.substr("formatted", c[0]["start"] + 1, F.element_at(c, -1)["start"] + F.element_at(c, -1)["length"] - c[0]["start"])),
+            lambda part: F.array_join(F.transform(c, lambda s: F.substr(part, s["start"] - c[0]["start"] + 1, s["length"])), ""),
+        )[0],
+    )
+    loss = F.when(F.size("spans") > 0, F.array_join(cut, "")).otherwise("")
     return formatted.select("conv_id", "formatted", turns.alias("turns"), unescape(loss).alias("loss"))
 
 
@@ -108,7 +132,8 @@ def with_probe(turns: DataFrame) -> DataFrame:
     """The turns and conversation -7, whose two texts look like control strings."""
     probe = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
-    own = turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in rows))
+    own = turns.sparkSession.range(1).select(F.inline(made))
     return turns.select("conv_id", "turn", "role", "text").unionByName(own)
 
 

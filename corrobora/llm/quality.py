@@ -1,7 +1,8 @@
 """Quality rules by repetition coverage.
 
-Words are hashed from the text's bytes, n-grams by rolling those hashes, all in
-numpy over blocks of documents. For each n the rule measures the characters of
+Words are hashed from the text's bytes, n-grams of all lengths by one rolling
+hash over the words (a prefix sum of hashes times powers), all in numpy over
+blocks of documents. For each n the rule measures the characters of
 words that lie in an n-gram equal to an earlier one of the document; for lines,
 the characters of lines equal to an earlier one. A first occurrence does not
 count, so a heading said again at a text's end costs it once. Longer n-grams
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import NON_SPACE, blocks, buffers, code_points, mix64, span_hashes, spans, windows
+from corrobora.llm.arrowtext import NON_SPACE, Rolling, blocks, buffers, code_points, mix64, span_hashes, spans
 
 #: Largest share of word characters inside repeated n-grams, for each n (Rae et al. 2021, table A1).
 NGRAM_SHARE: Mapping[int, float] = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -66,6 +67,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     doc = np.repeat(np.arange(n), np.diff(first))
     salt = mix64(np.arange(n, dtype=np.uint64) + np.uint64(1))
     hashes = span_hashes(data, starts, ends)
+    rolling = Rolling(hashes, max(3, *lengths))
 
     def repeated(k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts, among ``at``, of k-word windows that occur twice or more in their document, and the windows' keys."""
@@ -73,7 +75,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
         at = at[doc[at] == doc[at + k - 1]]
         if not len(at):
             return at, np.zeros(0, np.uint64)
-        keys = windows(hashes, k, at) ^ salt[doc[at]]
+        keys = rolling.windows(k, at) ^ salt[doc[at]]
         twice = _twice(keys)
         return at[twice], keys[twice]
 

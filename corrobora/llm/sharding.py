@@ -4,9 +4,12 @@ Each shard draws a number in (0, 1) from a hash of the record's key and its own
 name; the record goes to the shard with the highest score -weight / ln(draw).
 A further shard can only take records to itself, and with weights a shard
 gets its share of the records. Only the key and the set of shards decide, so
-the law is ``key``: no state, no shuffle. Slots number a shard's records from
+the law is ``key``: no state. Slots number a shard's records from
 0 without gaps, in two steps (counts for each sub-bucket, then a window in
 it), so a shard that holds a large part of the rows is numbered in parallel.
+Keys and sizes are written to the shared folder with a number of each row, which
+deals the rows to sub-buckets: rows that are equal in all else are spread too,
+and both steps read the same buckets.
 
 Defined results: a null text has size 1 and the crc32 of the empty string; a
 null key is one key like any other, so its rows share a shard; repeated rows
@@ -21,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrobora.llm.durable import materialize
+
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The number of the shard with the highest weighted score for ``key``."""
@@ -46,13 +51,14 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "do
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), grown).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
     buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
+    keyed = materialize(rows, "shards").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     sums = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("row")
     return (
         keyed.withColumn("inside", F.row_number().over(inside) - 1)
         .join(sums, ["shard", "bucket"])

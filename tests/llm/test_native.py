@@ -125,3 +125,26 @@ def test_chat_digest_matches_sql_and_brute_force(spark, turns):
 
 def test_chat_of_nothing(turns):
     assert chat_digest(turns.limit(0)).count() == 0
+
+
+def test_long_conversations_are_cut_in_chunks(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "é" * (i % 5) + str(i)) for i in range(1500)] + [(2, i, "assistant", "\x05a") for i in range(256)] + [(3, 0, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in read_back(format_conversations(turns)).collect()}
+    for conv in (1, 2, 3):
+        own = [r for r in rows if r[0] == conv]
+        assert [tuple(t) for t in got[conv]["turns"]] == [(r, x) for _, _, r, x in own]
+        assert got[conv]["loss"] == "".join(x for _, _, r, x in own if r == "assistant")
+    spans = {r["conv_id"]: (r["formatted"], r["spans"]) for r in format_conversations(turns).collect()}
+    text, at = spans[1]
+    assert [text[s["start"] : s["start"] + s["length"]] for s in at] == [x for c, _, r, x in rows if c == 1 and r == "assistant"]
+
+
+def test_chat_runs_no_python(spark, sf_dir):
+    plan = chat_digest(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def test_equal_rows_are_numbered_in_several_buckets(spark):
+    got = shard(docs(spark, [(5, "same")] * 500)).collect()
+    assert sorted(r["slot"] for r in got) == list(range(500)) and len({r["shard"] for r in got}) == 1

@@ -47,6 +47,18 @@ def test_hashes_tell_words_and_windows_apart(words):
         assert len(set(w)) == len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
 
 
+def test_rolling_hashes_do_not_depend_on_slabs(monkeypatch):
+    from corrobora.llm import arrowtext
+
+    h = np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64)
+    at = np.arange(0, 4990, 7)
+    whole = [arrowtext.Rolling(h, 10).windows(k) for k in (1, 3, 10)]
+    monkeypatch.setattr(arrowtext, "_SLAB", 64)
+    rolling = arrowtext.Rolling(h, 10)
+    for k, want in zip((1, 3, 10), whole, strict=True):
+        assert (rolling.windows(k) == want).all() and (rolling.windows(k, at) == want[at]).all() and len(want) == 5000 - k + 1
+
+
 # --- decontamination -------------------------------------------------------------
 
 
