@@ -16,9 +16,9 @@ of at least num/den. The stages:
 3. Ties and pairs that reach the count make clusters (connected components).
    A linked pair is always inside one cluster.
 4. Inside a cluster a local inverted index answers a T-occurrence query for
-   every class by DivideSkip: the short lists are merged and counted, then the
-   classes with at least T - L occurrences are probed by binary search in the L
-   long lists; those reaching T are links. A cluster of more than
+   every class by DivideSkip: the short lists are merged through a heap, then
+   the classes with at least T - L occurrences are probed by binary search in the
+   L longest lists; those reaching T are links. A cluster of more than
    ``block_shingles`` shingles is dealt into blocks, and each pair of blocks is
    a group of its own, so no task grows with a cluster and no link is lost.
 5. Links inside a task are returned as a spanning forest and counts; components
@@ -36,6 +36,8 @@ by ``jaccard_components``. Classes are told apart by 64-bit hashes of sets of
 from __future__ import annotations
 
 import hashlib
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -49,6 +51,10 @@ from corrobora.llm.arrowtext import NON_SPACE, blocks, buffers, mix64, span_hash
 from corrobora.llm.components import components
 from corrobora.llm.durable import materialize
 
+#: DivideSkip: weight of the longest list's logarithm in the number of lists set aside; postings that a heap
+#: merges; long lists a step.
+MU, HEAP, STEP = 0.01, 2048, 16
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
@@ -192,35 +198,64 @@ class LocalIndex:
         self.count, self.owner, hashes = len(sets), owner[order], flat[order]
         self.first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         self.key, self.end = hashes[self.first], np.append(self.first[1:], len(hashes))
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.code = np.repeat(np.arange(len(self.first)), self.end - self.first) * self.count + self.owner
+        self.took = Counter()
 
     def occurrences(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Overlap with the query of each set that may reach ``least``, else a lower bound: DivideSkip.
-
-        The L longest lists are set aside, the others merged by counting; sets
-        that then miss ``least`` by more than L are out, the rest is probed in
-        the long lists by binary search, or by one more merge where that reads less.
+        """Overlap with the query of each set that reaches ``least``, 0 for the others."""
+        found, shared = self.reaching(query, np.full(self.count, least), least)
+        out = np.zeros(self.count, np.int64)
+        out[found] = shared
+        return out
+
+    def reaching(self, query: np.ndarray, need: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets, and their overlaps, that share at least ``need`` (one number for each set, ``least`` or more) entries with the query: DivideSkip.
+
+        The L longest lists are set aside, L by the longest one's length; the
+        others are merged through a heap and counted (more than ``HEAP`` postings
+        are counted without being put in order, which gives the same). Sets that
+        then miss their number by more than L are out. The others are probed in
+        the long lists by binary search, some lists at a time, shorter ones
+        first; sets that can't reach their number any more are dropped after
+        each step.
         """
         at = np.searchsorted(self.key, query)
         at = at[self.key[np.minimum(at, len(self.key) - 1)] == query]
-        a, b = self.first[at], self.end[at]
-        size = b - a
-        long_lists = min(max(0, least - 1), int(least / (0.01 * np.log2(max(2, size.max(initial=1))) + 1)))
-        order = np.argsort(size, kind="stable")
-        cut = max(0, len(order) - long_lists)
-        counts = np.bincount(self._members(a[order[:cut]], size[order[:cut]]), minlength=self.count)
-        if cut < len(order):
-            probe = order[cut:]
-            open_ = np.flatnonzero(counts >= max(1, least - len(probe)))
-            if len(open_) * len(probe) * 4 < size[probe].sum():
-                for x in probe.tolist():
-                    entries = self.owner[a[x] : b[x]]
-                    where = np.minimum(np.searchsorted(entries, open_), len(entries) - 1)
-                    counts[open_] += entries[where] == open_
-            elif len(open_):
-                counts += np.bincount(self._members(a[probe], size[probe]), minlength=self.count)
+        size = self.end[at] - self.first[at]
+        aside = min(max(0, least - 1), int(least / (MU * np.log2(max(2, size.max(initial=1))) + 1)))
+        order = at[np.argsort(size, kind="stable")]
+        cut = max(0, len(order) - aside)
+        counts = self._merge(order[:cut])
+        left = len(order) - cut
+        open_ = np.flatnonzero((counts >= need - left) & (counts > 0) & (need <= np.minimum(self.sizes, len(query))))
+        for i in range(cut, len(order), STEP):
+            if not len(open_):
+                break
+            part = order[i : i + STEP]
+            want = (part[:, None] * self.count + open_[None, :]).ravel()
+            found = np.searchsorted(self.code, want)
+            found[found == len(self.code)] = 0
+            counts[open_] += (self.code[found] == want).reshape(len(part), -1).sum(axis=0)
+            self.took["probe"] += len(want)
+            left -= len(part)
+            open_ = open_[counts[open_] + left >= need[open_]]
+        open_ = open_[counts[open_] >= need[open_]]
+        return open_, counts[open_]
+
+    def _merge(self, lists: np.ndarray) -> np.ndarray:
+        """How often each set occurs in the lists."""
+        if int((self.end[lists] - self.first[lists]).sum()) > HEAP:
+            self.took["count"] += 1
+            return np.bincount(self._members(lists), minlength=self.count)
+        self.took["heap"] += 1
+        counts = np.zeros(self.count, np.int64)
+        for x in heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(self.first[lists].tolist(), self.end[lists].tolist(), strict=True))):
+            counts[x] += 1
         return counts
 
-    def _members(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _members(self, lists: np.ndarray) -> np.ndarray:
+        first, size = self.first[lists], self.end[lists] - self.first[lists]
         total = np.cumsum(size) - size
         return self.owner[np.repeat(first - total, size) + np.arange(int(size.sum()))]
 
@@ -257,8 +292,7 @@ def linked_groups(frame: pd.DataFrame, k: int, lower: bool, num: int, den: int)
         n = len(query)
         need = -(-num * (n + sizes) // (num + den))
         least = -(-num * n // den)  # the least overlap with a set of any size
-        counts = index.occurrences(query, least)
-        hit = np.flatnonzero(counts >= need)
+        hit, _ = index.reaching(query, need, least)
         hit = hit[~low[hit]] if across else hit[hit != i]
         links[i] += copies[hit].sum()
         if across:

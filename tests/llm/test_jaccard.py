@@ -110,3 +110,42 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(7, 7), (1000, 999)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(40)) and got[1000] == got[999] == 999
+
+
+def test_short_lists_are_merged_and_long_ones_probed():
+    """A cluster of near copies, of sets that share one common part, and of odd ones: both branches are taken and nothing is missed."""
+    rng = np.random.default_rng(4)
+    common, base = rng.integers(0, 2**60, 40), rng.integers(0, 2**60, 120)
+    sets = []
+    for i in range(200):
+        own = base.copy() if i < 80 else np.concatenate([common, rng.integers(0, 2**60, int(rng.integers(5, 90)))])
+        own[rng.integers(0, len(own), 1 + i % 9)] = rng.integers(0, 2**60)
+        sets.append(np.unique(own.astype(np.uint64)))
+    index = LocalIndex(sets)
+    for i, query in enumerate(sets):
+        need = np.array([-(-90 * (len(query) + len(s)) // 190) for s in sets])
+        hit, shared = index.reaching(query, need, -(-90 * len(query) // 100))
+        true = np.array([len(np.intersect1d(query, s)) for s in sets])
+        assert hit.tolist() == np.flatnonzero(true >= need).tolist() and shared.tolist() == true[hit].tolist() and i in hit
+    assert index.took["heap"] > 50 and index.took["probe"] > 1000
+
+
+def test_hubs_are_joined_where_their_links_are(spark, monkeypatch):
+    from corrobora.llm import components as C
+
+    monkeypatch.setattr(C, "FEW_LINKS", 5)
+    rng = random.Random(8)
+    edges = [(10_000 + h, rng.randrange(2000)) for h in range(6) for _ in range(300)] + [(i, i + 1) for i in range(3000, 3030)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(250)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    assert C.heavy_links(10**9) * C.MOST_HEAVY <= 2 * 10**9 and C.heavy_links(10) == 5
