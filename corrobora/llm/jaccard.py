@@ -192,14 +192,18 @@ class LocalIndex:
     """Inverted lists of a group of sets; a list holds set numbers in ascending order."""
 
     def __init__(self, sets: list[np.ndarray]):
+        self.count, self.sizes = len(sets), np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(flat, kind="stable")
-        self.count, self.owner, hashes = len(sets), owner[order], flat[order]
+        hashes = flat[order]
+        del flat
         self.first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         self.key, self.end = hashes[self.first], np.append(self.first[1:], len(hashes))
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.code = np.repeat(np.arange(len(self.first)), self.end - self.first) * self.count + self.owner
+        del hashes
+        # all postings in one ascending array: the list's number times the number of sets, and the set's number
+        self.code = np.repeat(np.arange(self.count), self.sizes)[order]
+        del order
+        self.code += np.repeat(np.arange(len(self.first)) * self.count, self.end - self.first)
         self.took = Counter()
 
     def occurrences(self, query: np.ndarray, least: int) -> np.ndarray:
@@ -250,14 +254,14 @@ class LocalIndex:
             return np.bincount(self._members(lists), minlength=self.count)
         self.took["heap"] += 1
         counts = np.zeros(self.count, np.int64)
-        for x in heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(self.first[lists].tolist(), self.end[lists].tolist(), strict=True))):
+        for x in heapq.merge(*((self.code[a:b] - x * self.count).tolist() for x, a, b in zip(lists.tolist(), self.first[lists].tolist(), self.end[lists].tolist(), strict=True))):
             counts[x] += 1
         return counts
 
     def _members(self, lists: np.ndarray) -> np.ndarray:
         first, size = self.first[lists], self.end[lists] - self.first[lists]
         total = np.cumsum(size) - size
-        return self.owner[np.repeat(first - total, size) + np.arange(int(size.sum()))]
+        return self.code[np.repeat(first - total, size) + np.arange(int(size.sum()))] - np.repeat(lists * self.count, size)
 
 
 def linked_groups(frame: pd.DataFrame, k: int, lower: bool, num: int, den: int) -> pd.DataFrame:
