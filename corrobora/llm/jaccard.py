@@ -79,6 +79,12 @@ def opening(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def counted(n: int, num: int, den: int) -> int:
+    """How many shingles of a set of n, in hash order, are counted: those that can come to open it when a third of them are put last."""
+    p = opening(n, num, den)
+    return min(n, p + p // 2 + 8)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int, lower: bool):
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
@@ -91,7 +97,7 @@ def _open_counts(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: in
     for _, sets in _sets(batches, k, lower):
         own = {s.tobytes(): s for s in sets if len(s)}.values()
         if own:
-            hashes, counts = np.unique(np.concatenate([s[: opening(len(s), num, den)] for s in own]), return_counts=True)
+            hashes, counts = np.unique(np.concatenate([s[: counted(len(s), num, den)] for s in own]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["g", "n"])
 
 
