@@ -1,4 +1,4 @@
-"""Commands over files of rows: compare, analyze, ensemble, inspect, convert, run, extract, select, sweep, verify.
+"""Commands over files of rows: compare, analyze, ensemble, inspect, convert, run, extract, select, select-extract, sweep, verify.
 
 What leaves the process is named as ``module:function`` and imported. Exit
 codes: 0, 2 for a wrong use or nothing to compare; ``verify`` also has 3 (no
@@ -11,7 +11,9 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import uuid
 from datetime import datetime, timedelta, timezone
+from inspect import signature as inspect_signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +27,22 @@ from corrobora.functions.urls import wiki_title
 from corrobora.operators import benchmark as B
 from corrobora.operators import citations as X
 from corrobora.operators import compare as C
+from corrobora.operators import enrichment as N
 from corrobora.operators import ensemble as E
 from corrobora.operators import findings as K
 from corrobora.operators import metrics as M
 from corrobora.operators import runs as R
 from corrobora.operators import wice as W
+from corrobora.operators.enrichment import log_payload
+from corrobora.prompts import system_prompt
 from corrobora.schemas import DATASET, RESULTS
 from corrobora.session import session
 from corrobora.sources.changes import RecentChanges
 from corrobora.sources.fetch import exit_code
-from corrobora.sources.files import read_csv, read_jsonl, read_log, read_rows, write_log, write_rows
+from corrobora.sources.corpus import locate
+from corrobora.sources.files import exists, read_csv, read_jsonl, read_log, read_rows, write_log, write_rows
+from corrobora.sources.models import REGISTRY
+from corrobora.sources.posts import post_log
 from corrobora.sources.shared import materialize
 from corrobora.streaming import sweep as S
 
@@ -79,9 +87,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--status", choices=["exact", "partial", "wrong", "error"], default="wrong")
     p.add_argument("--limit", type=int, default=20)
     p = sub.add_parser("convert")
-    p.add_argument("--claims", required=True)
+    p.add_argument("--claims", required=True, help="a file; with several splits, a pattern with {split}")
     p.add_argument("--subclaims", required=True)
-    p.add_argument("--split", required=True)
+    p.add_argument("--split", required=True, help="one split or several, parted by commas")
+    p.add_argument("--local", help="a local clone of the corpus")
+    p.add_argument("--cache", default=".cache/corpus")
+    p.add_argument("--download", help="module:function(name) -> text")
     p.add_argument("--output", required=True)
     p = sub.add_parser("run")
     p.add_argument("--dataset", required=True)
@@ -92,6 +103,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--version")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--concurrency", type=int, default=5)
+    p.add_argument("--save-every", type=int, default=500, help="entries after which results are saved")
     p = sub.add_parser("extract")
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
@@ -118,7 +130,23 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("number")
     p.add_argument("--article", required=True, help="module:function(title, revision) -> {html, status, error}")
     p.add_argument("--source", required=True, help="module:function(url, page) -> {content, status, error}")
-    p.add_argument("--model", required=True, help="module:function(prompt) -> reply")
+    p.add_argument("--model", required=True, help="module:function(prompt) or module:function(system prompt, prompt) -> reply")
+    p.add_argument("--prompt-file", help="a file whose text is the system prompt")
+    p.add_argument("--language", help="the code of the language for comments")
+    p.add_argument("--provider", default="", help="the provider's key, as it is logged")
+    p.add_argument("--post", help="module:function(url, headers, body) -> (status, reply), for the log")
+    p.add_argument("--log-base", default="", help="the log service's address")
+    p.add_argument("--no-log", action="store_true")
+    p = sub.add_parser("select-extract")
+    for table in ("links", "targets", "pages"):
+        p.add_argument(f"--{table}", required=True)
+    p.add_argument("--criterion", default="failed-verification")
+    p.add_argument("--after", type=int, default=0)
+    p.add_argument("--max", type=int, default=20)
+    p.add_argument("--article", required=True, help="module:function(title, revision) -> {html, status, error}")
+    p.add_argument("--source", help="module:function(url, page) -> {content, status, error}")
+    p.add_argument("--sources", choices=["stub", "live"], default="stub", help="stub: no source is fetched")
+    p.add_argument("--output", required=True, help="a folder for the citations, as Parquet")
     return top
 
 
@@ -164,7 +192,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace, out) -> int:
     text += "\n" + "\n\n".join(reports.confusion_text(matrix, r["provider"]) for r in rows) + "\n"
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.write(reports.analysis_json(rows, M.best(results).first().asDict(), matrix) if a.output.endswith(".json") else text)
     print(text, file=out)
     return 0
 
@@ -199,16 +227,31 @@ CLAIM = "id string, label string, claim string, evidence array<string>, supporti
 
 
 def convert(spark: SparkSession, a: argparse.Namespace, out) -> int:
-    claims, subclaims = (read_jsonl(spark, path, _parse_datatype_string(CLAIM)) for path in (a.claims, a.subclaims))
-    flat = claims.select(F.col("meta.id").alias("id"), "label", "claim", "evidence", "supporting_sentences", "meta.claim_title", "meta.claim_section", "meta.claim_context")
-    subs = subclaims.select(F.regexp_extract("meta.id", "-([0-9]+)$", 1).try_cast("int").alias("pos"), F.col("meta.id").alias("id"), "label")
-    rows = W.convert(flat, subs, a.split)
+    splits, schema = [x.strip() for x in a.split.split(",") if x.strip()], _parse_datatype_string(CLAIM)
+    rows = None
+    for split in splits:
+        part = _convert_split(spark, a, split, schema)
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialize(rows, "converted")
     write_rows(rows, a.output, {"split": a.split})
     for r in W.summary(rows).orderBy("tally", "value").collect():
         print(f"{r['tally']} {r['value']}: {r['n']}", file=out)
     return 0
 
 
+def _convert_split(spark: SparkSession, a: argparse.Namespace, split: str, schema) -> DataFrame:
+    get = _named(a.download) if a.download else None
+
+    def load(name: str) -> DataFrame:
+        name = name.format(split=split)
+        return read_jsonl(spark, locate(name, a.local, a.cache, get) if a.local or a.download else name, schema)
+
+    claims, subclaims = load(a.claims), load(a.subclaims)
+    flat = claims.select(F.col("meta.id").alias("id"), "label", "claim", "evidence", "supporting_sentences", "meta.claim_title", "meta.claim_section", "meta.claim_context")
+    subs = subclaims.select(F.regexp_extract("meta.id", "-([0-9]+)$", 1).try_cast("int").alias("pos"), F.col("meta.id").alias("id"), "label")
+    return W.convert(flat, subs, split)
+
+
 def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
     models = _named(a.models)()
     wanted = a.providers.split(",") if a.providers else list(models)
@@ -220,11 +263,18 @@ def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
         dataset = dataset.where(F.col("dataset_version") == a.version)
     if a.limit:
         dataset = R.by_number(dataset).limit(a.limit)
-    older = load_results(spark, a.results) if a.resume else None
-    kept = R.reload(older, wanted, resume=True) if older is not None else None
-    fresh = materialize(B.run(dataset, {p: models[p] for p in wanted}, {p: p for p in wanted}, a.concurrency, kept), "results")  # asked once
-    both = kept.drop("pos").unionByName(fresh.withColumn("timestamp", F.col("timestamp").cast("string")), allowMissingColumns=True) if kept is not None else fresh
-    write_rows(both, a.results, {"run_at": datetime.now(timezone.utc).isoformat()})
+    names = {p: getattr(models[p], "model", None) or (REGISTRY[p].model if p in REGISTRY else p) for p in wanted}
+    kept = R.reload(load_results(spark, a.results), wanted, resume=a.resume) if exists(spark, a.results) else None  # rows of other providers always stay
+    kept = materialize(kept, "kept") if kept is not None else None
+    entries = materialize(dataset.withColumn("part", F.expr(f"(row_number() over (order by id) - 1) div {a.save_every}")), "entries")
+    fresh = None
+    for part in range((entries.agg(F.max("part")).first()[0] or 0) + 1):  # saved after each part: a crash loses one
+        mine = entries.where(F.col("part") == part).drop("part")
+        got = materialize(B.run(mine, {p: models[p] for p in wanted}, names, a.concurrency, kept), "results")  # asked once
+        fresh = got if fresh is None else fresh.unionByName(got)
+        both = fresh.withColumn("timestamp", F.col("timestamp").cast("string"))
+        both = kept.drop("pos").unionByName(both, allowMissingColumns=True) if kept is not None else both
+        write_rows(both, a.results, {"run_at": datetime.now(timezone.utc).isoformat()})
     for r in M.run_summary(fresh, F.col("correct")).orderBy("provider").collect():
         print(f"{r['provider']}: {r['exact']}/{r['total']} exact, {r['partial']} partial, {r['wrong']} wrong, {r['errors']} errors", file=out)
     return 0
@@ -301,17 +351,45 @@ def verify(spark: SparkSession, a: argparse.Namespace, out) -> int:
     if not source.get("content"):
         return 7
     try:
-        reply = _named(a.model)(user_prompt_text(cited["claim_text"], source["content"]))
+        reply = _ask(a.model, user_prompt_text(cited["claim_text"], source["content"]), system_prompt(language=a.language, file=a.prompt_file))
     except Exception as error:
         return exit_code(str(error))
     said = parse(reply)
     if said["verdict"] == "PARSE_ERROR":
         return 11
     quote = check_quote(source["content"], said["source_quote"])
+    if a.post and not a.no_log:
+        entry = spark.createDataFrame([(uuid.uuid4().hex[:8], a.url, title, cited["citation_number"], cited["url"], a.provider, said["verdict"], said["confidence"], said["reason_type"], cited["claim_text"], said["comments"], said["source_quote"], quote["status"], str(oldid))],
+            "check_id string, article_url string, article_title string, citation_number string, source_url string, provider string, verdict string, confidence int, reason_type string, claim_text string, comments string, source_quote string, quote_status string, revision_id string")
+        if not post_log(a.log_base, log_payload(entry).first().asDict(), _named(a.post)):
+            print("the check could not be logged", file=sys.stderr)
     print(f"Claim: {cited['claim_text']}\nSource: {cited['url']}\nVerdict: {said['verdict']} ({said['confidence']})\n{said['comments']}\nQuote: {quote['status']} {quote['verified_text']}".rstrip(), file=out)
     return 0
 
 
+def select_extract(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    """Candidates, their articles and citations, with sources fetched or stubbed."""
+    if a.sources == "live" and not a.source:
+        print("--sources live needs --source", file=sys.stderr)
+        return 2
+    links, targets, pages = (spark.read.parquet(p) for p in (a.links, a.targets, a.pages))
+    found = materialize(K.candidates(links, targets, pages, K.criterion(a.criterion), a.after, a.max), "candidates")
+    source = _named(a.source) if a.sources == "live" else N.stub_source
+    articles, citations = N.process(found, _named(a.article), source)
+    citations.write.mode("overwrite").parquet(a.output)
+    for r in articles.groupBy("outcome").count().orderBy("outcome").collect():
+        print(f"{r['outcome']}: {r['count']}", file=out)
+    totals = N.extraction_totals(citations).first()
+    print(", ".join(f"{k} {totals[k]}" for k in totals.asDict()), file=out)
+    return 0
+
+
+def _ask(model: str, prompt: str, system: str) -> str:
+    """The reply of ``module:function``: a function of two takes the system prompt first."""
+    call = _named(model)
+    return call(system, prompt) if len(inspect_signature(call).parameters) > 1 else call(prompt)
+
+
 def user_prompt_text(claim: str, content: str) -> str:
     body = content.partition("Source Content:\n")[2] or content
     return f'Claim: "{claim}"\n\nSource text:\n{body}'
@@ -322,7 +400,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     return COMMANDS[a.command](spark or session(), a, out)
 
 
-COMMANDS = {f.__name__: f for f in (compare, analyze, ensemble, inspect, convert, run, extract, select, sweep, verify)}
+COMMANDS = {f.__name__.replace("_", "-"): f for f in (compare, analyze, ensemble, inspect, convert, run, extract, select, select_extract, sweep, verify)}
 
 
 if __name__ == "__main__":

@@ -135,12 +135,6 @@ def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark has no function for."""
-    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
-
-
 def check(source: Column | str, quote: Column | str) -> Column:
     """The struct of ``SCHEMA`` for each row."""
     return _verify(source, quote)

@@ -5,8 +5,12 @@ Lengths are code points throughout.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What JavaScript's \s and trim() treat as white space, as a Java character class body.
 JS_SPACE = r"\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -66,13 +70,39 @@ def check_id() -> Column:
     return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Canonical composition, which Spark has no function for."""
+    return texts.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def normal_claim(c: Column | str) -> Column:
+    """A claim as it is compared: composed, white space collapsed, trimmed."""
+    return collapse(nfc(F.coalesce(_col(c), F.lit(""))))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def claim_hash(c: Column | str) -> Column:
-    """SHA-256 of the text, as 32 bytes; null hashes as the empty text."""
-    return F.unhex(F.sha2(F.coalesce(_col(c), F.lit("")), 256))
+    """SHA-256 of the normal form of a claim, as 32 bytes; null hashes as the empty text."""
+    return _digest(normal_claim(c))
 
 
 def source_url_hash(c: Column | str) -> Column:
-    return claim_hash(js_trim(F.coalesce(_col(c), F.lit(""))))
+    """SHA-256 of the trimmed address."""
+    return _digest(js_trim(F.coalesce(_col(c), F.lit(""))))
+
+
+MOST_MANUAL = 80_000
+
+
+def manual_source(c: Column | str, most: int = MOST_MANUAL) -> Column:
+    """A struct of a source text that a person entered, framed, and whether it was cut at ``most`` characters; blank is null."""
+    own = js_trim(F.coalesce(_col(c), F.lit("")))
+    framed = F.concat(F.lit("Manual source text:\n\n"), F.substring(own, 1, most))
+    return F.when(own != "", F.struct(framed.alias("content"), (F.char_length(own) > most).alias("truncated")))
 
 
 def source_text(c: Column | str) -> Column:

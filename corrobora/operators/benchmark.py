@@ -17,7 +17,7 @@ from corrobora.functions.verdicts import canonical, runner_label, score, truth_l
 from corrobora.operators.citations import extract_citations
 from corrobora.operators.common import has_error, ready
 from corrobora.operators.runs import open_tasks, reload
-from corrobora.sources.fetch import with_retry
+from corrobora.sources.fetch import fetch_with_retry, with_retry
 from corrobora.sources.shared import materialize
 
 ANSWER = "text string, tokens_in int, tokens_out int, cost_usd double, latency_ms long, error string"
@@ -64,12 +64,12 @@ def run(dataset: DataFrame, models: Mapping[str, Callable[[str], dict]], names:
     )
 
 
-def extract_dataset(rows: DataFrame, article: Callable[[str], str], source: Callable[[str, int | None], dict]) -> DataFrame:
+def extract_dataset(rows: DataFrame, article: Callable[[str], str], source: Callable[[str, int | None], dict], sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Dataset entries of a table of citations to check.
 
     rows: row, article_url, citation_number, occurrence, ground_truth,
     dataset_version, claim_override, url_override. Overrides replace what would
-    be extracted, and an article all of whose rows have both is not fetched. An
+    be extracted, fetches that fail for a while are tried three times, and an article all of whose rows have both is not fetched. An
     article that cannot be had gives entries that say so.
     """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -81,7 +81,7 @@ def extract_dataset(rows: DataFrame, article: Callable[[str], str], source: Call
             pages, errors = [], []
             for url in frame["article_url"]:
                 try:
-                    pages.append(article(url))
+                    pages.append(with_retry(lambda u=url: article(u), 3, sleep=sleep))
                     errors.append(None)
                 except Exception as error:
                     pages.append(None)
@@ -104,7 +104,7 @@ def extract_dataset(rows: DataFrame, article: Callable[[str], str], source: Call
             texts = []
             for address in frame["key"]:
                 try:
-                    texts.append((source(address, None) or {}).get("content"))
+                    texts.append(fetch_with_retry(source, address, None, sleep=sleep).get("content"))
                 except Exception:
                     texts.append(None)
             yield frame.assign(source_text=texts)

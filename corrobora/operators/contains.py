@@ -1,10 +1,13 @@
-"""Quotes found inside texts, by blocking on word windows.
+"""Quotes found inside texts, by blocking on words that a containing text has whole.
 
-A quote's inner words stand whole in a text that contains it. One window of
-three inner words, the one that the fewest quotes share, is the quote's block;
-texts are joined to it by an equality on hashes of their distinct windows, and
-only what meets is searched for the quote. Quotes of under five words have no
-block and are searched for in every text, in one broadcast of checked size.
+A quote's inner words stand whole in a text that contains it. A quote of five
+words or more has as its block one window of three inner words, one of three or
+four words a single inner word: the one that the fewest quotes share. Texts meet
+the blocks by equality of hashes, by a broadcast of the blocks' hashes while
+these are at most ``MOST_ANCHORS``, so that texts' words are not shuffled, else by
+a join; only what meets is searched for the quote. Quotes of one or two words
+have no inner word: they are searched for in all texts, ``MOST_SHORT`` of them a
+pass.
 """
 
 from __future__ import annotations
@@ -12,36 +15,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of short quotes that may be broadcast.
-MOST_SHORT = 10_000
+from corrobora.functions.quotes import normalized
+
+#: Rows of short quotes that are broadcast at once; hashes of blocks that may be broadcast.
+MOST_SHORT, MOST_ANCHORS = 10_000, 1_000_000
 
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"[ \t\n\r\f\u000B]+", -1), lambda w: w != "")
 
 
-def _windows(words: Column) -> Column:
+def _windows(words: Column, k: int) -> Column:
     n = F.size(words)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<bigint>"))
+    made = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(*(F.get(words, i - 1 + j) for j in range(k))))
+    return F.when(n >= k, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
 
 
-def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the text contains the quote. texts: doc_id, text; quotes: item_id, quote."""
-    cut = quotes.where(F.length("quote") > 0).select("item_id", "quote", F.explode(F.array(_words(F.col("quote")))).alias("w"))
-    inner = cut.where(F.size("w") >= 5).select("item_id", "quote", F.explode(F.array(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
-    long = inner.select("item_id", "quote", F.explode(_windows(F.col("w"))).alias("block"))
+def _met(texts: DataFrame, inner: DataFrame, k: int) -> DataFrame:
+    """(doc_id, item_id) of texts that have the quote's rarest window of k inner words."""
+    blocks = inner.select("item_id", F.explode(_windows(F.col("w"), k)).alias("block"))
+    shared = blocks.groupBy("block").agg(F.count_distinct("item_id").alias("shared"))
     rare = Window.partitionBy("item_id").orderBy("shared", "block")
-    shared = long.groupBy("block").agg(F.count_distinct("item_id").alias("shared"))
-    anchors = long.join(shared, "block").withColumn("k", F.row_number().over(rare)).where("k = 1").select("item_id", "quote", "block")
+    anchors = blocks.join(shared, "block").withColumn("k", F.row_number().over(rare)).where("k = 1").select("item_id", "block")
+    n = anchors.count()
+    if not n:
+        return texts.select("doc_id").join(anchors.select("item_id"), F.lit(False))
     # the words are a column of their own: inside a lambda they would be cut anew for every window
     words = texts.select("doc_id", F.explode(F.array(_words(F.col("text")))).alias("w"))
-    blocks = words.select("doc_id", F.explode(_windows(F.col("w"))).alias("block"))
-    met = blocks.join(anchors, "block").select("doc_id", "item_id", "quote").distinct()
-    found = met.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id")
-    short = cut.where(F.size("w") < 5).select("item_id", "quote")
-    n = short.count()
-    if n > MOST_SHORT:
-        raise ValueError(f"{n} quotes of under five words; at most {MOST_SHORT} can be searched for without a block")
-    if n:
-        found = found.union(texts.join(F.broadcast(short), F.contains("text", "quote")).select("doc_id", "item_id"))
+    have = words.select("doc_id", F.explode(_windows(F.col("w"), k)).alias("block"))
+    return have.join(F.broadcast(anchors) if n <= MOST_ANCHORS else anchors, "block").select("doc_id", "item_id").distinct()
+
+
+def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where the text contains the quote. texts: doc_id, text; quotes: item_id, quote."""
+    texts, quotes = texts.select("doc_id", "text"), quotes.where(F.length("quote") > 0).select("item_id", "quote")
+    cut = quotes.select("item_id", "quote", F.explode(F.array(_words(F.col("quote")))).alias("w"))
+    inner = cut.where(F.size("w") >= 3).select("item_id", "quote", F.explode(F.array(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
+    met = _met(texts, inner.where(F.size("w") >= 3), 3).union(_met(texts, inner.where(F.size("w") < 3), 1))
+    found = met.join(quotes, "item_id").join(texts, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id")
+    short = cut.where(F.size("w") < 3).select("item_id", "quote")
+    passes = -(-short.count() // MOST_SHORT)
+    for k in range(passes):
+        part = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(2 * passes)).isin(2 * k, 2 * k + 1)) if passes > 1 else short
+        found = found.union(texts.join(F.broadcast(part), F.contains("text", "quote")).select("doc_id", "item_id"))
     return found.distinct()
+
+
+def containing_normalized(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The same for texts and quotes in the form in which quotes are compared: entities, quotation marks, dashes, spaces and case do not matter."""
+    return containing(texts.select("doc_id", normalized("text").alias("text")), quotes.select("item_id", normalized("quote").alias("quote")))

@@ -6,6 +6,7 @@ cannot be had, a source that is missing, a model that raises.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.quotes import check
 from corrobora.functions.replies import parsed
-from corrobora.functions.text import claim_hash, revision_id, source_text, source_url_hash, truncate_for_log, user_prompt
+from corrobora.functions.text import claim_hash, group_prompt, revision_id, source_text, source_url_hash, truncate_for_log, user_prompt
 from corrobora.functions.urls import source_key
 from corrobora.operators.citations import extract_citations
-from corrobora.sources.fetch import fetch_articles, resolve_sources
+from corrobora.operators.groups import assemble
+from corrobora.sources.fetch import fetch_articles, resolve_sources, with_retry
 from corrobora.sources.shared import materialize
 
 
@@ -35,6 +37,11 @@ def process(candidates: DataFrame, article: Callable, source: Callable) -> tuple
     return outcomes(articles, citations), materialize(resolve_sources(citations, source), "sources")
 
 
+def stub_source(url: str, page: int | None) -> dict:
+    """In place of a fetch: no source is had."""
+    return {"content": None, "status": None, "error": "not fetched (stub)"}
+
+
 def ask(rows: DataFrame, model: Callable[[str], str], prompt: Column) -> DataFrame:
     """Adds the model's reply, read, and its quote held against the source.
 
@@ -76,6 +83,41 @@ def verify(rows: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return ask(rows, model, user_prompt("claim_text", "content"))
 
 
+def verify_groups(members: DataFrame, claims: DataFrame, model: Callable[[str], str], tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """One verdict a group on its sources together.
+
+    members: as for ``groups.assemble``; claims: group_id, claim_text. A group
+    with at most one source to be had is skipped, since its verdict would be
+    that source's. Each other one is one call, tried again while the error may
+    pass; its quote is held against the assembled text.
+    """
+    rows = assemble(members).join(claims, "group_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies, errors = [], []
+            for text in frame["prompt"]:
+                reply = error = None
+                if text is not None:
+                    try:
+                        reply = with_retry(lambda t=text: model(t), tries, base=5.0, jitter=0.0, sleep=sleep)
+                    except Exception as e:
+                        error = str(e)
+                replies.append(reply)
+                errors.append(error)
+            yield frame.assign(reply=replies, model_error=errors)
+
+    asked = rows.withColumn("prompt", F.when(~F.col("skipped"), group_prompt("claim_text", "text")))
+    read = asked.mapInPandas(run, asked._jdf.schema().toDDL() + ", reply string, model_error string").withColumn("r", F.when(F.col("reply").isNotNull(), parsed("reply")))
+    failed = F.col("model_error").isNotNull()
+    return read.withColumn("q", check("text", F.coalesce(F.col("r.source_quote"), F.lit("")))).select(
+        "group_id", "skipped", "sources", "available", F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        F.when(F.col("skipped"), None).when(failed, "ERROR").otherwise(F.col("r.verdict")).alias("verdict"), F.when(~F.col("skipped") & ~failed, F.col("r.confidence")).alias("confidence"),
+        F.when(failed, F.col("model_error")).otherwise(F.col("r.comments")).alias("comments"), F.col("r.reason_type").alias("reason_type"),
+        F.when(~F.col("skipped"), F.coalesce(F.col("r.source_quote"), F.lit(""))).alias("source_quote"), F.when(~F.col("skipped"), F.col("q.status")).alias("quote_status"), F.when(~F.col("skipped"), F.col("q.verified")).alias("quote_verified"),
+    )
+
+
 def as_findings(rows: DataFrame, wiki: str, provider: str, prompt_version: str) -> DataFrame:
     """Verified citations as findings, keyed by the hashes of claim and address."""
     return rows.select(

@@ -95,11 +95,19 @@ def best(results: DataFrame) -> DataFrame:
     )
 
 
+def _costs(results: DataFrame) -> list[Column]:
+    if "cost_usd" not in results.columns:
+        return []
+    cost = F.sum("cost_usd")
+    return [cost.alias("cost_usd"), F.avg("cost_usd").alias("avg_cost_usd"), F.try_divide(cost, F.nullif(F.count_if(F.col("correct") == "exact"), F.lit(0))).alias("cost_per_exact_usd")]
+
+
 def run_summary(results: DataFrame, correct: Column) -> DataFrame:
-    """Counts of a run and its mean latency over all rows."""
+    """Counts of a run, its mean latency over all rows and, where rows have costs, their sum, mean and sum for each exact one."""
     return results.withColumn("correct", correct).groupBy("provider").agg(
         F.count("*").alias("total"), F.count_if(F.col("correct") == "exact").alias("exact"), F.count_if(F.col("correct") == "partial").alias("partial"), F.count_if(F.col("correct") == "wrong").alias("wrong"),
         F.count_if(has_error()).alias("errors"), F.avg("latency_ms").alias("avg_latency"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+        *_costs(results),
     )
 
 
@@ -119,4 +127,6 @@ def quote_fidelity(logs: DataFrame) -> DataFrame:
 
 
 def distinct_counts(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("rows"), F.count_distinct("entry_id").alias("entries"), F.count_distinct("provider").alias("providers"))
+    """Rows, and distinct entries and providers, and addresses and groups where rows have them."""
+    more = [F.count_distinct(c).alias(n) for c, n in (("source_url", "urls"), ("group_id", "groups")) if c in results.columns]
+    return results.agg(F.count("*").alias("rows"), F.count_distinct("entry_id").alias("entries"), F.count_distinct("provider").alias("providers"), *more)

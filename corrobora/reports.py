@@ -117,6 +117,18 @@ def analysis_markdown(metrics: list[dict], best: dict) -> str:
     return "\n".join([*lines, "", f"Fastest: {best['fastest']}. Best calibrated: {best['best_calibrated']}. Most accurate: {best['most_accurate']}.", ""])
 
 
+def analysis_json(metrics: list[dict], best: dict, matrix: list[dict]) -> str:
+    """The analysis as one tree: providers with their metrics and confusion matrices, and the best ones."""
+    tree = {}
+    for m in sorted(metrics, key=lambda m: -m["exact_accuracy"]):
+        cells: dict[str, dict[str, int]] = {}
+        for r in matrix:
+            if r["provider"] == m["provider"]:
+                cells.setdefault(r["truth"], {})[r["predicted"]] = r["n"]
+        tree[m["provider"]] = {k: v for k, v in m.items() if k != "provider"} | {"confusion_matrix": cells}
+    return json.dumps({"providers": tree, "best": best, "ranking": list(tree)}, indent=2, ensure_ascii=False, default=str)
+
+
 def confusion_text(matrix: list[dict], provider: str) -> str:
     """A padded table of truth against prediction."""
     n = {(r["truth"], r["predicted"]): r["n"] for r in matrix if r["provider"] == provider}

@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from corrobora.sources.fetch import with_retry
+
 SCHEMA = "wiki string, revid long, old_revid long, pageid long, title string, user string, timestamp string, comment string, size_delta int, is_new_page boolean, is_minor boolean"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def pages(function: str, wiki: str, start: str, end: str) -> Iterator[dict]:
-    """All changes of a wiki in [start, end], page after page."""
+    """All changes of a wiki in [start, end], page after page; a page that fails for a while is asked for three times."""
     module, _, name = function.partition(":")
     call, token = getattr(importlib.import_module(module), name), None
     while True:
-        rows, token = call(wiki, start, end, token)
+        rows, token = with_retry(lambda t=token: call(wiki, start, end, t), 3)
         yield from rows
         if not token:
             return

@@ -11,7 +11,8 @@ from __future__ import annotations
 import random
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,13 +71,52 @@ def fetch_source(url: str, page: int | None, proxy: Callable[[str, int | None],
     if re.search(r"books\.google\.", url):
         return {"content": None, "status": None, "error": "Google Books URL skipped (no fetchable content)"}
     if m := re.match(r"^https?://web\.archive\.org/web/(\d+)(?:id_)?/(https?://.+)$", url):
-        return proxy(f"https://web.archive.org/web/{m[1]}id_/{m[2]}", page)
-    got = proxy(url, page)
-    if not got.get("content") and snapshot and (kept := snapshot(url)):
-        return proxy(kept, page)
+        return _safe(proxy, f"https://web.archive.org/web/{m[1]}id_/{m[2]}", page)
+    got = _safe(proxy, url, page)
+    if not got["content"] and snapshot:
+        try:
+            kept = snapshot(url)
+        except Exception:  # no snapshot is known: the live answer stands
+            kept = None
+        if kept:
+            return _safe(proxy, kept, page)
     return got
 
 
+def find_snapshot(url: str, get: Callable[[str], dict]) -> str | None:
+    """The raw address of the closest archived snapshot of a page; ``get`` gives the parsed answer of an address."""
+    closest = ((get(f"https://archive.org/wayback/available?url={quote(url, safe='')}") or {}).get("archived_snapshots") or {}).get("closest") or {}
+    if not closest.get("available") or not closest.get("timestamp"):
+        return None
+    return f"https://web.archive.org/web/{closest['timestamp']}id_/{url}"
+
+
+def pdf_source(pages: Sequence[str], url: str, page: int | None = None) -> dict:
+    """The text layer of a PDF, read elsewhere page by page, as a source: one page (from 1) or all."""
+    if page is not None and not 1 <= page <= len(pages):
+        return {"content": None, "status": None, "error": f"The PDF has {len(pages)} pages, not {page}"}
+    return shape_reply("\n\n".join(pages) if page is None else pages[page - 1], source_url=url, pages=len(pages), page=page)
+
+
+def fetch_with_retry(fetch: Callable[..., dict], *arguments, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """A fetch that is tried again where it raises, or answers with an error, that may pass."""
+
+    def call() -> dict:
+        got = fetch(*arguments) or {}
+        if not got.get("content") and (message := f"HTTP {got['status']}" if got.get("status") else str(got.get("error") or "")) and is_retryable(message):
+            last.append(got)
+            raise RuntimeError(message)
+        return got
+
+    last: list[dict] = []
+    try:
+        return with_retry(call, tries, sleep=sleep)
+    except Exception:
+        if last:
+            return last[-1]
+        raise
+
+
 def _safe(call: Callable[..., dict], *arguments) -> dict:
     try:
         got = call(*arguments) or {}

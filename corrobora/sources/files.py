@@ -36,23 +36,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 LOG = "wiki string, revid long, old_revid long, pageid long, title string, user string, timestamp string, comment string, size_delta int, is_new_page boolean, is_minor boolean, first_seen string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """An edit log of one object a line; empty where there is no file."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], LOG)
     return spark.read.schema(LOG).json(path)
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """The log sorted by (timestamp, wiki, revid), keys in order, in one file."""
+    """The log sorted by (timestamp, wiki, revid), keys in order: a directory with one part, since a log is one sequence."""
     columns = sorted(log.columns)
     ordered = log.orderBy(F.coalesce("timestamp", F.lit("")), F.coalesce("wiki", F.lit("")), F.coalesce("revid", F.lit(0)))
     ordered.coalesce(1).select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def _split(line: str) -> list[str]:
-    """Cells of a line as the reference tool cut them: every quote toggles, so a doubled one vanishes."""
+    """Cells of a line in the older cutting: every quote toggles, so a doubled one vanishes."""
     cells, cell, inside = [], [], False
     for c in line:
         if c == '"':
@@ -97,8 +101,10 @@ def write_rows(rows: DataFrame, path: str, metadata: dict) -> None:
     out = fs.create(staged, True)
     out.write(bytearray(body.encode()))
     out.close()
-    fs.delete(where, False)
-    fs.rename(staged, where)
+    jvm = spark._jvm  # a rename that replaces: a crash leaves the old file or the new one
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(where), options)
 
 
 REVIEW = ["id", "article_title", "citation_number", "occurrence", "claim_text", "source_url", "source_text_preview", "ground_truth", "dataset_version", "extraction_status", "needs_manual_review", "manual_claim_override", "manual_source_override"]

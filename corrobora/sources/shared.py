@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = option.get() if option.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir: a cluster's executors share no folder of this machine")
         app = spark.sparkContext.applicationId
         named = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corrobora-"))
     return named.rstrip("/")
