@@ -16,6 +16,7 @@ from corrobora.operators import groups as G
 from corrobora.operators import wice as W
 from corrobora.operators.contains import containing
 from corrobora.plans.adapters import RAW_SQL, raw_results, table
+from corrobora.sources import models as M
 from corrobora.streaming import sweep as S
 
 
@@ -25,11 +26,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return docs.select("doc_id", F.lower(F.hex(T.claim_hash(T.collapse("text")))).alias("claim_hash"), F.lower(F.hex(T.source_url_hash(F.concat(F.lit(" "), "source", F.lit("\n"))))).alias("url_hash"))
+    return docs.select("doc_id", F.lower(F.hex(T.claim_hash(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301"))))).alias("claim_hash"), F.lower(F.hex(T.source_url_hash(F.concat(F.lit(" "), "source", F.lit("\n"))))).alias("url_hash"))
 
 
 _COLLAPSED = rf"trim(regexp_replace(text, '[{T.JS_SPACE_RE2}]+', ' ', 'g'))"
-HASH_SQL = f"SELECT doc_id, sha256({_COLLAPSED}) AS claim_hash, sha256(source) AS url_hash FROM documents"
+_CLAIM_FORM = rf"trim(regexp_replace(nfc_normalize(replace(coalesce(text, ''), 'é', 'e' || chr(769))), '[{T.JS_SPACE_RE2}]+', ' ', 'g'))"
+HASH_SQL = f"SELECT doc_id, sha256({_CLAIM_FORM}) AS claim_hash, sha256(source) AS url_hash FROM documents"
 
 
 def url_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,7 @@ QUOTE_CHECK_SQL = "SELECT doc_id, item_id, 'exact' AS status, true AS verified F
 
 def quote_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with other quotation marks, dashes and spaces, held against their own texts."""
-    quote = F.concat(F.lit("“"), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("  ")), F.lit(" … "), F.upper(F.substring("text", 60, 40)), F.lit("”"))
+    quote = F.concat(F.lit("“"), F.replace(F.expr("substring(text, 1, length(text) div 2)"), F.lit(" "), F.lit("  ")), F.lit(" … "), F.upper(F.expr("substring(text, length(text) div 2 + 1)")), F.lit("”"))
     rows = _documents(spark, sf_dir).select("doc_id", Q.check("text", quote).alias("q"))
     return rows.select("doc_id", "q.status", "q.verified", F.size("q.segments").alias("segments"))
 
@@ -137,13 +139,13 @@ SELECTION_SQL = """SELECT o_orderkey AS page_id, replace(o_orderpriority, '_', '
 
 def findings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by the hash of their claim; a second batch is written over the first."""
-    docs = _documents(spark, sf_dir).select(F.lower(F.hex(T.claim_hash(T.collapse("text")))).alias("claim_hash"), "doc_id", F.col("lang").alias("verdict"), F.col("doc_id").alias("created_at"))
+    docs = _documents(spark, sf_dir).select(F.lower(F.hex(T.claim_hash("text"))).alias("claim_hash"), "doc_id", F.col("lang").alias("verdict"), F.col("doc_id").alias("created_at"))
     old = docs.groupBy("claim_hash").agg(F.min("doc_id").alias("doc_id"), F.min_by("verdict", "doc_id").alias("verdict"), F.min("created_at").alias("created_at"))
     new = docs.where("doc_id % 3 = 0").withColumn("verdict", F.upper("verdict"))
     return K.upsert(old, new, ["claim_hash"], ["doc_id"])
 
 
-UPSERT_SQL = f"""WITH d AS (SELECT sha256({_COLLAPSED}) AS claim_hash, doc_id, lang AS verdict FROM documents),
+UPSERT_SQL = f"""WITH d AS (SELECT sha256({_CLAIM_FORM}) AS claim_hash, doc_id, lang AS verdict FROM documents),
 o AS (SELECT claim_hash, min(doc_id) AS doc_id, arg_min(verdict, doc_id) AS verdict FROM d GROUP BY 1), n AS (SELECT claim_hash, max(doc_id) AS doc_id, upper(arg_max(verdict, doc_id)) AS verdict FROM d WHERE doc_id % 3 = 0 GROUP BY 1)
 SELECT o.claim_hash, coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.verdict, o.verdict) AS verdict, o.doc_id AS created_at FROM o LEFT JOIN n USING (claim_hash)"""
 
@@ -184,12 +186,12 @@ def group_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts of groups, one a conversation, of its turns as sources."""
     members = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("group_id"), F.col("turn").alias("group_index"), F.col("turn").cast("string").alias("citation_number"), F.when(F.col("turn") % 4 != 3, F.concat(F.lit("u"), "role")).alias("url"),
-        F.lit(None).cast("int").alias("page_num"), F.when(F.col("turn") % 4 < 2, F.concat(F.lit("Source Content:\n"), F.substring("text", 1, 50))).alias("content"), F.lit(404).alias("status"), F.lit("gone").alias("error"),
+        F.lit(None).cast("int").alias("page_num"), F.when(F.col("turn") % 4 < 2, F.concat(F.lit("Source Content:\n"), "text")).alias("content"), F.lit(404).alias("status"), F.lit("gone").alias("error"),
     )
     return G.assemble(members).select("group_id", F.sha2("text", 256).alias("text_hash"), "sources", "available", "skipped")
 
 
-GROUP_SQL = r"""WITH m AS (SELECT conv_id AS g, turn AS i, CASE WHEN turn % 4 <> 3 THEN 'u' || role END AS url, CASE WHEN turn % 4 < 2 THEN substr(text, 1, 50) END AS content FROM conversations),
+GROUP_SQL = r"""WITH m AS (SELECT conv_id AS g, turn AS i, CASE WHEN turn % 4 <> 3 THEN 'u' || role END AS url, CASE WHEN turn % 4 < 2 THEN text END AS content FROM conversations),
 k AS (SELECT *, coalesce(url, '__nourl_' || i) AS key FROM m),
 s AS (SELECT g, key, min(i) AS "at", string_agg('[' || i || ']', '' ORDER BY i) AS nums, arg_min(coalesce(url, '-'), i) AS url, arg_min(coalesce(content, ''), i) AS content FROM k GROUP BY g, key),
 b AS (SELECT g, "at", regexp_replace(regexp_replace(content, '^\s+', ''), '\s+$', '') AS body, 'Source ' || nums || CASE WHEN url = '-' THEN '' ELSE ' (' || url || ')' END || ':' || chr(10) AS label FROM s)
@@ -197,6 +199,50 @@ SELECT g AS group_id, sha256(string_agg(label || CASE WHEN body <> '' THEN body
   count(*) FILTER (WHERE body <> '') <= 1 AS skipped FROM b GROUP BY g"""
 
 
+def _judge_together(prompt: str) -> str:
+    """A model that goes by the number of sources it is shown."""
+    n = prompt.count("\nSource [")
+    return f'{{"verdict": "{"SUPPORTED" if n > 2 else "NOT SUPPORTED"}", "confidence": {10 * min(n, 9)}, "source_quote": "", "comments": "c"}}'
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("group_id"), F.col("turn").alias("group_index"), F.col("turn").cast("string").alias("citation_number"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("url"), F.lit(None).cast("int").alias("page_num"),
+        F.when(F.col("turn") % 3 != 1, F.concat(F.lit("Source Content:\n"), F.replace(F.col("text"), F.lit("Source"), F.lit("source")))).alias("content"), F.lit(404).alias("status"), F.lit("gone").alias("error"),
+    )
+
+
+def collective_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict a conversation on its turns as sources; those with at most one source are skipped."""
+    members = _members(spark, sf_dir)
+    claims = members.select("group_id").distinct().withColumn("claim_text", F.lit("c"))
+    return N.verify_groups(members, claims, _judge_together).select("group_id", "skipped", "sources", "available", "verdict", "confidence", "quote_status")
+
+
+COLLECTIVE_SQL = rf"""WITH m AS (SELECT conv_id, CASE WHEN turn % 3 <> 1 THEN regexp_replace(coalesce(text, ''), '^[{T.JS_SPACE_RE2}]+|[{T.JS_SPACE_RE2}]+$', '', 'g') ELSE '' END AS body FROM conversations),
+g AS (SELECT conv_id AS group_id, count(*) AS sources, count(*) FILTER (WHERE body <> '') AS available FROM m GROUP BY 1)
+SELECT group_id, available <= 1 AS skipped, sources, available, CASE WHEN available <= 1 THEN NULL WHEN sources > 2 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END AS verdict,
+  CASE WHEN available > 1 THEN (10 * least(sources, 9))::INTEGER END AS confidence, CASE WHEN available > 1 THEN 'empty' END AS quote_status FROM g"""
+
+
+def provider_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered providers of the evaluation's models and what each needs."""
+    return M.dimension(spark, M.REGISTRY).select("provider", "model", "kind", (F.col("key_env").isNotNull()).alias("has_key"))
+
+
+REGISTRY_SQL = " UNION ALL ".join(f"SELECT '{k}' AS provider, '{p.model}' AS model, '{p.kind}' AS kind, {'true' if p.key_env else 'false'} AS has_key" for k, p in M.REGISTRY.items())
+
+
+def manual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents entered by hand as sources, at most 80,000 characters each."""
+    made = _documents(spark, sf_dir).select("doc_id", T.manual_source(F.repeat(F.concat("text", F.lit(" ")), F.lit(20))).alias("m"))
+    return made.select("doc_id", F.char_length("m.content").alias("chars"), F.sha2("m.content", 256).alias("content_hash"), F.col("m.truncated").alias("truncated"))
+
+
+MANUAL_SQL = rf"""WITH t AS (SELECT doc_id, regexp_replace(repeat(text || ' ', 20), '^[{T.JS_SPACE_RE2}]+|[{T.JS_SPACE_RE2}]+$', '', 'g') AS x FROM documents), f AS (SELECT doc_id, x, CASE WHEN x <> '' THEN 'Manual source text:' || chr(10) || chr(10) || substr(x, 1, 80000) END AS c FROM t)
+SELECT doc_id, length(c)::INTEGER AS chars, sha256(c) AS content_hash, CASE WHEN c IS NOT NULL THEN length(x) > 80000 END AS truncated FROM f"""
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.get(F.array(*map(F.lit, ["SUPPORTED", "PARTIALLY SUPPORTED", "NOT SUPPORTED", "SOURCE UNAVAILABLE", "ERROR"])), (F.col("pos") % 5).cast("int"))
     turns = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("island").cast("string")).alias("group_id"), "group_size", "conv_id")
@@ -247,7 +293,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _documents(spark, sf_dir)
     lines = F.split("text", "\n", -1)
     claims = docs.select(
-        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.get(F.array(F.lit("supported"), F.lit("partially_supported"), F.lit("not_supported")), (F.col("doc_id") % 3).cast("int")).alias("label"), F.substring("text", 1, 40).alias("claim"),
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.get(F.array(F.lit("supported"), F.lit("partially_supported"), F.lit("not_supported")), (F.col("doc_id") % 3).cast("int")).alias("label"), F.col("text").alias("claim"),
         F.concat(F.array(F.concat(F.lit("(meta data) TITLE: T"), F.col("doc_id").cast("string"))), lines).alias("evidence"), F.array(F.array(F.lit(2), F.lit(1)), F.array(F.lit(1), (F.col("doc_id") % 30).cast("int"))).alias("supporting_sentences"),
         F.concat(F.lit("A b"), F.col("doc_id").cast("string")).alias("claim_title"), F.lit("").alias("claim_section"), F.when(F.col("doc_id") % 2 == 0, "Before").alias("claim_context"),
     )
@@ -257,7 +303,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.convert(*_claims(spark, sf_dir), "dev", 2000)
+    return W.convert(*_claims(spark, sf_dir), "dev")
 
 
 def wice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,18 +311,18 @@ def wice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(spark, sf_dir).select(*columns, F.sha2("source_text", 256).alias("source_hash"), F.array_join(F.transform("wice_supporting_sentences", lambda x: x.cast("string")), ",").alias("supporting"))
 
 
-_WICE = """WITH d AS (SELECT doc_id, text, list_concat(['T' || doc_id], string_split(text, chr(10))) AS raw FROM documents),
+_WICE = f"""WITH d AS (SELECT doc_id, text, list_concat(['T' || doc_id], string_split(text, chr(10))) AS raw FROM documents),
 e AS (SELECT doc_id, text, list_concat(['TITLE: T' || doc_id], string_split(text, chr(10))) AS ev FROM d),
 x AS (SELECT doc_id, unnest(ev) AS s, generate_subscripts(ev, 1) AS i FROM e),
 y AS (SELECT *, sum(length(s) + CASE WHEN i = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM x),
-k AS (SELECT doc_id, count(*) AS n, coalesce(min(i) FILTER (WHERE total > 2000) - 1, count(*)) AS kept FROM y GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n, coalesce(min(i) FILTER (WHERE total > {W.MOST_CHARS}) - 1, count(*)) AS kept FROM y GROUP BY doc_id),
 t AS (SELECT y.doc_id, coalesce(string_agg(s, ' ' ORDER BY i), '') AS source_text FROM y JOIN k USING (doc_id) WHERE i <= kept GROUP BY y.doc_id),
 sub AS (SELECT conv_id AS doc_id, count(*) AS n_sub, count(DISTINCT CASE WHEN conv_id % 4 = 0 AND turn = 0 THEN 'not_supported' ELSE 'supported' END) AS n_labels FROM conversations GROUP BY 1),
 r AS (
   SELECT e.doc_id, text, k.n, k.kept, coalesce(source_text, '') AS source_text, coalesce(n_sub, 0) AS n_sub, coalesce(n_labels, 0) AS n_labels, list_sort(list_distinct([2, 1, (e.doc_id % 30)::INTEGER])) AS sup
   FROM e JOIN k USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN sub USING (doc_id)),
 w AS (SELECT *, len(list_filter(sup, lambda v: v >= kept)) > 0 AS lost, CASE n_labels WHEN 0 THEN 'unknown' WHEN 1 THEN 'unanimous' ELSE 'mixed' END AS projection, (['Supported', 'Partially supported', 'Not supported'])[doc_id % 3 + 1] AS truth FROM r)"""
-WICE_SQL = f"""{_WICE} SELECT 'wice_c' || doc_id AS id, 'https://en.wikipedia.org/wiki/A_b' || doc_id AS article_url, 'A b' || doc_id AS article_title, CASE WHEN doc_id % 2 = 0 THEN 'Before ' ELSE '' END || substr(text, 1, 40) AS claim_container,
+WICE_SQL = f"""{_WICE} SELECT 'wice_c' || doc_id AS id, 'https://en.wikipedia.org/wiki/A_b' || doc_id AS article_url, 'A b' || doc_id AS article_title, CASE WHEN doc_id % 2 = 0 THEN 'Before ' ELSE '' END || text AS claim_container,
   truth AS ground_truth, lost AS needs_manual_review, projection AS wice_label_projection, n_sub::INTEGER AS wice_subclaim_count, n::INTEGER AS wice_evidence_sentence_count, kept < n AS wice_source_truncated, 'T' || doc_id AS source_title,
   sha256(source_text) AS source_hash, array_to_string(sup, ',') AS supporting FROM w"""
 
@@ -303,17 +349,17 @@ SELECT doc_id::VARCHAR AS check_id, 'source' AS kind, source AS provider, nullif
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean claims, excerpts, escapes and statuses over the documents."""
     docs = _documents(spark, sf_dir).where(F.col("text").isNotNull())
-    marked = F.concat(F.lit(" [12]\n"), F.substring("text", 1, 30), F.lit("[citation needed]"), F.lit("  x[3]"))
+    marked = F.concat(F.lit(" [12]\n"), "text", F.lit("[citation needed]"), F.lit("  x[3]"))
     return docs.select(
-        "doc_id", T.clean_claim(marked, "text").alias("claim"), T.excerpt("text", 60).alias("short"), T.escape_html(F.concat(F.lit("<a href='x'>&"), F.substring("text", 1, 5))).alias("escaped"),
+        "doc_id", T.clean_claim(marked, "text").alias("claim"), T.excerpt("text", 60).alias("short"), T.escape_html(F.concat(F.lit("<a href='x'>&"), "text")).alias("escaped"),
         T.extraction_status(F.when(F.col("doc_id") % 4 != 0, F.col("text")), F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.col("text"))).alias("status"),
         T.minutes_left(F.col("doc_id"), F.col("doc_id") % 7).alias("minutes"), F.sha2(T.user_prompt(F.lit("c"), F.concat(F.lit("x\nSource Content:\n"), "text")), 256).alias("prompt_hash"),
     )
 
 
-_CLAIM = rf"trim(regexp_replace(substr(text, 1, 30) || '  x', '[{T.JS_SPACE_RE2}]+', ' ', 'g'))"
+_CLAIM = rf"trim(regexp_replace(text || '  x', '[{T.JS_SPACE_RE2}]+', ' ', 'g'))"
 TEXT_SQL = rf"""SELECT doc_id, CASE WHEN length({_CLAIM}) < 10 THEN {_COLLAPSED} ELSE {_CLAIM} END AS claim, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS short,
-  '&lt;a href=&#39;x&#39;&gt;&amp;' || replace(replace(replace(replace(replace(substr(text, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+  '&lt;a href=&#39;x&#39;&gt;&amp;' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
   CASE WHEN doc_id % 4 = 0 OR text = '' THEN 'claim_extraction_failed' WHEN doc_id % 3 = 0 THEN 'no_source_url' WHEN doc_id % 5 = 0 THEN 'source_fetch_failed' ELSE 'complete' END AS status,
   ceil((doc_id * 7 + doc_id % 7 * 8) / 60.0)::BIGINT AS minutes, sha256('Claim: "c"' || chr(10) || chr(10) || 'Source text:' || chr(10) || text) AS prompt_hash FROM documents WHERE text IS NOT NULL"""
 
@@ -355,5 +401,6 @@ QUERIES = {
     "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
     "selection_keyset": (selection_keyset, SELECTION_SQL), "findings_upsert": (findings_upsert, UPSERT_SQL), "sweep_dedup": (sweep_dedup, SWEEP_SQL), "adjacency_groups": (adjacency_groups, ADJACENCY_SQL), "group_assembly": (group_assembly, GROUP_SQL),
     "report_units": (report_units, UNITS_SQL), "report_counts": (report_counts, COUNTS_SQL), "report_visible": (report_visible, VISIBLE_SQL), "section_numbers": (section_numbers, SECTION_SQL), "wice_rows": (wice_rows, WICE_SQL), "split_tallies": (split_tallies, TALLY_SQL),
-    "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, None), "feedback_join": (feedback_join, FEEDBACK_SQL),
+    "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, None), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),
+    "manual_sources": (manual_sources, MANUAL_SQL),
 }
