@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corrobora.llm.chat import CHAT_SQL, chat_digest, with_probe
 from corrobora.llm.decontam import contamination_report
 from corrobora.llm.jaccard import jaccard_components
-from corrobora.llm.licenses import license_report, license_sql
+from corrobora.llm.licenses import LICENSE_SQL, licenses_found
 from corrobora.llm.oracles import JACCARD_SQL, contamination_sql, quality_sql
 from corrobora.llm.packing import pack
 from corrobora.llm.pii import checked_report
@@ -36,7 +36,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_report(_documents(spark, sf_dir))
+    return licenses_found(_documents(spark, sf_dir))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_ngram_jaccard_join": JACCARD_SQL, "op4_license_scan": license_sql(), "op5_decontamination": contamination_sql(), "op6_chat_formatting": CHAT_SQL, "op9_repetition_quality": quality_sql(),
+    "op3_ngram_jaccard_join": JACCARD_SQL, "op4_license_scan": LICENSE_SQL, "op5_decontamination": contamination_sql(), "op6_chat_formatting": CHAT_SQL, "op9_repetition_quality": quality_sql(),
 }

@@ -148,3 +148,52 @@ def test_chat_runs_no_python(spark, sf_dir):
 def test_equal_rows_are_numbered_in_several_buckets(spark):
     got = shard(docs(spark, [(5, "same")] * 500)).collect()
     assert sorted(r["slot"] for r in got) == list(range(500)) and len({r["shard"] for r in got}) == 1
+
+
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.'
+_GNU_TAIL = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {0}General Public License for more details.\n\nYou should have received a copy of the GNU {0}General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."
+_GNU = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License as published by\nthe Free Software Foundation; either version {1} of the License, or\n(at your option) any later version.\n\n" + _GNU_TAIL
+_BSD = "Copyright (c) 2020, The Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice.\n\n"
+NOTICES = {
+    "MIT License\n\nCopyright (c) 2020 The Authors\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n" + _AS_IS: "MIT",
+    "Copyright 2020. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software. The above copyright notice and this permission notice shall be included in all copies. " + _AS_IS: "MIT",
+    "# Copyright 2020 The Authors\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS.\n# See the License for the specific language governing permissions and\n# limitations under the License.": "Apache-2.0",
+    "Apache License 1.1 of 2000": "Apache-1.1", "Licensed under Apache Software License v2": "Apache-2.0",
+    _GNU.format("", "2"): "GPL-2.0-or-later", _GNU.format("", "3"): "GPL-3.0-or-later", _GNU.format("Lesser ", "2.1"): "LGPL-2.1-or-later", _GNU.format("Lesser ", "3"): "LGPL-3.0-or-later", _GNU.format("Library ", "2"): "LGPL-2.0-or-later", _GNU.format("Affero ", "3"): "AGPL-3.0-or-later",
+    "Published under the GNU General Public License version 2.": "GPL-2.0", "Under the GNU Lesser General Public License v3.": "LGPL-3.0", "GNU General Public License": "GPL",
+    _BSD + _AS_IS: "BSD-2-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used.\n\n" + _AS_IS: "BSD-3-Clause", _BSD + "3. All advertising materials mentioning features or use of this software must display this.\n\n" + _AS_IS: "BSD-4-Clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies. " + _AS_IS: "ISC",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _AS_IS: "0BSD",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0", "Mozilla Public License 1.1, 2004": "MPL-1.1",
+    "Made available under the Eclipse Public License 2.0 which is at hand.": "EPL-2.0", "Eclipse Public License - v 1.0": "EPL-1.0", "Common Development and Distribution License": "CDDL",
+    "This is free and unencumbered software released into the public domain. " + _AS_IS: "Unlicense", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE": "WTFPL",
+    "This software is provided 'as-is', without any express or implied warranty. In no event shall the authors be held liable.\n\n1. The origin of this software must not be misrepresented; you must not claim it.\n\n2. Altered source versions must be plainly marked as such.\n\n3. This notice may not be removed or altered from any source distribution.": "Zlib",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "The Artistic License 2.0": "Artistic-2.0", "Python Software Foundation License": "PSF-2.0", "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1", "Licensed under the European Union Public Licence": "EUPL",
+    "Microsoft Public License (Ms-PL)": "MS-PL", "Made available under the Open Database License.": "ODbL", "The PostgreSQL License": "PostgreSQL", "GNU Free Documentation License": "GFDL", "CC0 1.0 Universal": "CC0-1.0", "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA", "CC BY-NC-ND 4.0": "CC-BY-NC-ND", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": "GPL-3.0", "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+    "Attribution-NonCommercial-NoDerivatives 4.0": "CC-BY-NC-ND", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "SPDX-License-Identifier: MIT": "MIT",
+    "You must submit license forms": "", "A permit licence": "", "A permission licence of version 2": "", "Unlimited license": "", "The new BSD release": "", "It admits licence fees. Version 3 of any later version": "",
+}
+
+
+def test_canonical_notices(spark):
+    got = {r["doc_id"]: r["licenses"] for r in license_report(docs(spark, list(enumerate(NOTICES)))).collect()}
+    assert [(got[i], text[:40], text[-40:]) for i, text in enumerate(NOTICES)] == [(want, text[:40], text[-40:]) for text, want in NOTICES.items()]
+    assert len(set(NOTICES.values())) > 30
+
+
+def test_every_pattern_needs_its_stem(spark):
+    import re
+
+    from corrobora.llm.licenses import SENTENCES, SPEAKS, SPEAKS_STEMS, STEMS
+
+    for name, stem, pattern in SENTENCES:
+        for part in pattern.split("|") if "(" not in pattern else [pattern]:
+            assert stem in re.sub(r"licen\[cs\]e", "license", part), name
+    assert all(any(s in re.sub(r"\[cs\]", "s", x) for s in SPEAKS_STEMS) for x in SPEAKS.split("|")) and all(re.fullmatch("[a-z0-9]+", s) for s in STEMS)
+
+
+def test_licenses_run_no_python(spark, sf_dir):
+    from corrobora.llm.licenses import licenses_found
+
+    plan = licenses_found(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
