@@ -34,9 +34,17 @@ def contamination_sql(width: int = 10) -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, item, unnest(range(i, i + {k})) AS place FROM (SELECT doc_id, i, {gram(k)} AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM d)) JOIN (SELECT item, g FROM q WHERE k = {k}) USING (g)" for k in range(1, width + 1)
     )
-    return f"""WITH {docs}, {items}, {windows}, f AS ({found}),
+    # proximity: from each window's rarest word, at every place from which the others may stand one position off
+    near = f"""dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), df AS (SELECT w, count(*) AS df FROM dw GROUP BY w),
+v AS (SELECT DISTINCT k, g, string_split(g, ' ') AS ts FROM q), t AS (SELECT k, g, ts, unnest(ts) AS w, generate_subscripts(ts, 1) AS o FROM v),
+r AS (SELECT g, any_value(k) AS k, any_value(ts) AS ts, arg_min(w, coalesce(df, 0)) AS w, arg_min(o, coalesce(df, 0)) AS o FROM t LEFT JOIN df USING (w) GROUP BY g),
+c AS (SELECT DISTINCT dw.doc_id, r.g, r.k, r.ts, dw.i - r.o + s AS p FROM dw JOIN r USING (w), (SELECT unnest([-1, 0, 1]) AS s)),
+m AS (SELECT DISTINCT doc_id, g FROM c JOIN d USING (doc_id) WHERE len(list_filter(range(1, k + 1), lambda x: list_contains(ws[greatest(1, p + x - 1) : greatest(0, p + x + 1)], ts[x]))) = k),
+e AS (SELECT doc_id, count(DISTINCT item) AS near_items FROM m JOIN q USING (g) GROUP BY doc_id)"""
+    return f"""WITH {docs}, {items}, {windows}, f AS ({found}), {near},
 h AS (SELECT doc_id, count(DISTINCT place) AS n_hit, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM f GROUP BY doc_id)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id)"""
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, 0) AS near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN e USING (doc_id)"""
 
 
 def quality_sql() -> str:

@@ -99,11 +99,11 @@ def contaminated():
     return rows, items
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_contamination_matches_brute_force(spark, contaminated, block_bytes):
+@pytest.mark.parametrize("pass_rows", [200_000, 7])
+def test_contamination_matches_brute_force(spark, contaminated, pass_rows):
     rows, items = contaminated
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination_report(docs(spark, rows), bench, block_bytes=block_bytes).collect()
+    got = contamination_report(docs(spark, rows), bench, pass_rows=pass_rows).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute_hits(rows, items), key=str)
 
 
@@ -404,3 +404,44 @@ def test_the_key_is_the_sessions(spark):
     finally:
         spark.conf.unset("spark.corrobora.surrogate.key")
     assert first != [r.text for r in pii_report(docs(spark, [(1, "a@b.example")])).collect()]
+
+
+def test_proximity_matches_brute_force(spark, contaminated):
+    rows, items = contaminated
+    rows = [*rows, (900, "the null item has odd these eleven words in it so there"), (901, "null the item has these eleven words in it so there now"), (902, "has these eleven words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slop, passes in ((1, 200_000), (2, 9)):
+        want = {}
+        for i, (doc, text) in enumerate(rows):
+            words, found = words_of(text), set()
+            for item, said in items:
+                own = words_of(said)
+                for a in range(max(1, len(own) - 9) if own else 0):
+                    w = own[a : a + 10]
+                    if any(all(x in words[max(0, p + k - slop) : max(0, p + k + slop + 1)] for k, x in enumerate(w)) for p in range(-slop, len(words) + slop)):
+                        found.add(item)
+            want[i] = (doc, len(found))
+        got = contamination_report(docs(spark, rows), bench, slop=slop, pass_rows=passes).select("doc_id", "near_items").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want.values(), key=str)
+
+
+def test_decontamination_keeps_clashing_columns_and_reads_long_texts(spark, contaminated):
+    _, items = contaminated
+    bench = spark.createDataFrame([*items, (7, "a quite new passage that nobody else would ever have written")], "item_id long, text string")
+    long = "plain words " * 300_000
+    rows = [(1, long, "x", 5), (2, long + "a quite new passage that nobody else would ever have written", "y", 6), (None, None, None, None), (3, "", "z", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string, n_hit int")
+    kept = drop_contaminated(frame, bench).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted((r for r in rows if r[0] != 2), key=str) and kept[0].asDict().keys() == {"doc_id", "text", "key", "n_hit"}
+
+
+def test_the_index_is_stored_and_bounded(spark, contaminated):
+    from corrobora.llm.decontam import positional_index, window_table
+
+    rows, items = contaminated
+    windows_ = window_table(spark.createDataFrame(items, "item_id long, text string"), 10)
+    index = positional_index(docs(spark, rows), windows_)
+    assert index.inputFiles() and "mapInArrow" not in index._jdf.queryExecution().executedPlan().toString()
+    terms = {t for r in windows_.collect() for t in r["terms"]}
+    for r in index.collect():
+        assert set(r["terms"]) <= terms and len(r["positions"]) == r["starts"][-1] <= r["borders"][-1]
