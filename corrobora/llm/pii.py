@@ -103,7 +103,8 @@ _PATTERNS: list[tuple[str, str]] = [
 _ALONE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _INSIDE = {"secret": "value", "birth_date": "born", "passport": "number"}
 TYPES = [name for name, _ in _PATTERNS]
-_ALL = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS))
+#: All but secrets begin after what is no ASCII letter or digit: told once for all of them, which ends the search at most places.
+_ALL = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS if name != "secret") + ")|(?=[pstaPSTA])(?P<secret>" + dict(_PATTERNS)["secret"] + ")")
 #: Bytes one of which is in each entity but a person or a key made of letters: ASCII digits, marks, and the first bytes of all other decimal digits.
 _HINT = np.zeros(256, dtype=bool)
 _HINT[[*b"0123456789@=:"]] = True
