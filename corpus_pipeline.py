@@ -23,27 +23,53 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go.
+
+    A null or empty text has no words and goes; a null doc_id or other column is
+    kept as it is; each row is judged by itself, so repeated rows fare alike; an
+    empty table gives none; extra columns stay, whatever their names.
+    """
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at a similarity of 0.8 or more the smallest doc_id stays."""
+    """Of each group linked by 5-word shingles at a similarity of 0.8 or more the smallest doc_id stays.
+
+    Rows without words (null, empty) all stay; a null doc_id stays only where its
+    whole group has none; of rows that share the smallest doc_id and the text one
+    stays, whichever; an empty table gives none; extra columns stay, whatever
+    their names.
+    """
     return keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go.
+
+    A null or empty text holds none and stays; null doc_ids stay or go by their
+    text; repeated rows fare alike; an empty table gives none and an empty
+    benchmark takes none; extra columns stay, whatever their names.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by surrogates."""
+    """Personal data in the texts is replaced by surrogates, under the session's key.
+
+    A null text stays null and an empty one empty; no row goes; repeated rows get
+    equal texts; an empty table gives none; all other columns, whatever their
+    names, stay as they are.
+    """
     return replace_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens packed into sequences of 2048."""
+    """The documents' tokens packed into sequences of 2048.
+
+    A null text is an empty one: a piece of the end id alone; a null doc_id is
+    kept; repeated rows are packed as often as they occur; an empty table gives
+    none; other columns are not read.
+    """
     return pack(docs)
 
 

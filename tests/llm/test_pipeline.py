@@ -65,3 +65,18 @@ def test_stages_of_nothing(spark, tables):
 def test_all_ten_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_stages_keep_clashing_columns(spark, tables):
+    path = tables[0]
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "a", 1, 2.0, "x", "y"), (2, text + " more", "b", 2, 3.0, "x", None), (None, None, None, None, None, None, None), (3, text.replace("1", "9") + " bob@mail.example", "c", 3, 4.0, "z", "w")]
+    schema = "doc_id long, text string, cid string, key long, c0 double, block string, n_words string"
+    at = spark.createDataFrame(rows, schema)
+    kept = [{1, 2, 3}, {1, 3}, {1, 3}, {1, 3}]
+    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], kept, strict=True):
+        at = stage(spark, at, path)
+        got = {r["doc_id"]: tuple(r) for r in at.collect()}
+        assert at.columns == ["doc_id", "text", "cid", "key", "c0", "block", "n_words"] and set(got) - {None} == ids, name
+        assert all(got[i][2:] == r[2:] for i in ids for r in rows if r[0] == i), name
+    assert "bob@mail" not in got[3][1] and corpus_pipeline.packing(spark, at, path).count() == 2
