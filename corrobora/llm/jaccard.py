@@ -54,6 +54,8 @@ from corrobora.llm.durable import materialize
 #: DivideSkip: weight of the longest list's logarithm in the number of lists set aside; postings that a heap
 #: merges; long lists a step.
 MU, HEAP, STEP = 0.01, 2048, 16
+#: Keys of clusters' members that may be broadcast, 8 bytes each, to choose the texts that are sent to clusters.
+MOST_MEMBERS = 4_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool) -> Iterator[np.ndarray]:
@@ -349,8 +351,10 @@ def linked_classes(docs: DataFrame, k: int = 3, lower: bool = True, num: int = 9
     sizes = classes.select("cid", "key", "copies", "n").join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
     weight = sizes.groupBy("cluster").agg(F.expr(f"(sum(n) + {block_shingles - 1}) div {block_shingles}").cast("int").alias("parts"))
     members = materialize(sizes.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "members")
-    # one plan at every size: members are a share of all rows and no table to broadcast
-    sets = _keyed(docs).select("key", "text").join(members.hint("merge"), "key").select("text", "cid", "copies", "n", "cluster", "parts", "block")
+    texts = _keyed(docs).select("key", "text")
+    if members.count() <= MOST_MEMBERS:  # other texts need not be shuffled
+        texts = texts.join(F.broadcast(members.select("key").distinct()), "key", "left_semi")
+    sets = texts.join(members.hint("merge"), "key").select("text", "cid", "copies", "n", "cluster", "parts", "block")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sets.select("*", other.alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -149,3 +149,12 @@ def test_hubs_are_joined_where_their_links_are(spark, monkeypatch):
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert C.heavy_links(10**9) * C.MOST_HEAVY <= 2 * 10**9 and C.heavy_links(10) == 5
+
+
+def test_texts_are_sent_without_the_broadcast_too(spark, monkeypatch):
+    from corrobora.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MOST_MEMBERS", 0)
+    rows = corpus(5, 60) + ODD
+    got = jaccard_components(docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute(rows), key=str)
