@@ -27,7 +27,7 @@ from corrobora.llm.arrowtext import blocks, buffers
 from corrobora.llm.durable import new_path
 
 #: Characters of the text that order rows of one doc_id.
-PREFIX = 64
+PREFIX = 16
 
 FILE = "part int, row long, doc_id long, local_start long, n_tokens int, ids array<int>"
 
