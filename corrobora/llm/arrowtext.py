@@ -9,7 +9,10 @@ itself plus a constant.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,29 @@ _MASK = (1 << 64) - 1
 _SLAB = 1 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, and what they hold counts against their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def gives_back(run: Callable) -> Callable:
+    """A stage on batches that gives its memory back when its task ends."""
+
+    @wraps(run)
+    def inner(*arguments, **options):
+        try:
+            yield from run(*arguments, **options)
+        finally:
+            give_back()
+
+    return inner
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=_U)
     out[0] = 1

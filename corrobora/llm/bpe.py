@@ -51,7 +51,7 @@ def encoder(name: str, special_as_text: bool = False) -> "SegmentEncoder":
 class SegmentEncoder:
     """Encodes rows of UTF-8 bytes to flat ids. ``most`` bounds the segments kept."""
 
-    def __init__(self, path: str, most: int = 2_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import ALNUM, blocks, buffers, span_hashes, spans
+from corrobora.llm.arrowtext import ALNUM, blocks, buffers, gives_back, span_hashes, spans
 from corrobora.llm.durable import materialize, new_path
 
 INDEX = "block long, doc_ids array<long>, keys array<long>, borders array<int>, terms array<long>, starts array<int>, positions array<int>"
@@ -189,6 +189,7 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+@gives_back
 def _windows_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(i, w) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in item_windows(t, width)]
@@ -201,6 +202,7 @@ def window_table(benchmark: DataFrame, width: int) -> DataFrame:
     return materialize(items.mapInArrow(partial(_windows_of, width=width), "item string, terms array<long>").distinct(), "windows")
 
 
+@gives_back
 def _index(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -248,6 +250,7 @@ def _merged(low: np.ndarray, high: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
+@gives_back
 def _search(batches: Iterator[pa.RecordBatch], windows, slop: int) -> Iterator[pa.RecordBatch]:
     """For each document of a block: intervals of words hit (from the document's first), items found exactly and nearly."""
     windows = windows.value

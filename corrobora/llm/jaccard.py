@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import NON_SPACE, blocks, buffers, mix64, span_hashes, spans, windows
+from corrobora.llm.arrowtext import NON_SPACE, blocks, buffers, give_back, gives_back, mix64, span_hashes, spans, windows
 from corrobora.llm.components import components
 from corrobora.llm.durable import materialize
 
@@ -56,6 +56,8 @@ from corrobora.llm.durable import materialize
 MU, HEAP, STEP = 0.01, 2048, 16
 #: Keys of clusters' members that may be broadcast, 8 bytes each, to choose the texts that are sent to clusters.
 MOST_MEMBERS = 4_000_000
+#: Rows of a group after which its worker gives memory back.
+LARGE = 500
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool) -> Iterator[np.ndarray]:
@@ -94,6 +96,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, lower: bool):
             yield batch.slice(i, j - i), list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, lower))
 
 
+@gives_back
 def _open_counts(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """How many sets of a block open, in hash order, with each shingle; copies in a block count once."""
     for _, sets in _sets(batches, k, lower):
@@ -103,6 +106,7 @@ def _open_counts(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: in
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["g", "n"])
 
 
+@gives_back
 def _openings(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int, den: int, frequent) -> Iterator[pa.RecordBatch]:
     """doc_id, class, n and the opening shingles, in the order that puts frequent ones last."""
     common = frequent.value
@@ -129,6 +133,7 @@ def _openings(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int,
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), ids, pa.array(sizes), lists], ["doc_id", "key", "cid", "n", "opening"])
 
 
+@gives_back
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, short: int) -> Iterator[pa.RecordBatch]:
     """From postings sorted by (g, n, cid): pairs of short lists, ties of long ones. Holds ``short`` postings at most."""
     buffer_g = np.zeros(0, np.int64)
@@ -358,7 +363,10 @@ def linked_classes(docs: DataFrame, k: int = 3, lower: bool = True, num: int = 9
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sets.select("*", other.alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return linked_groups(frame, k, lower, num, den)
+        out = linked_groups(frame, k, lower, num, den)
+        if len(frame) > LARGE:
+            give_back()
+        return out
 
     linked = dealt.groupBy("cluster", "bi", "bj").applyInPandas(run, "cid long, root long, links long")
     linked = materialize(linked, "linked")
@@ -378,6 +386,7 @@ def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     )
 
 
+@gives_back
 def _add_class(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches, k, lower):
         ids = pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import blocks, buffers
+from corrobora.llm.arrowtext import blocks, buffers, gives_back
 from corrobora.llm.durable import materialize
 
 #: So many pieces are packed by branch and bound, in at most so many steps of enumeration a search.
@@ -47,6 +47,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _encode_pieces(vocabulary: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corrobora.llm.bpe import encoder
 

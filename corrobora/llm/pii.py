@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.llm import fpe
-from corrobora.llm.arrowtext import blocks, buffers
+from corrobora.llm.arrowtext import blocks, buffers, gives_back
 
 _OWN_KEY = secrets.token_bytes(32)
 
@@ -357,6 +357,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hint)
 
 
+@gives_back
 def _replace(batches: Iterator[pa.RecordBatch], key: bytes, report: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
@@ -405,6 +406,7 @@ def checked_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     return pii_report(docs, key).crossJoin(F.broadcast(collisions(docs, key).agg(F.count("*").alias("corpus_collisions"))))  # one row
 
 
+@gives_back
 def _mentions(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))

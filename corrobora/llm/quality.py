@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import NON_SPACE, Rolling, blocks, buffers, code_points, mix64, span_hashes, spans
+from corrobora.llm.arrowtext import NON_SPACE, Rolling, blocks, buffers, code_points, gives_back, mix64, span_hashes, spans
 
 #: Largest share of word characters inside repeated n-grams, for each n (Rae et al. 2021, table A1).
 NGRAM_SHARE: Mapping[int, float] = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -123,6 +123,7 @@ def _columns(shares: Mapping[int, float]) -> list[str]:
     return ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"dup_{k}gram_chars" for k in shares), "dup_line_chars"]
 
 
+@gives_back
 def _judge(batches: Iterator[pa.RecordBatch], shares: Mapping[int, float], line_chars_share: float, line_share: float, keep_rows: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrobora.llm.arrowtext import blocks, buffers
+from corrobora.llm.arrowtext import blocks, buffers, gives_back
 from corrobora.llm.durable import new_path
 
 #: Characters of the text that order rows of one doc_id.
@@ -33,6 +33,7 @@ FILE = "part int, row long, doc_id long, local_start long, n_tokens int, ids arr
 
 
 def _encode(vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -78,6 +79,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     )
 
 
+@gives_back
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
