@@ -235,11 +235,11 @@ REGISTRY_SQL = " UNION ALL ".join(f"SELECT '{k}' AS provider, '{p.model}' AS mod
 
 def manual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents entered by hand as sources, at most 80,000 characters each."""
-    made = _documents(spark, sf_dir).select("doc_id", T.manual_source(F.repeat(F.concat("text", F.lit(" ")), F.lit(20))).alias("m"))
+    made = _documents(spark, sf_dir).select("doc_id", T.manual_source("text").alias("m"))
     return made.select("doc_id", F.char_length("m.content").alias("chars"), F.sha2("m.content", 256).alias("content_hash"), F.col("m.truncated").alias("truncated"))
 
 
-MANUAL_SQL = rf"""WITH t AS (SELECT doc_id, regexp_replace(repeat(text || ' ', 20), '^[{T.JS_SPACE_RE2}]+|[{T.JS_SPACE_RE2}]+$', '', 'g') AS x FROM documents), f AS (SELECT doc_id, x, CASE WHEN x <> '' THEN 'Manual source text:' || chr(10) || chr(10) || substr(x, 1, 80000) END AS c FROM t)
+MANUAL_SQL = rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[{T.JS_SPACE_RE2}]+|[{T.JS_SPACE_RE2}]+$', '', 'g') AS x FROM documents), f AS (SELECT doc_id, x, CASE WHEN x <> '' THEN 'Manual source text:' || chr(10) || chr(10) || substr(x, 1, 80000) END AS c FROM t)
 SELECT doc_id, length(c)::INTEGER AS chars, sha256(c) AS content_hash, CASE WHEN c IS NOT NULL THEN length(x) > 80000 END AS truncated FROM f"""
 
 
