@@ -26,8 +26,13 @@ _MARK[0x27] = False
 #: Bytes that may begin something for which the borders might not hold.
 _SUSPECT = np.zeros(256, dtype=bool)
 _SUSPECT[[*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0x3C, 0xCC, 0xCD]] = True
-#: Segments handed to the library as one string.
-_JOINED = 256
+#: White space that may begin a segment encoded with others.
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, 0x0A, 0x09, 0x0D]] = True
+#: Segments handed to the library as one string, and at once: what it returns takes far more room than the ids.
+_JOINED, _AT_ONCE = 256, 16_384
+#: Bytes of text encoded at once (a longer text is a block of its own).
+ENCODED_BYTES = 1 << 20
 
 _OPEN: dict[tuple, "SegmentEncoder"] = {}
 
@@ -77,25 +82,21 @@ class SegmentEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Adds segments. Where the library's tokens spell the bytes of their text, many are encoded as one string and cut by length."""
-        joined = [] if self.spelled is None else [i for i, x in enumerate(texts) if x[0] in " \n\t\r" and x[-1] not in " \n\t\r\v\f"]
-        own = sorted(set(range(len(texts))).difference(joined)) if joined else range(len(texts))
-        encoded = self._encode([texts[i] for i in own])
-        size = np.zeros(len(texts), np.int64)
-        size[list(own)] = [len(x) for x in encoded]
-        order, flat = list(own), np.fromiter((y for x in encoded for y in x), np.uint32, int(size.sum()))
-        if joined:
-            parts = [texts[i] for i in joined]
-            found = self.library.encode_batch_fast(["".join(parts[i : i + _JOINED]) for i in range(0, len(parts), _JOINED)], add_special_tokens=False)
-            more = np.concatenate([np.asarray(x.ids, np.uint32) for x in found])
-            ends = np.cumsum(np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts)))
-            spelt = np.cumsum(self.spelled[more])
-            last = np.searchsorted(spelt, ends) + 1
-            if not np.array_equal(spelt[last - 1], ends):
-                raise ValueError("a token reaches over a segment's border")
-            size[joined] = np.diff(last, prepend=0)
-            order, flat = order + joined, np.concatenate([flat, more])
+        joined = np.zeros(len(keys), dtype=bool)
+        if self.spelled is not None:
+            joined = _GAP[data[starts]] & NON_SPACE[data[ends - 1]]
+        size, order, flat = np.zeros(len(keys), np.int64), [], []
+        for many in (False, True):
+            own = np.flatnonzero(joined == many)
+            for i in range(0, len(own), _AT_ONCE):
+                some = own[i : i + _AT_ONCE]
+                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                ids, size[some] = self._joined(texts, ends[some] - starts[some]) if many else self._each(texts)
+                order.append(some)
+                flat.append(ids)
+        order, flat = np.concatenate(order), np.concatenate(flat)
         keys, size = keys[order], size[order]
         first = np.cumsum(size) - size + len(self.flat)
         sort = np.argsort(keys)
@@ -106,6 +107,22 @@ class SegmentEncoder:
         self.size = np.insert(self.size, at, size)
         self.flat = np.concatenate([self.flat, flat])
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        found = self._encode(texts)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((y for x in found for y in x), np.uint32, int(size.sum())), size
+
+    def _joined(self, texts: list[str], spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts of so many bytes each, from strings of many."""
+        found = self.library.encode_batch_fast(["".join(texts[i : i + _JOINED]) for i in range(0, len(texts), _JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in found])
+        ends, spelt = np.cumsum(spaces), np.cumsum(self.spelled[ids])
+        last = np.searchsorted(spelt, ends) + 1
+        if not np.array_equal(spelt[last - 1], ends):
+            raise ValueError("a token reaches over a segment's border")
+        return ids, np.diff(last, prepend=0)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a row, and the n + 1 offsets of the rows in them."""
         odd = self._odd(data, offsets)
@@ -133,8 +150,7 @@ class SegmentEncoder:
                 self._clear()
                 new = np.flatnonzero(plain) if odd.any() else np.arange(len(unique))
             if len(new):
-                raw = data.tobytes()
-                self._learn(unique[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in at[new].tolist()])
+                self._learn(unique[new], data, starts[at[new]], ends[at[new]])
         where = np.searchsorted(self.keys, unique)
         where[where == len(self.keys)] = 0
         size, first = (self.size[where], self.first[where]) if len(self.keys) else (np.zeros(len(unique), np.int64),) * 2

@@ -49,14 +49,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _encode_pieces(vocabulary: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corrobora.llm.bpe import encoder
+        from corrobora.llm.bpe import ENCODED_BYTES, encoder
 
         own = encoder(vocabulary)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False) if not batch.column("doc_id").null_count else None
             names = batch.column("doc_id")
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, ENCODED_BYTES):
                 flat, rows = own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 row, piece, start, length, crc = [], [], [], [], []
                 end = np.asarray([end_id], "<u4").tobytes()

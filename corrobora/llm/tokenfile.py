@@ -37,12 +37,12 @@ def _encode(vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from corrobora.llm.bpe import encoder
+        from corrobora.llm.bpe import ENCODED_BYTES, encoder
 
         own, part, done, row = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, ENCODED_BYTES):
                 flat, rows = own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(rows) + 1
                 ends = np.cumsum(n)
