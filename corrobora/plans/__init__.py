@@ -1,5 +1,5 @@
 """Queries over the driver's tables: name -> (function, oracle SQL or None)."""
 
-from corrobora.plans import evaluation, evidence
+from corrobora.plans import evaluation, evidence, publication
 
-QUERIES = {**evaluation.QUERIES, **evidence.QUERIES}
+QUERIES = {**evaluation.QUERIES, **evidence.QUERIES, **publication.QUERIES}
