@@ -87,12 +87,12 @@ class SegmentEncoder:
         joined = np.zeros(len(keys), dtype=bool)
         if self.spelled is not None:
             joined = _GAP[data[starts]] & NON_SPACE[data[ends - 1]]
-        size, order, flat = np.zeros(len(keys), np.int64), [], []
+        size, order, flat, raw = np.zeros(len(keys), np.int64), [], [], data.tobytes()
         for many in (False, True):
             own = np.flatnonzero(joined == many)
             for i in range(0, len(own), _AT_ONCE):
                 some = own[i : i + _AT_ONCE]
-                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
                 ids, size[some] = self._joined(texts, ends[some] - starts[some]) if many else self._each(texts)
                 order.append(some)
                 flat.append(ids)
@@ -101,10 +101,13 @@ class SegmentEncoder:
         first = np.cumsum(size) - size + len(self.flat)
         sort = np.argsort(keys)
         keys, first, size = keys[sort], first[sort], size[sort]
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.first = np.insert(self.first, at, first)
-        self.size = np.insert(self.size, at, size)
+        at = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), dtype=bool)
+        old[at] = False
+        for name, new in (("keys", keys), ("first", first), ("size", size)):
+            both = np.empty(len(old), new.dtype)
+            both[at], both[old] = new, getattr(self, name)
+            setattr(self, name, both)
         self.flat = np.concatenate([self.flat, flat])
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
