@@ -68,3 +68,78 @@ r AS (
   FROM d LEFT JOIN a USING (doc_id) LEFT JOIN ls USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, dup_line_chars > {LINE_CHARS_SHARE} * line_chars OR n_dup_lines > {LINE_SHARE} * n_lines OR {bad} AS bad FROM r)
 SELECT * EXCLUDE (n_lines, line_chars, bad), NOT base_failed AND NOT bad AS kept FROM v"""
+
+
+def near_duplicate_sql(words: int = 5, num: int = 85) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_SPACED}) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(ws) >= {words} THEN list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w),
+n AS (SELECT w.r, w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (r) GROUP BY ALL),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {num} * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT e.a, l.b FROM reach e JOIN links l ON l.a = e.b),
+least AS (SELECT reach.a, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY reach.a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM n JOIN least ON least.a = n.r
+"""
+
+
+#: CRC-32 of a decimal id: its table by eight shifts an entry, then a step for each digit.
+_CRC = """ct(i, v, step) AS (SELECT i, i::UBIGINT, 0 FROM range(256) AS x(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, step + 1 FROM ct WHERE step < 8),
+crcs AS (SELECT list(v ORDER BY i) AS entry FROM ct WHERE step = 8)"""
+
+
+def _crc(decimal: str) -> str:
+    digits = f"list_transform(range(1, len({decimal}) + 1), lambda j: ascii(substr({decimal}, j, 1))::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {digits}), lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+def merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {_field(text)})"
+
+    def levels(name: str, start: str) -> str:
+        return f"{name}(t, lv, i, h, n) AS ({start} UNION ALL SELECT t, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3) FROM {name} WHERE n > 1 GROUP BY t, lv, i // 3)"
+
+    def beside(name: str, levels: str) -> str:
+        run = "OVER (PARTITION BY t, lv, i // 3 ORDER BY i ROWS BETWEEN"
+        return f"{name} AS (SELECT t, lv, i, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {levels} WHERE n > 1)"
+
+    def walk(name: str, start: str, beside: str) -> str:
+        return f"{name}(t, k, lv, i, s, f) AS ({start} UNION ALL SELECT w.t, w.k, w.lv + 1, w.i // 3, w.s || b.l || b.r, sha256(b.l || w.f || b.r) FROM {name} w JOIN {beside} b ON b.t = w.t AND b.lv = w.lv AND b.i = w.i)"
+
+    def ended(name: str, beside: str) -> str:
+        return f"SELECT w.t, w.k, w.s, w.f FROM {name} w WHERE NOT EXISTS (FROM {beside} b WHERE b.t = w.t AND b.lv = w.lv AND b.i = w.i)"
+
+    return f"""WITH RECURSIVE {_CRC},
+d AS (SELECT *, CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents, crcs),
+x AS (SELECT doc_id, coalesce('=' || source, '') AS t, {leaf("text")} AS leaf, {leaf("other")} AS tampered FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM x),
+{levels("u", "SELECT t, 0, i, leaf, n FROM p")},
+q AS (SELECT '' AS t, t AS source, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM u WHERE n = 1),
+{levels("v", "SELECT t, 0, i, h, n FROM q")},
+{beside("bu", "u")}, {beside("bv", "v")},
+{walk("wu", "SELECT t, i, 0, i, '', tampered FROM p", "bu")},
+eu AS ({ended("wu", "bu")}),
+{walk("wv", "SELECT '', (t, k), 0, i, s, f FROM (SELECT eu.t, eu.k, q.i, eu.s, eu.f FROM eu JOIN q ON q.source = eu.t)", "bv")},
+ev AS ({ended("wv", "bv")})
+SELECT p.doc_id, p.leaf, q.h AS subroot, v.h AS root, sha256(ev.s) AS proof_sha256, ev.f AS folded_root, ev.f = v.h AS verified
+FROM p JOIN q ON q.source = p.t JOIN v ON v.n = 1 JOIN ev ON ev.k = (p.t, p.i)"""
+
+
+def trie_sql() -> str:
+    return f"""WITH RECURSIVE {_CRC},
+o AS (SELECT conv_id AS c, list({{'k': strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''), 'b': strlen(coalesce(text, ''))}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, ts, ({_crc("c::VARCHAR")} % 9)::INTEGER AS h FROM o, crcs),
+r AS (SELECT h.c, list_concat(CASE WHEN h.h > 0 THEN coalesce(b.ts, []) ELSE [] END[:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, d, len(ts) AS n, sha256(ts[:d]::VARCHAR) AS p, CASE WHEN d > 0 THEN ts[d].b ELSE 0 END AS b FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+v AS (SELECT d, p, min(c) AS c, count(*) AS n, any_value(b) AS b, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM m GROUP BY d, p),
+a AS (SELECT v.*, up.c AS parent FROM v LEFT JOIN m ON m.c = v.c AND m.d = v.d - 1 LEFT JOIN v up ON up.d = m.d AND up.p = m.p),
+k AS (SELECT d - 1 AS d, parent AS c, count(*) AS n FROM a WHERE d > 0 GROUP BY ALL),
+t AS (SELECT m.d, m.p, count(*) FILTER (k.n IS NULL) AS leaves, sum((a.n - 1) * a.b) AS saved FROM a LEFT JOIN k USING (d, c) JOIN m ON m.c = a.c AND m.d <= a.d GROUP BY m.d, m.p)
+SELECT a.c AS conv_id, a.d AS depth, a.parent AS parent_conv_id, a.n AS n_convs, coalesce(k.n, 0) AS n_children, t.leaves AS n_leaves, t.saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN t USING (d, p) LEFT JOIN k ON k.d = a.d AND k.c = a.c"""
