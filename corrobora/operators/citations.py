@@ -1,68 +1,77 @@
-"""Citations read from article html.
-
-The parser lays an article's text out as one string and notes where each
-element begins and ends in it. What stands between two references, the text
-from a claim's start to its reference, or a container's text are then slices.
-An article is read by one call, in Arrow batches; articles are independent, so
-nothing is shuffled.
+"""Citations read from article html: one parser pass to a token table, the rest as windows and joins.
+
+``tokens`` reads each article once and lays down what relations need, linear in
+the article's length (nested elements are ranges of one numbering):
+
+* ``place``: a reference inside a container, with the text since the reference
+  before it (``lead``; the container's start for the first one) and the same
+  with that reference's own text (``run``);
+* ``anchor``: a link inside a reference, its number, address and section;
+* ``box``: the text of a container of references;
+* ``note``: an element that a reference or a short cite points to, its text, its
+  links and those of the list item around it.
+
+Runs of adjacent references are islands of places whose leads are blank, a
+claim is what stands in its island up to its reference, footnotes and short
+cites (``#CITEREF``) are two left joins of citations with notes. A citation
+belongs to the run in its own container; where containers with references of
+their own nest, the outermost such run counts.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.functions.quotes import _SPACE, _trim
-from corrobora.functions.text import MARKERS
+from corrobora.functions.text import clean_claim, collapse, js_trim
+from corrobora.functions.urls import footnote_url, fragment, page_number
+from corrobora.sources.shared import materialize
 
 LEAST_CLAIM = 10
-SCHEMA = (
-    "doc_id string, pos int, ref_id string, citation_number string, claim_text string, url string, page_num int, group_id string, group_size int, group_index int, "
-    "group_citation_numbers array<string>, section int, occurrence int, total_occurrences int"
-)
-_MARKERS = re.compile(MARKERS)
-_PAGE = re.compile(r"(?i)(?<![A-Za-z0-9_])p(?:p|ages?)?\.?\s*([0-9]+)")
-_ARCHIVE = re.compile(r"web\.archive\.org|archive\.today|archive\.is|archive\.ph|webcitation\.org", re.I)
-_INTERNAL = re.compile(r"^https?://[a-z0-9-]+\.(?:wikipedia|wikimedia|wiktionary|wikidata|wikisource|wikiquote|wikibooks|wikinews|wikiversity|wikivoyage)\.org/wiki/", re.I)
+#: Elements that hold claims; those whose text a dataset's review shows; void elements; elements that end a paragraph.
+CONTAINERS = frozenset(("p", "li", "td", "div", "section"))
+REVIEWED = frozenset(("p", "li", "td", "th", "dd"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CONTAINERS = frozenset(("p", "li", "td", "div", "section"))
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_CLOSES = {"li": ("ul", "ol"), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",), "dd": ("dl",), "dt": ("dl",)}
 
+TOKENS = (
+    "art long, doc_id string, kind string, at int, wrapper int, box int, own boolean, name string, text string, run string, href string, section int, container string, "
+    "links array<string>, item array<string>"
+)
+_NAMES = [c.split()[0] for c in TOKENS.split(", ")]
+_LIST = pa.list_(pa.string())
+_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": _LIST}[c.split()[1]]) for n, c in zip(_NAMES, TOKENS.split(", "), strict=True)])
 
-class Element:
-    __slots__ = ("tag", "attrs", "parent", "start", "end", "order")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: "Element | None", start: int, order: int):
-        self.tag, self.attrs, self.parent, self.start, self.end, self.order = tag, attrs, parent, start, start, order
-
-    def has_class(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").split()
+class Element:
+    """An element: its range of text, its range of element numbers, and the nearest containers around it, itself included."""
 
-    def closest(self, test) -> "Element | None":
-        node: Element | None = self
-        while node is not None and not test(node):
-            node = node.parent
-        return node
+    __slots__ = ("tag", "attrs", "start", "end", "order", "last", "box", "wrap", "item", "shown", "over")
 
-    def inside(self, other: "Element") -> bool:
-        return self.closest(lambda x: x is other) is not None
+    def __init__(self, tag: str, attrs: dict[str, str], parent: "Element | None", start: int, order: int):
+        self.tag, self.attrs, self.start, self.end, self.order, self.last, self.over = tag, attrs, start, start, order, order, parent
+        up = lambda name, own: self if own else getattr(parent, name, None)
+        self.box, self.shown, self.item = up("box", tag in CONTAINERS), up("shown", tag in REVIEWED), up("item", tag == "li")
+        self.wrap = up("wrap", "reference" in attrs.get("class", "").split())
 
 
 class Article(HTMLParser):
-    """Elements with their places in the text."""
+    """Elements in document order, numbered, over one string of text."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.length = 0
         self.elements: list[Element] = []
-        self.ids: dict[str, Element] = {}
         self.stack: list[Element] = []
+        self.open: Counter[str] = Counter()
         self.feed(html)
         self.close()
         while self.stack:
@@ -74,25 +83,25 @@ class Article(HTMLParser):
         self.length += len(data)
 
     def _leave(self) -> None:
-        self.stack.pop().end = self.length
+        gone = self.stack.pop()
+        self.open[gone.tag] -= 1
+        gone.end, gone.last = self.length, len(self.elements) - 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        closes = {"li": ("li", ("ul", "ol")), "td": ("td", ("table", "tr")), "th": ("th", ("table", "tr")), "tr": ("tr", ("table",))}.get(tag)
-        if tag in _BLOCKS and any(x.tag == "p" for x in self.stack):
+        if tag in _BLOCKS and self.open["p"]:
             self.handle_endtag("p")
-        if closes:
+        if self.open[tag] and tag in _CLOSES:
             for x in reversed(self.stack):
-                if x.tag in closes[1]:
+                if x.tag in _CLOSES[tag]:
                     break
-                if x.tag == closes[0]:
-                    self.handle_endtag(closes[0])
+                if x.tag == tag:
+                    self.handle_endtag(tag)
                     break
         element = Element(tag, {k: v or "" for k, v in attrs}, self.stack[-1] if self.stack else None, self.length, len(self.elements))
         self.elements.append(element)
-        if "id" in element.attrs:
-            self.ids.setdefault(element.attrs["id"], element)
         if tag not in _VOID:
             self.stack.append(element)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,116 +109,125 @@ class Article(HTMLParser):
             self._leave()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(x.tag == tag for x in self.stack):
+        if self.open[tag]:
             while self.stack[-1].tag != tag:
                 self._leave()
             self._leave()
 
-    def of(self, element: Element) -> str:
-        return self.text[element.start : element.end]
-
-    def within(self, element: Element, test) -> list[Element]:
-        return [x for x in self.elements[element.order + 1 :] if test(x) and x.inside(element)]
 
-
-def _collapse(text: str) -> str:
-    return _trim(re.sub(f"{_SPACE}+", " ", text))
-
-
-def clean_claim(text: str) -> str:
-    return _collapse(_MARKERS.sub("", re.sub(f"{_SPACE}+", " ", re.sub(r"\[[0-9]+\]", "", text))))
-
-
-def note_url(links: list[str]) -> str | None:
-    usable = [x for x in links if x.startswith("http") and not _INTERNAL.search(x) and not re.search("Special:BookSources", x, re.I)]
-    return next((x for x in usable if "web.archive.org" in x), None) or next((x for x in usable if not _ARCHIVE.search(x)), None) or next(iter(usable), None)
-
-
-def collect(html: str, least: int = LEAST_CLAIM) -> list[dict]:
-    """All citations of an article, in order."""
+def article_tokens(html: str) -> Iterator[dict]:
+    """The tokens of one article, without its name."""
     page = Article(html)
-    anchors = [(a, w) for a in page.elements if a.tag == "a" and (w := a.parent.closest(lambda x: x.has_class("reference")) if a.parent else None)]
-    wrappers = [e for e in page.elements if e.has_class("reference")]
-    headings = [e.start for e in page.elements if re.fullmatch("h[2-6]", e.tag)]
-    islands: dict[int, list[Element]] = {}
-    starts: dict[int, int] = {}
-
-    def links(e: Element) -> list[str]:
-        return [x.attrs["href"] for x in page.within(e, lambda x: x.tag == "a" and "href" in x.attrs)]
-
-    def place(wrapper: Element) -> Element | None:
-        """Sets the island of references around a wrapper and where its claim starts; returns its container."""
-        box = wrapper.closest(lambda x: x.tag in _CONTAINERS)
-        if box is None:
-            islands[wrapper.order], starts[wrapper.order] = [wrapper], -1
-            return None
-        if wrapper.order not in islands:
-            run: list[Element] = []
-            begin = box.start
-            for ref in [r for r in wrappers if r.inside(box)]:
-                if run and _trim(page.text[run[-1].end : ref.start]):
-                    begin, run = run[-1].end, []
-                run.append(ref)
-                islands[ref.order], starts[ref.order] = run, begin
-        return box
-
-    def url_and_page(ref_id: str) -> tuple[str | None, int | None]:
-        note = page.ids.get(ref_id)
-        if note is None:
-            return None, None
-        number = _PAGE.search(page.of(note))
-        found = note_url(links(note))
-        if not found and (cite := next((x for x in links(note) if x.startswith("#CITEREF")), None)) and (full := page.ids.get(cite[1:])):
-            item = full.closest(lambda x: x.tag == "li")
-            found = note_url(links(full)) or (note_url(links(item)) if item is not None and item is not full else None)
-        return found, int(number[1]) if number else None
-
+    wrappers = [e for e in page.elements if e.wrap is e]
+    anchors = [e for e in page.elements if e.tag == "a" and e.over is not None and e.over.wrap is not None]
+    headings = [e.start for e in page.elements if e.tag in ("h2", "h3", "h4", "h5", "h6")]
+    orders = [w.order for w in wrappers]
+    boxes = {w.box.order: w.box for w in wrappers if w.box is not None}
+    for box in boxes.values():
+        before = None
+        for w in wrappers[bisect_right(orders, box.order) : bisect_right(orders, box.last)]:
+            yield {
+                "kind": "place", "wrapper": w.order, "box": box.order, "own": w.box is box, "text": page.text[before.end if before else box.start : w.start], "run": page.text[before.start : w.start] if before else None,
+            }
+            before = w
+        yield {"kind": "box", "box": box.order, "text": page.text[box.start : box.end]}
+    wanted = set()
+    for a in anchors:
+        w, href = a.over.wrap, a.attrs.get("href", "")
+        wanted.add(href.partition("#")[2])
+        shown = page.text[w.shown.start : w.shown.end] if w.shown else ""
+        yield {"kind": "anchor", "at": a.order, "wrapper": w.order, "name": w.attrs.get("id"), "text": page.text[a.start : a.end], "href": href, "section": bisect_right(headings, w.start), "container": shown}
+    links = [e for e in page.elements if e.tag == "a" and "href" in e.attrs]
+    places = [e.order for e in links]
+    ids: dict[str, Element] = {}
+    for e in page.elements:
+        if "id" in e.attrs:
+            ids.setdefault(e.attrs["id"], e)
+
+    def within(e: Element) -> list[str]:
+        return [x.attrs["href"] for x in links[bisect_left(places, e.order + 1) : bisect_right(places, e.last)]]
+
+    wanted |= {x.attrs["href"][1:] for x in links if x.attrs["href"].startswith("#CITEREF")}
+    for name in sorted(wanted & ids.keys()):
+        e = ids[name]
+        yield {"kind": "note", "name": name, "text": page.text[e.start : e.end], "links": within(e), "item": within(e.item) if e.item is not None and e.item is not e else []}
+
+
+def _read(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     out: list[dict] = []
-    by_wrapper: dict[int, dict] = {}
-    for a, wrapper in anchors:
-        ref_id = a.attrs.get("href", "").partition("#")[2]
-        if not ref_id:
-            continue
-        box = place(wrapper)
-        claim = clean_claim(page.text[starts[wrapper.order] : wrapper.start]) if box is not None else ""
-        if box is not None and len(claim) < least:
-            claim = clean_claim(page.of(box))
-        if len(claim) < least:
-            continue
-        url, number = url_and_page(ref_id)
-        row = {
-            "pos": len(out), "ref_id": ref_id, "citation_number": _trim(re.sub(r"[\[\]]", "", page.of(a))), "claim_text": claim, "url": url, "page_num": number,
-            "section": sum(h <= wrapper.start for h in headings), "wrapper": wrapper,
-        }
-        out.append(row)
-        by_wrapper[wrapper.order] = row
-    for run in {id(r): r for r in islands.values()}.values():
-        members = [by_wrapper[w.order] for w in run if w.order in by_wrapper]
-        for i, row in enumerate(members):
-            first = members[0]
-            row |= {"group_id": first["wrapper"].attrs.get("id") or first["ref_id"], "group_size": len(members), "group_index": i, "group_citation_numbers": [m["citation_number"] for m in members]}
-    totals: dict[str, int] = {}
-    for row in out:
-        totals[row["citation_number"]] = row["occurrence"] = totals.get(row["citation_number"], 0) + 1
-    for row in out:
-        row["total_occurrences"] = totals[row["citation_number"]]
-        row.pop("wrapper")
-    return out
-
-
-_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [{"doc_id": d} | r for d, h in zip(frame["doc_id"], frame["html"], strict=True) for r in collect(h or "")]
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        yield out.astype({c: "Int32" for c in ("pos", "page_num", "group_size", "group_index", "section", "occurrence", "total_occurrences")})
-
-
-def extract_citations(articles: DataFrame) -> DataFrame:
-    """One row a citation of the articles' html (columns doc_id, html)."""
-    return articles.select(F.col("doc_id").cast("string").alias("doc_id"), "html").mapInPandas(_extract, SCHEMA)
+    for batch in batches:
+        for art, doc_id, html in zip(*(batch.column(c).to_pylist() for c in ("art", "doc_id", "html")), strict=True):
+            out.extend({"art": art, "doc_id": doc_id, **token} for token in article_tokens(html or ""))
+            if len(out) >= rows:
+                yield pa.RecordBatch.from_pylist(out, _ARROW)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _ARROW)
+
+
+def tokens(articles: DataFrame) -> DataFrame:
+    """The token table of the articles' html (columns doc_id, html), written once; ``art`` numbers the articles."""
+    named = articles.select(F.monotonically_increasing_id().alias("art"), F.col("doc_id").cast("string").alias("doc_id"), "html")
+    return materialize(named.mapInArrow(_read, TOKENS), "tokens")
+
+
+def places(table: DataFrame) -> DataFrame:
+    """References in their containers: the island each is in and the text of the island up to it."""
+    order = Window.partitionBy("art", "box").orderBy("wrapper")
+    opens = F.col("run").isNull() | (F.char_length(js_trim("text")) > 0)
+    numbered = table.where("kind = 'place'").withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("int")).over(order))
+    run = Window.partitionBy("art", "box", "island").orderBy("wrapper").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.array_join(F.collect_list(F.when(F.col("opens"), F.col("text")).otherwise(F.col("run"))).over(run), "")
+    return numbered.select("art", "box", "wrapper", "own", "island", said.alias("said"))
+
+
+def cited(table: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
+    """Citations with a claim of at least ``least`` characters, in order."""
+    own = places(table).where("own").select("art", "wrapper", "box", "said")
+    anchors = table.where("kind = 'anchor'").select("art", "doc_id", "at", "wrapper", "name", "section", "container", fragment("href").alias("ref_id"), F.col("text").alias("number")).where("ref_id IS NOT NULL")
+    boxes = table.where("kind = 'box'").select("art", "box", F.col("text").alias("whole"))
+    claims = anchors.join(own, ["art", "wrapper"]).withColumn("claim", clean_claim("said", F.lit("")))
+    short = claims.withColumn("short", F.char_length(clean_claim("said", "said")) < 10)
+    joined = short.alias("c").join(boxes.alias("b"), (F.col("c.art") == F.col("b.art")) & (F.col("c.box") == F.col("b.box")) & F.col("short"), "left").select("c.*", "whole")
+    claim = F.when(F.col("short"), clean_claim(F.lit(""), "whole")).otherwise(F.col("claim"))
+    kept = joined.withColumn("claim_text", claim).where(F.char_length("claim_text") >= least).drop("said", "claim", "whole", "short")
+    number = js_trim(F.regexp_replace("number", r"[\[\]]", ""))
+    return kept.withColumns({"citation_number": number, "pos": F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1}).drop("number")
+
+
+def grouped(citations: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds the group of each citation: the outermost run that holds its reference and a citation of the run's own container. Of several links in one reference the last is a member."""
+    last = citations.withColumn("from_end", F.row_number().over(Window.partitionBy("art", "wrapper").orderBy(F.desc("at")))).where("from_end = 1").select("art", "wrapper", "at", "name", "ref_id", "citation_number")
+    runs = places(table).select("art", "wrapper", "box", "island", "own").join(last, ["art", "wrapper"])
+    runs = runs.withColumn("holds", F.max("own").over(Window.partitionBy("art", "box", "island"))).where("holds")
+    outermost = runs.withColumn("rank", F.row_number().over(Window.partitionBy("art", "wrapper").orderBy("box"))).where("rank = 1")
+    group = Window.partitionBy("art", "box", "island").orderBy("wrapper")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    members = outermost.select(
+        "art", "at", F.first(F.coalesce(F.nullif("name", F.lit("")), "ref_id")).over(whole).alias("group_id"), F.count("*").over(whole).cast("int").alias("group_size"),
+        (F.row_number().over(group) - 1).alias("group_index"), F.collect_list("citation_number").over(whole).alias("group_citation_numbers"),
+    )
+    return citations.join(members, ["art", "at"], "left")
+
+
+def resolved(citations: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds url and page_num: the footnote's own link, else the full citation's that a short cite names, else that of the list item around it."""
+    notes = table.where("kind = 'note'").select("art", "name", "text", "links", "item")
+    foot = notes.select("art", F.col("name").alias("ref_id"), footnote_url("links").alias("direct"), page_number(collapse("text")).alias("page_num"), F.substring(F.get(F.filter("links", lambda x: x.startswith("#CITEREF")), F.lit(0)), 2, 1 << 30).alias("cite"))
+    full = notes.select("art", F.col("name").alias("cite"), F.coalesce(footnote_url("links"), footnote_url("item")).alias("second"))
+    found = foot.join(full, ["art", "cite"], "left").select("art", "ref_id", F.coalesce("direct", "second").alias("url"), "page_num")
+    return citations.join(found, ["art", "ref_id"], "left")
+
+
+def extract_citations(articles: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
+    """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows."""
+    table = tokens(articles)
+    found = resolved(grouped(cited(table, least), table), table)
+    same = Window.partitionBy("art", "citation_number")
+    return found.select(
+        "doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", "group_citation_numbers", "section",
+        F.row_number().over(same.orderBy("pos")).alias("occurrence"), F.count("*").over(same).cast("int").alias("total_occurrences"), collapse("container").alias("container_text"),
+    )
 
 
 def by_number(citations: DataFrame, number: str, occurrence: int = 1) -> DataFrame:

@@ -379,12 +379,39 @@ SELECT event_id, CASE WHEN f < 3 THEN 'NOT SUPPORTED' WHEN f = 3 THEN 'PARTIALLY
 
 
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles made of documents: each line a paragraph with two adjacent references and its notes."""
-    lines = F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1)
-    body = F.array_join(F.transform(lines, lambda s, i: F.concat(F.lit("<p>"), s, F.format_string('<sup id="r%d" class="reference"><a href="#n%d">[%d]</a></sup><sup id="s%d" class="reference"><a href="./T#m">[9]</a></sup></p>', i, i, i, i))), "")
-    notes = F.lit('<ol><li id="n0"><a href="https://a.example/">a</a> pp. 7</li><li id="n1"><a href="https://en.wikipedia.org/wiki/X">x</a></li><li id="m"><a href="https://archive.is/x">y</a><a href="https://b.example/">b</a></li></ol>')
-    docs = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(body, notes).alias("html"))
-    return X.extract_citations(docs).select("doc_id", "pos", "ref_id", "citation_number", "url", "page_num", "group_id", "group_size", "group_index", "occurrence")
+    """Articles made of documents: each line a paragraph with two references, adjacent, parted by a comma or in mid-sentence; footnotes with links of all kinds, short cites among them."""
+    line = lambda s, i: F.concat(
+        F.when(i % 10 == 9, "<h2>h</h2>").otherwise(""), F.lit("<p>"), F.when(i % 3 == 2, F.substr(s, F.lit(1), F.expr("char_length(s) div 2"))).otherwise(s),
+        F.format_string('<sup id="r%d" class="reference"><a href="./T#n%d">[%d]</a></sup>', i, i % 6, i + 1), F.when(i % 3 == 0, "").when(i % 3 == 1, ", ").otherwise(F.substr(s, F.expr("char_length(s) div 2 + 1"))),
+        F.format_string('<sup id="s%d" class="reference"><a href="#m">[0]</a></sup></p>', i),
+    )
+    notes = F.lit(
+        '<ol><li id="n0"><a href="https://a.example/">a</a> pp. 7</li><li id="n1"><a href="https://en.wikipedia.org/wiki/X">x</a></li><li id="n2"><a href="#CITEREFa">A</a>, p. 3</li><li id="n3"><a href="#CITEREFb">B</a> p 12</li>'
+        '<li id="n4"><a href="https://archive.is/x">y</a><a href="https://web.archive.org/web/1/https://c.example/">c</a></li><li id="m"><a href="https://archive.is/x">y</a><a href="https://b.example/">b</a></li>'
+        '<li><cite id="CITEREFa">A</cite> <a href="https://full.example/a">f</a></li><li><cite id="CITEREFb">B <a href="https://full.example/b">f</a></cite></li></ol>'
+    )
+    lines = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1)).alias("i", "s"))
+    docs = lines.select("doc_id", F.struct("i", line(F.col("s"), F.col("i")).alias("html")).alias("x")).groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["html"]), ""), notes).alias("html"))
+    found = X.extract_citations(docs)
+    return found.select("doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", F.array_join("group_citation_numbers", " ").alias("group_numbers"), "section", "occurrence", "total_occurrences")
+
+
+CITATION_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[<>&\[\]]', '', 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, left(s, (length(s) // 2)::BIGINT) AS a, substr(s, (length(s) // 2 + 1)::BIGINT) AS b FROM l),
+r AS (
+  SELECT doc_id, i, 0 AS k, 'n' || i % 6 AS ref_id, (i + 1)::VARCHAR AS num, CASE WHEN i % 3 = 2 THEN a ELSE s END AS said, s || CASE WHEN i % 3 = 1 THEN ', ' ELSE '' END AS whole FROM h
+  UNION ALL SELECT doc_id, i, 1, 'm', '0', CASE i % 3 WHEN 0 THEN s WHEN 1 THEN ', ' ELSE b END, s || CASE WHEN i % 3 = 1 THEN ', ' ELSE '' END FROM h),
+c AS (SELECT *, trim(regexp_replace(said, '[{T.JS_SPACE_RE2}]+', ' ', 'g')) AS said1, trim(regexp_replace(whole, '[{T.JS_SPACE_RE2}]+', ' ', 'g')) AS whole1 FROM r),
+k AS (SELECT *, CASE WHEN length(said1) < 10 THEN whole1 ELSE said1 END AS claim_text FROM c),
+n(ref_id, url, page_num) AS (VALUES ('n0', 'https://a.example/', 7), ('n1', NULL, NULL), ('n2', 'https://full.example/a', 3), ('n3', 'https://full.example/b', 12), ('n4', 'https://web.archive.org/web/1/https://c.example/', NULL), ('m', 'https://b.example/', NULL)),
+f AS (SELECT * FROM k WHERE length(claim_text) >= 10)
+SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS pos, ref_id, num AS citation_number, claim_text, url, page_num,
+  CASE WHEN i % 3 = 0 OR k = 0 THEN 'r' ELSE 's' END || i AS group_id, CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS group_size, CASE WHEN i % 3 = 0 THEN k ELSE 0 END AS group_index,
+  CASE WHEN i % 3 = 0 THEN (i + 1) || ' 0' ELSE num END AS group_numbers, ((i + 1) // 10)::INTEGER AS section,
+  (row_number() OVER (PARTITION BY doc_id, num ORDER BY i, k))::INTEGER AS occurrence, (count(*) OVER (PARTITION BY doc_id, num))::INTEGER AS total_occurrences
+FROM f LEFT JOIN n USING (ref_id)
+"""
 
 
 def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +428,6 @@ QUERIES = {
     "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
     "selection_keyset": (selection_keyset, SELECTION_SQL), "findings_upsert": (findings_upsert, UPSERT_SQL), "sweep_dedup": (sweep_dedup, SWEEP_SQL), "adjacency_groups": (adjacency_groups, ADJACENCY_SQL), "group_assembly": (group_assembly, GROUP_SQL),
     "report_units": (report_units, UNITS_SQL), "report_counts": (report_counts, COUNTS_SQL), "report_visible": (report_visible, VISIBLE_SQL), "section_numbers": (section_numbers, SECTION_SQL), "wice_rows": (wice_rows, WICE_SQL), "split_tallies": (split_tallies, TALLY_SQL),
-    "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, None), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),
+    "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, CITATION_SQL), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),
     "manual_sources": (manual_sources, MANUAL_SQL),
 }

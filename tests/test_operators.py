@@ -156,9 +156,14 @@ def ref(n, i="r"):
     return f'<sup id="{i}{n}" class="reference"><a href="./T#n{n}">[{n}]</a></sup>'
 
 
-def test_citations_are_grouped_and_resolved():
+def collect(spark, html):
+    """Citations of one article, in order, as rows."""
+    return sorted(X.extract_citations(spark.createDataFrame([("d", html)], "doc_id string, html string")).collect(), key=lambda r: r["pos"])
+
+
+def test_citations_are_grouped_and_resolved(spark):
     html = f"<h2>A</h2><p>The first claim of this text{ref(1)}{ref(2)} and the second one here{ref(3)}, still more text follows{ref(4)} {ref(1, 's')}</p><h2>B</h2><p>Tiny{ref(2, 't')} but long enough as a whole.</p><p>x{ref(3, 'u')}</p>{NOTES}"
-    got = X.collect(html)
+    got = collect(spark, html)
     assert [(c["citation_number"], c["group_id"], c["group_size"], c["group_index"], c["section"]) for c in got] == [("1", "r1", 2, 0, 1), ("2", "r1", 2, 1, 1), ("3", "r3", 1, 0, 1), ("4", "r4", 2, 0, 1), ("1", "r4", 2, 1, 1), ("2", "t2", 1, 0, 2)]
     assert got[0]["claim_text"] == got[1]["claim_text"] == "The first claim of this text" and got[2]["claim_text"] == "and the second one here" and got[3]["claim_text"] == ", still more text follows"
     assert got[5]["claim_text"] == "Tiny but long enough as a whole."
@@ -167,11 +172,11 @@ def test_citations_are_grouped_and_resolved():
     assert got[0]["group_citation_numbers"] == ["1", "2"]
 
 
-def test_citations_of_odd_pages():
-    assert X.collect("") == [] and X.collect("<p>no refs") == []
-    assert X.collect(f"<span>Outside of any container{ref(1)}</span>{NOTES}") == []
-    assert X.collect('<p>Named without a fragment<sup class="reference"><a href="x">[1]</a></sup></p>') == []
-    got = X.collect(f"<ul><li>One item of a list{ref(1)}<li>Another item here[dubious\xa0– discuss]{ref(1, 'z')}</ul>")
+def test_citations_of_odd_pages(spark):
+    assert collect(spark, "") == [] and collect(spark, "<p>no refs") == []
+    assert collect(spark, f"<span>Outside of any container{ref(1)}</span>{NOTES}") == []
+    assert collect(spark, '<p>Named without a fragment<sup class="reference"><a href="x">[1]</a></sup></p>') == []
+    got = collect(spark, f"<ul><li>One item of a list{ref(1)}<li>Another item here[dubious\xa0– discuss]{ref(1, 'z')}</ul>")
     assert [c["claim_text"] for c in got] == ["One item of a list", "Another item here"] and got[1]["url"] is None
 
 
