@@ -37,14 +37,15 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), f"[{JS_SPACE}]+", " "))
 
 
-def clean_claim(text: Column | str, container: Column | str) -> Column:
-    """A claim without citation numbers and maintenance markers; the container's text where under 10 characters are left."""
+def cleaned(c: Column | str) -> Column:
+    """A text without citation numbers and maintenance markers; null is empty."""
+    return collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\[[0-9]+\]", ""), f"[{JS_SPACE}]+", " "), MARKERS, ""))
 
-    def cleaned(c: Column) -> Column:
-        return collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\[[0-9]+\]", ""), f"[{JS_SPACE}]+", " "), MARKERS, ""))
 
-    own = cleaned(_col(text))
-    return F.when(F.char_length(own) < 10, cleaned(_col(container))).otherwise(own)
+def clean_claim(text: Column | str, container: Column | str) -> Column:
+    """A claim without citation numbers and maintenance markers; the container's text where under 10 characters are left."""
+    own = cleaned(text)
+    return F.when(F.char_length(own) < 10, cleaned(container)).otherwise(own)
 
 
 def truncate_for_log(c: Column | str, most: int = MAX_LOGGED) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import clean_claim, collapse, js_trim
+from corrobora.functions.text import cleaned, collapse, js_trim
 from corrobora.functions.urls import footnote_url, fragment, page_number
 from corrobora.sources.shared import materialize
 
@@ -186,11 +186,9 @@ def cited(table: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
     own = places(table).where("own").select("art", "wrapper", "box", "said")
     anchors = table.where("kind = 'anchor'").select("art", "doc_id", "at", "wrapper", "name", "section", "container", fragment("href").alias("ref_id"), F.col("text").alias("number")).where("ref_id IS NOT NULL")
     boxes = table.where("kind = 'box'").select("art", "box", F.col("text").alias("whole"))
-    claims = anchors.join(own, ["art", "wrapper"]).withColumn("claim", clean_claim("said", F.lit("")))
-    short = claims.withColumn("short", F.char_length(clean_claim("said", "said")) < 10)
-    joined = short.alias("c").join(boxes.alias("b"), (F.col("c.art") == F.col("b.art")) & (F.col("c.box") == F.col("b.box")) & F.col("short"), "left").select("c.*", "whole")
-    claim = F.when(F.col("short"), clean_claim(F.lit(""), "whole")).otherwise(F.col("claim"))
-    kept = joined.withColumn("claim_text", claim).where(F.char_length("claim_text") >= least).drop("said", "claim", "whole", "short")
+    claims = anchors.join(own.withColumn("claim", cleaned("said")).drop("said"), ["art", "wrapper"]).withColumn("short", F.char_length("claim") < 10)
+    joined = claims.alias("c").join(boxes.alias("b"), (F.col("c.art") == F.col("b.art")) & (F.col("c.box") == F.col("b.box")) & F.col("short"), "left").select("c.*", "whole")
+    kept = joined.withColumn("claim_text", F.when(F.col("short"), cleaned("whole")).otherwise(F.col("claim"))).where(F.char_length("claim_text") >= least).drop("claim", "whole", "short", "box")
     number = js_trim(F.regexp_replace("number", r"[\[\]]", ""))
     return kept.withColumns({"citation_number": number, "pos": F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1}).drop("number")
 
@@ -222,7 +220,7 @@ def resolved(citations: DataFrame, table: DataFrame) -> DataFrame:
 def extract_citations(articles: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
     """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows."""
     table = tokens(articles)
-    found = resolved(grouped(cited(table, least), table), table)
+    found = resolved(grouped(materialize(cited(table, least), "cited"), table), table)
     same = Window.partitionBy("art", "citation_number")
     return found.select(
         "doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", "group_citation_numbers", "section",

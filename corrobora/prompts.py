@@ -1,54 +1,51 @@
-"""What models are told: system prompts for one source and for a group, their language, and a file's text instead.
+"""What a model is asked for: the reply that this library can read, and nothing about how to judge.
 
-The reply's fields, the verdicts and the confidence scale are what
-:mod:`corrobora.functions.replies` and the quote check read.
+The form of a reply is generated from ``FIELDS`` and ``SCALE``, the same names
+that :mod:`corrobora.functions.replies` parses and the quote check looks up.
+How to judge is the user's: guidance is a text of their own, given by a file or
+by ``guidance``, and goes before the form. A file may also replace all of it.
 """
 
 from __future__ import annotations
 
-#: Verdicts with their confidence, as replies must state them.
-SCALE = (("SUPPORTED", "80-100"), ("PARTIALLY SUPPORTED", "50-79"), ("NOT SUPPORTED", "1-49"), ("SOURCE UNAVAILABLE", "0"))
-
-_REPLY = """Reply with one JSON object and nothing else:
-{"confidence": number, "verdict": text, "reason_type": text, "source_quote": text, "comments": text}
-
-- verdict and confidence: %s.
-- reason_type, for NOT SUPPORTED alone: "contradiction" if the text says otherwise (also if it leaves out another part), "omission" if it is silent. Leave it out for other verdicts.
-- source_quote: the passage that decides, one or two sentences and at most 50 words, copied letter by letter; it is searched for in the text and thrown away if it is not there. Join two passages, in their order, with " ... ". Empty for SOURCE UNAVAILABLE and for omissions. Never quote the claim.
-- comments: a short reason, without the quote.""" % ", ".join(f"{v} ({c})" for v, c in SCALE)
-
-_RULES = """- Judge by the given text alone; what you know besides does not count.
-- Say first what the claim states, then look for what supports or contradicts it.
-- Paraphrases and plain implications support a claim, guesses and leaps do not. A claim stated as a fact needs a text that states it as one.
-- Spellings of one name carried over from another script are the same name.
-- A catalogue entry, a book preview, a pay wall, a login, an error or consent page is no usable text; an article with menus, archive banners or other page parts around it is."""
-
-SYSTEM = f"""You check whether a source supports a claim made in an encyclopedia.
-
-{_RULES}
-- If there is no usable text, the verdict is SOURCE UNAVAILABLE with confidence 0.
-
-{_REPLY}"""
-
-GROUP_SYSTEM = f"""You check whether several sources, each labelled with its citation numbers, together support one claim made in an encyclopedia.
-
-{_RULES}
-- The claim is SUPPORTED if the sources do so together, even if none does alone; PARTIALLY SUPPORTED if they back a part of it.
-- Leave unusable sources and those marked as not retrieved out of account. SOURCE UNAVAILABLE with confidence 0 only if none is usable.
-- Quote from one source, without its label; name it in the comments.
-
-{_REPLY}"""
+#: Verdicts with the confidence that goes with each, as replies state them.
+SCALE = (("SUPPORTED", 80, 100), ("PARTIALLY SUPPORTED", 50, 79), ("NOT SUPPORTED", 1, 49), ("SOURCE UNAVAILABLE", 0, 0))
+#: A reply's fields with their JSON types, and the reasons.
+FIELDS = (("confidence", "number"), ("verdict", "string"), ("reason_type", "string"), ("source_quote", "string"), ("comments", "string"))
+REASONS = ("contradiction", "omission")
+#: Separates the parts of a quote that stand apart in the source; see ``functions.quotes``.
+JOINT = " ... "
+
+
+def reply_form(group: bool = False) -> str:
+    """The reply's form, field by field, as the parser reads it."""
+    bands = "; ".join(f"{verdict}: {low}" if low == high else f"{verdict}: {low} to {high}" for verdict, low, high in SCALE)
+    shape = ", ".join(f'"{name}": <{kind}>' for name, kind in FIELDS)
+    meaning = {
+        "confidence": f"depends on the verdict ({bands})",
+        "verdict": "one of " + ", ".join(verdict for verdict, *_ in SCALE),
+        "reason_type": f"{' or '.join(REASONS)} with {SCALE[2][0]}, else absent",
+        "source_quote": f"characters of {'one source' if group else 'the source'} without any change, parts joined by {JOINT!r}; a program looks them up; may be empty",
+        "comments": "free text" + (", naming the source of the quote" if group else ""),
+    }
+    return "Answer with this JSON object alone:\n{" + shape + "}\n" + "\n".join(f"{name}: {meaning[name]}" for name, _ in FIELDS)
+
+
+def _file(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if not text.strip():
+        raise ValueError(f"the prompt file is empty: {path}")
+    return text
 
 
-def system_prompt(group: bool = False, language: str | None = None, file: str | None = None) -> str:
-    """The system prompt, or a file's text in its place; with a language, comments are asked for in it while verdicts stay as they are."""
+def system_prompt(group: bool = False, language: str | None = None, file: str | None = None, guidance: str | None = None) -> str:
+    """Task, the user's guidance if any, and the reply's form; or a file's text in their place. With a language, comments are asked for in it while verdicts stay as they are."""
     if file:
-        with open(file, encoding="utf-8") as f:
-            text = f.read()
-        if not text.strip():
-            raise ValueError(f"the prompt file is empty: {file}")
+        text = _file(file)
     else:
-        text = GROUP_SYSTEM if group else SYSTEM
+        task = "Input: a claim and " + ("several labelled sources. Output: how far the sources, taken as one, bear the claim out." if group else "a source text. Output: how far the source bears the claim out.")
+        text = "\n\n".join(part for part in (task, guidance, reply_form(group)) if part)
     if language and language.split("-")[0].lower() != "en":
-        text += f'\n\nWrite "comments" in the language with the code {language}. Keep the verdicts and the field names in English and quotes as they are in the source.'
+        text += f"\n\ncomments: in the language with the code {language}; verdict and field names stay in English, source_quote stays in the source's language."
     return text

@@ -90,7 +90,7 @@ def test_prompts(tmp_path):
     for group in (False, True):
         text = system_prompt(group)
         assert all(x in text for x in ("SUPPORTED", "PARTIALLY SUPPORTED", "NOT SUPPORTED", "SOURCE UNAVAILABLE", "source_quote", "reason_type", "contradiction", "omission"))
-    assert system_prompt(language="en-US") == system_prompt() and "code fr" in system_prompt(language="fr")
+    assert system_prompt(language="en-US") == system_prompt() and "code fr" in system_prompt(language="fr") and "\n\nJudge by dates.\n\n" in system_prompt(guidance="Judge by dates.")
     (tmp_path / "p.txt").write_text("Mine.")
     assert system_prompt(file=str(tmp_path / "p.txt")) == "Mine."
     (tmp_path / "p.txt").write_text(" ")
