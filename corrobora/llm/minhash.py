@@ -180,62 +180,73 @@ class Linker:
     def __init__(self, sets: list[np.ndarray], comps: np.ndarray, k: int, num: int, den: int):
         self.sets, self.k, self.num, self.den = sets, k, num, den
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.root = np.unique(comps, return_inverse=True)[1].astype(np.int64)
-        self.parent = np.arange(len(sets))
+        self.label = np.unique(comps, return_inverse=True)[1].astype(np.int64)
         self.found: list[tuple[int, int]] = []
-        self.verified = 0
-
-    def top(self, i: int) -> int:
-        i = int(self.root[i])
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = int(self.parent[i])
-        return i
-
-    def link(self, i: int, j: int) -> bool:
-        """Whether two sets link, by their sketches' estimate, then by the whole sets; joined then."""
-        a, b = self.sets[i], self.sets[j]
-        if max(len(a), len(b)) > self.k:
-            union = np.union1d(a[: self.k], b[: self.k])[: self.k]
-            if int((np.isin(union, a[: self.k], assume_unique=True) & np.isin(union, b[: self.k], assume_unique=True)).sum()) < least_shared(self.k, self.num, self.den):
-                return False
-        self.verified += 1
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        if self.den * shared < self.num * (len(a) + len(b) - shared):
-            return False
-        self.parent[max(self.top(i), self.top(j))] = min(self.top(i), self.top(j))
-        self.found.append((i, j))
-        return True
+        self.verified, self.bound = 0, least_shared(k, num, den)
+
+    def estimated(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may link with i by the sketch of the union: its k smallest values, so far as both have them."""
+        mine = self.sets[i][: self.k]
+        sketches = [self.sets[j][: self.k] for j in others.tolist()]
+        width = np.array([len(x) for x in sketches])
+        flat = np.concatenate(sketches)
+        own = np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)  # rank in the other's sketch
+        at = np.searchsorted(mine, flat)
+        both = mine[np.minimum(at, len(mine) - 1)] == flat
+        total = np.cumsum(both) - both
+        before = total - np.repeat(total[np.cumsum(width) - width], width)  # values of both that are smaller
+        inside = both & (at + own - before < self.k)
+        counts = np.add.reduceat(inside, np.cumsum(width) - width, dtype=np.int64)
+        return others[(counts >= self.bound) | (np.maximum(self.sizes[others], len(self.sets[i])) <= self.k)]
+
+    def confirmed(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that link with i by the whole sets."""
+        if not len(others):
+            return others
+        self.verified += len(others)
+        mine, width = self.sets[i], self.sizes[others]
+        flat = np.concatenate([self.sets[j] for j in others.tolist()])
+        at = np.searchsorted(mine, flat)
+        shared = np.add.reduceat(mine[np.minimum(at, len(mine) - 1)] == flat, np.cumsum(width) - width, dtype=np.int64)
+        return others[self.den * shared >= self.num * (len(mine) + width - shared)]
+
+    def link(self, i: int, others: np.ndarray) -> bool:
+        """Joins i with those of ``others`` that link with it, one for each component."""
+        others = others[self.label[others] != self.label[i]]
+        hits = self.confirmed(i, self.estimated(i, others)) if len(others) else others
+        for j in hits[np.unique(self.label[hits], return_index=True)[1]].tolist():
+            self.label[self.label == self.label[j]] = self.label[i]
+            self.found.append((i, j))
+        return len(hits) > 0
 
     def neighbours(self) -> None:
         """Sets whose sketches are next to each other in order: near copies mostly are."""
         order = sorted(range(len(self.sets)), key=lambda i: self.sets[i][: self.k].tobytes())
         for i, j in zip(order[:-1], order[1:], strict=True):
-            if self.top(i) != self.top(j):
-                self.link(i, j)
+            self.link(i, np.array([j]))
 
     def search(self, low: np.ndarray | None = None) -> None:
         """All pairs of different components, each from a set outside the largest; with ``low``, only pairs across it.
 
-        A first round tries the sets that share most with each; most components
-        are joined by it, and the second round, over all pairs, has few left.
+        Sets that share most are tried first, since what they join need not be
+        compared; a set that has come to the largest component by its turn is left
+        to those outside, which all look at it.
         """
-        index = None
-        for most in (3, None):
-            tops = np.array([self.top(i) for i in range(len(self.sets))])
-            asks = np.flatnonzero(tops != np.bincount(tops).argmax())
-            if not len(asks):
-                return
-            index = index or LocalIndex([s[: self.k] for s in self.sets])
-            for i in asks.tolist():
-                need = pair_least(self.sizes, self.sizes[i], self.k, self.num, self.den)
-                hits, shared = index.reaching(self.sets[i][: self.k], need, int(own_least(self.sizes[i : i + 1], self.k, self.num, self.den)[0]))
-                if low is not None:
-                    across = low[hits] != low[i]
-                    hits, shared = hits[across], shared[across]
-                for j in hits[np.argsort(-shared, kind="stable")][: most and most + 1].tolist():
-                    if j != i and self.top(i) != self.top(j) and self.link(i, j) and most:
-                        break
+        anchor = int(np.argmax(self.label == np.bincount(self.label).argmax()))
+        asks = np.flatnonzero(self.label != self.label[anchor])
+        if not len(asks):
+            return
+        index, asked = LocalIndex([s[: self.k] for s in self.sets]), np.zeros(len(self.sets), dtype=bool)
+        for i in asks.tolist():
+            if self.label[i] == self.label[anchor]:
+                continue
+            need = pair_least(self.sizes, self.sizes[i], self.k, self.num, self.den)
+            hits, shared = index.reaching(self.sets[i][: self.k], need, int(own_least(self.sizes[i : i + 1], self.k, self.num, self.den)[0]))
+            open_ = ~asked[hits] if low is None else (low[hits] != low[i]) & ~asked[hits]  # a pair is looked at once
+            hits = hits[open_][np.argsort(-shared[open_], kind="stable")]
+            self.link(i, hits[:4])
+            self.link(i, hits[4:])
+            asked[i] = True
 
 
 def block_links(frame: pd.DataFrame, words: int, lower: bool, k: int, num: int, den: int) -> pd.DataFrame:
@@ -258,7 +269,7 @@ def block_links(frame: pd.DataFrame, words: int, lower: bool, k: int, num: int,
     return pd.DataFrame({"a": [cids[i] for i, _ in linker.found], "b": [cids[j] for _, j in linker.found]}).astype("int64")
 
 
-def near_duplicate_classes(docs: DataFrame, words: int = 5, lower: bool = True, num: int = 85, den: int = 100, k: int = K, short: int = 24, block_shingles: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, words: int = 5, lower: bool = True, num: int = 85, den: int = 100, k: int = K, short: int = 24, block_shingles: int = 400_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, cid, n), and classes (cid, rep, root): root is the smallest class linked, directly or not."""
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
@@ -305,7 +316,10 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, lower: bool = True,
 def _join_blocks(sets: DataFrame, links: DataFrame, linked, block_shingles: int) -> DataFrame:
     """Links between blocks of clusters of several blocks: first of the components' representatives, then of members outside the largest component with all."""
 
+    own = sets.select(F.col("cid").alias("a"))
+
     def placed(links: DataFrame) -> DataFrame:
+        links = links.join(own, "a", "left_semi")
         return sets.drop("text").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
 
     def parts(total: str) -> Column:
