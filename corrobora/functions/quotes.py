@@ -135,6 +135,14 @@ def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize)
 
 
+def comparable(c: Column | str) -> Column:
+    """The form in which quotes and sources are compared; only texts with an entity or a character outside ASCII go to Python."""
+    own = F.col(c) if isinstance(c, str) else c
+    plain = ~(own.rlike(r"[^\x00-\x7F]") | own.contains("&"))
+    folded = F.regexp_replace(F.regexp_replace(F.translate(own, "`'", '""'), f"-{_SPACE}+", "-"), f"{_SPACE}+", " ")
+    return F.when(F.coalesce(plain, F.lit(False)), F.lower(F.trim(folded))).otherwise(normalized(F.when(~plain, own)))
+
+
 def check(source: Column | str, quote: Column | str) -> Column:
     """The struct of ``SCHEMA`` for each row."""
     return _verify(source, quote)

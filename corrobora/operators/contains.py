@@ -5,9 +5,13 @@ words or more has as its block one window of three inner words, one of three or
 four words a single inner word: the one that the fewest quotes share. Texts meet
 the blocks by equality of hashes, by a broadcast of the blocks' hashes while
 these are at most ``MOST_ANCHORS``, so that texts' words are not shuffled, else by
-a join; only what meets is searched for the quote. Quotes of one or two words
-have no inner word: they are searched for in all texts, ``MOST_SHORT`` of them a
-pass.
+a join; only what meets is searched for the quote.
+
+Quotes of one or two words have no inner word, but their longer word lies inside
+some word of the text (a quote of white space inside a run of it). So they are
+looked up in the vocabulary, each distinct word or run once: by their rarest
+three characters, or whole where they have fewer, then by containment. Texts
+with such a word are searched for the quote.
 """
 
 from __future__ import annotations
@@ -15,14 +19,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.functions.quotes import normalized
+from corrobora.functions.quotes import comparable
+from corrobora.sources.shared import materialize
 
-#: Rows of short quotes that are broadcast at once; hashes of blocks that may be broadcast.
-MOST_SHORT, MOST_ANCHORS = 10_000, 1_000_000
+#: Rows of blocks (hashes, or words with their quotes) that may be broadcast; characters of a block of a short quote.
+MOST_ANCHORS, GRAM = 1_000_000, 3
+_SPACES = r" \t\n\r\f\u000B"
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(c, r"[ \t\n\r\f\u000B]+", -1), lambda w: w != "")
+    return F.filter(F.split(c, f"[{_SPACES}]+", -1), lambda w: w != "")
+
+
+def _runs(c: Column) -> Column:
+    return F.filter(F.split(c, f"[^{_SPACES}]+", -1), lambda w: w != "")
+
+
+def _grams(rows: DataFrame, text: str, k: int) -> DataFrame:
+    """``rows`` with ``gram``, the distinct runs of k characters of a column, one a row."""
+    cut = rows.withColumn("chars", F.explode(F.array(F.split(text, ""))))  # cut once, not for every run
+    made = F.transform(F.sequence(F.lit(1), F.size("chars") - k + 1), lambda i: F.concat(*(F.get("chars", i - 1 + j) for j in range(k))))
+    return cut.where(F.size("chars") >= k).withColumn("gram", F.explode(F.array_distinct(made))).drop("chars")
+
+
+def _holding(words: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, token) for the words that contain a needle; both tables have no repeated rows."""
+    length = F.char_length("needle")
+    found = None
+    for k in range(1, GRAM + 1):
+        grams, own = _grams(words, "token", k), needles.where(length == k if k < GRAM else length >= k)
+        if own.isEmpty():
+            continue
+        if k < GRAM:
+            met = grams.join(own, F.col("gram") == F.col("needle")).select("needle", "token")
+        else:
+            parts = _grams(own, "needle", k)
+            counts = grams.join(parts.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+            rare = Window.partitionBy("needle").orderBy("n", "gram")
+            anchors = parts.join(counts, "gram").withColumn("rank", F.row_number().over(rare)).where("rank = 1").select("gram", "needle")
+            met = grams.join(anchors, "gram").where(F.contains("token", "needle")).select("needle", "token")
+        found = met if found is None else found.union(met)
+    return found
+
+
+def _met_short(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of texts that have a word, or run of white space, around the longer word of a quote."""
+    word = lambda i: F.get("w", F.lit(i))
+    longer = F.when(F.size("w") == 0, F.col("quote")).when((F.size("w") == 1) | (F.char_length(word(0)) >= F.char_length(word(1))), word(0)).otherwise(word(1))
+    wanted = materialize(short.select("item_id", longer.alias("needle")), "needles")
+    have = texts.select("doc_id", F.explode(F.array_distinct(F.concat(_words(F.col("text")), _runs(F.col("text"))))).alias("token"))
+    words = materialize(have.select("token").distinct(), "vocabulary")
+    holding = materialize(_holding(words, wanted.select("needle").distinct()).join(wanted, "needle").select("token", "item_id").distinct(), "holding")
+    return have.join(F.broadcast(holding) if holding.count() <= MOST_ANCHORS else holding, "token").select("doc_id", "item_id").distinct()
 
 
 def _windows(words: Column, k: int) -> Column:
@@ -52,15 +100,13 @@ def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     cut = quotes.select("item_id", "quote", F.explode(F.array(_words(F.col("quote")))).alias("w"))
     inner = cut.where(F.size("w") >= 3).select("item_id", "quote", F.explode(F.array(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
     met = _met(texts, inner.where(F.size("w") >= 3), 3).union(_met(texts, inner.where(F.size("w") < 3), 1))
-    found = met.join(quotes, "item_id").join(texts, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id")
-    short = cut.where(F.size("w") < 3).select("item_id", "quote")
-    passes = -(-short.count() // MOST_SHORT)
-    for k in range(passes):
-        part = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(2 * passes)).isin(2 * k, 2 * k + 1)) if passes > 1 else short
-        found = found.union(texts.join(F.broadcast(part), F.contains("text", "quote")).select("doc_id", "item_id"))
-    return found.distinct()
+    short = cut.where(F.size("w") < 3)
+    if not short.isEmpty():
+        met = met.union(_met_short(texts, short))
+    return met.join(quotes, "item_id").join(texts, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
 
 
 def containing_normalized(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """The same for texts and quotes in the form in which quotes are compared: entities, quotation marks, dashes, spaces and case do not matter."""
-    return containing(texts.select("doc_id", normalized("text").alias("text")), quotes.select("item_id", normalized("quote").alias("quote")))
+    texts = materialize(texts.select("doc_id", comparable("text").alias("text")), "comparable")  # read for the words and again for the search
+    return containing(texts, quotes.select("item_id", comparable("quote").alias("quote")))

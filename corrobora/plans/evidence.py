@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from corrobora.operators import enrichment as N
 from corrobora.operators import findings as K
 from corrobora.operators import groups as G
 from corrobora.operators import wice as W
-from corrobora.operators.contains import containing
+from corrobora.operators.contains import containing, containing_normalized
 from corrobora.plans.adapters import RAW_SQL, raw_results, table
 from corrobora.sources import models as M
 from corrobora.streaming import sweep as S
@@ -107,6 +109,27 @@ def quote_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUOTE_JOIN_SQL = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
 
 
+def quote_normalized_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts with other quotation marks, dashes, spaces and case, and their first one and two words, in all documents."""
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
+    other = F.translate(F.replace(F.replace(F.regexp_replace("text", " ", "  "), F.lit("'"), F.lit("\u2019")), F.lit("-"), F.lit("\u2013 ")), ascii_lowercase, ascii_uppercase)
+    first = lambda n: F.concat_ws(" ", F.slice(F.split("text", " "), 1, n))
+    quotes = items.select(F.explode(F.array(*(F.struct(F.concat("item_id", F.lit(kind)).alias("item_id"), q.alias("quote")) for kind, q in (("", other), ("/1", first(1)), ("/2", first(2)))))).alias("x")).select("x.*")
+    return containing_normalized(_documents(spark, sf_dir).select("doc_id", "text"), quotes)
+
+
+def _comparable_sql(c: str) -> str:
+    space = f"[{T.JS_SPACE_RE2}]+"
+    return f"lower(trim(regexp_replace(regexp_replace(translate({c}, chr(39) || '`\u2019\u2018\u201c\u201d\u2013\u2014', repeat(chr(34), 6) || '--'), '-{space}', '-', 'g'), '{space}', ' ', 'g')))"
+
+
+NORMALIZED_JOIN_SQL = f"""
+WITH q AS (SELECT item_id, unnest([
+  {{'k': '', 'q': translate(replace(replace(replace(text, ' ', '  '), chr(39), '\u2019'), '-', '\u2013 '), '{ascii_lowercase}', '{ascii_uppercase}')}}, {{'k': '/1', 'q': string_split(text, ' ')[1]}}, {{'k': '/2', 'q': array_to_string(string_split(text, ' ')[:2], ' ')}}]) AS x FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT item_id || x.k AS item_id, {_comparable_sql("x.q")} AS q FROM q), d AS (SELECT doc_id, {_comparable_sql("text")} AS t FROM documents)
+SELECT DISTINCT doc_id, item_id FROM d JOIN n ON q <> '' AND contains(t, q)"""
+
+
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text held against the documents that contain it: verbatim ones are exact."""
     found = quote_exact_join(spark, sf_dir)
@@ -425,7 +448,7 @@ FEEDBACK_SQL = f"WITH {RAW_SQL} SELECT provider, count(*) AS checks, count(quali
 
 QUERIES = {
     "claim_hash": (claim_hashes, HASH_SQL), "url_hash_dedup": (url_hash_dedup, URL_DEDUP_SQL), "page_text_extract": (page_text_extract, PAGE_TEXT_SQL), "page_hosts": (page_hosts, HOSTS_SQL), "url_functions": (url_functions, URL_SQL),
-    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
+    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_normalized_join": (quote_normalized_join, NORMALIZED_JOIN_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
     "selection_keyset": (selection_keyset, SELECTION_SQL), "findings_upsert": (findings_upsert, UPSERT_SQL), "sweep_dedup": (sweep_dedup, SWEEP_SQL), "adjacency_groups": (adjacency_groups, ADJACENCY_SQL), "group_assembly": (group_assembly, GROUP_SQL),
     "report_units": (report_units, UNITS_SQL), "report_counts": (report_counts, COUNTS_SQL), "report_visible": (report_visible, VISIBLE_SQL), "section_numbers": (section_numbers, SECTION_SQL), "wice_rows": (wice_rows, WICE_SQL), "split_tallies": (split_tallies, TALLY_SQL),
     "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, CITATION_SQL), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),

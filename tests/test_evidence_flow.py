@@ -147,14 +147,14 @@ def test_manual_sources_are_cut_and_flagged(spark):
 def test_quotes_of_any_length_are_found(spark, monkeypatch):
     from corrobora.operators import contains
 
-    monkeypatch.setattr(contains, "MOST_SHORT", 3)
     rng = random.Random(6)
     word = lambda: rng.choice(["aa", "ab", "b", "cab", "d", "dd."])
     texts = [(i, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(99, None)]
-    quotes = [(i, " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(60)] + [(100, ""), (101, None), (102, "a"), (103, "zz zz zz zz")]
+    quotes = [(i, " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(60)] + [(100, ""), (101, None), (102, "a"), (103, "zz zz zz zz"), (104, " "), (105, "  "), (106, "\n"), (107, " aa "), (108, "cab"), (109, "ab ab"), (110, "abcab"), (111, "zzz")]
     frames = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, quote string")
     want = sorted((d, q) for d, t in texts for q, x in quotes if t is not None and x and x in t)
     assert sorted(map(tuple, containing(*frames).collect())) == want
+    assert "NestedLoop" not in containing(*frames)._jdf.queryExecution().toString()
     monkeypatch.setattr(contains, "MOST_ANCHORS", 0)
     assert sorted(map(tuple, containing(*frames).collect())) == want
 
@@ -165,6 +165,14 @@ def test_normalized_containment(spark):
     assert containing(texts, quotes).count() == 0 and [tuple(r) for r in containing_normalized(texts, quotes).collect()] == [(1, 1)]
 
 
+def test_comparable_is_the_sequential_form(spark):
+    from corrobora.functions import quotes as Q
+
+    texts = ["It's `so`  -  \t far", "plain", "", None, "caf\u00e9 &amp; bar", "a & b", "\u201cX\u201d \ufb01t", " \n Trim\x1c me \x0b"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", Q.comparable("t").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: Q.normalize(t) for i, t in enumerate(texts)}
+
+
 def test_costs_and_distinct_counts(spark):
     rows = spark.createDataFrame([("p", "e1", "exact", 10, 1, 2, 0.5, None, "u"), ("p", "e2", "wrong", 10, 1, 2, 0.25, None, "u")], "provider string, entry_id string, c string, latency_ms long, tokens_in int, tokens_out int, cost_usd double, error string, source_url string")
     r = M.run_summary(rows, F.col("c")).first()
