@@ -248,12 +248,22 @@ SELECT group_id, available <= 1 AS skipped, sources, available, CASE WHEN availa
   CASE WHEN available > 1 THEN (10 * least(sources, 9))::INTEGER END AS confidence, CASE WHEN available > 1 THEN 'empty' END AS quote_status FROM g"""
 
 
+#: Calls of the query below go round these: all registered providers, and one name that isn't.
+_CALLED = (*M.REGISTRY, "retired-model")
+
+
 def provider_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered providers of the evaluation's models and what each needs."""
-    return M.dimension(spark, M.REGISTRY).select("provider", "model", "kind", (F.col("key_env").isNotNull()).alias("has_key"))
+    """Calls made of events, joined with the registry of providers: how many went to each and how they ended; names without an entry stay."""
+    calls = table(spark, sf_dir, "events").select(F.get(F.array(*map(F.lit, _CALLED)), (F.col("event_id") % len(_CALLED)).cast("int")).alias("provider"), "user_id", (F.col("event_type") == "error").alias("failed"))
+    counted = calls.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if("failed").alias("failed"), F.count_distinct("user_id").alias("users"))
+    known = M.dimension(spark, M.REGISTRY).select("provider", "model", "kind", F.col("key_env").isNotNull().alias("has_key"))
+    return counted.join(known, "provider", "left").select("provider", "model", "kind", "has_key", "calls", "failed", "users")
 
 
-REGISTRY_SQL = " UNION ALL ".join(f"SELECT '{k}' AS provider, '{p.model}' AS model, '{p.kind}' AS kind, {'true' if p.key_env else 'false'} AS has_key" for k, p in M.REGISTRY.items())
+_ENTRIES = ", ".join(f"('{k}', '{p.model}', '{p.kind}', {'true' if p.key_env else 'false'})" for k, p in M.REGISTRY.items())
+REGISTRY_SQL = f"""WITH r(provider, model, kind, has_key) AS (VALUES {_ENTRIES}),
+c AS (SELECT [{", ".join(f"'{k}'" for k in _CALLED)}][event_id % {len(_CALLED)} + 1] AS provider, user_id, event_type = 'error' AS failed FROM events)
+SELECT provider, any_value(model) AS model, any_value(kind) AS kind, any_value(has_key) AS has_key, count(*) AS calls, count(*) FILTER (failed) AS failed, count(DISTINCT user_id) AS users FROM c LEFT JOIN r USING (provider) GROUP BY provider"""
 
 
 def manual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
