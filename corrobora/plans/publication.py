@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corrobora.operators import benchmark as B
 from corrobora.operators import enrichment as N
 from corrobora.plans import adapters as A
+from corrobora.sources.files import ordered_checksum
 
 THRESHOLDS = [0, 50, 80, 95]
 
@@ -70,7 +71,22 @@ FEEDBACK_SQL = """SELECT doc_id::VARCHAR AS check_id, CASE WHEN quality = 1 THEN
   NULL::VARCHAR AS wiki_section, NULL::VARCHAR AS client_id FROM labels"""
 
 
+def dataset_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all documents' lines of a dataset, in the order of source and id."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("text_hash"))
+    return ordered_checksum(rows, ["source", "doc_id"], fan=64)
+
+
+CHECKSUM_SQL = """WITH RECURSIVE d AS (
+  SELECT source, doc_id, sha256('{"doc_id":' || coalesce(doc_id::VARCHAR, 'null') || ',"source":' || coalesce(to_json(source)::VARCHAR, 'null') || ',"lang":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"text_hash":' || coalesce('"' || sha256(text) || '"', 'null') || '}') AS h FROM documents),
+v(lv, i, h, n) AS (
+  SELECT 0, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, h) - 1, h, count(*) OVER () FROM d
+  UNION ALL SELECT lv + 1, i // 64, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 63) // 64) FROM v WHERE n > 1 OR lv = 0 GROUP BY lv, i // 64)
+SELECT coalesce(max(h), sha256('')) AS checksum FROM v WHERE n = 1 AND lv > 0"""
+
+
 QUERIES = {
+    "dataset_checksum": (dataset_checksum, CHECKSUM_SQL),
     "publication_gate": (publication_gate, GATE_SQL), "contradictions_published": (contradictions_published, CONTRADICTIONS_SQL), "flag_precision": (flag_precision, FLAG_SQL),
     "extraction_totals": (extraction_totals, TOTALS_SQL), "feedback_rows": (feedback_rows, FEEDBACK_SQL),
 }

@@ -1,5 +1,6 @@
 """Operators on small tables."""
 
+import hashlib
 import io
 import json
 import random
@@ -342,3 +343,21 @@ def test_cli(spark, tmp_path):
     panel = [entry(1, v) | {"provider": p} for p, v in zip(E.PANELS["hf"], (S, S, N_), strict=True)]
     path = write("p.json", panel)
     assert cli.main(["ensemble", "--results", path, "--write"], spark, out) == 0 and len(json.loads((tmp_path / "p.json").read_text())["rows"]) == 5
+
+
+def test_ordered_checksum(spark):
+    def sequential(rows, fan):
+        level = [hashlib.sha256(json.dumps(dict(zip(("a", "b"), r, strict=True)), separators=(",", ":")).encode()).hexdigest() for r in rows]
+        while True:
+            level = [hashlib.sha256("".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+            if len(level) <= 1:
+                return level[0] if level else hashlib.sha256(b"").hexdigest()
+
+    def found(rows, order=("a",), fan=4):
+        return files.ordered_checksum(spark.createDataFrame(rows, "a int, b string").repartition(3), order, fan).first()["checksum"]
+
+    rows = [(None, "x"), *((i, f"t{i}" if i % 3 else None) for i in range(50))]
+    assert found(rows) == found(rows[::-1]) == sequential(rows, 4) and found([]) == sequential([], 4) and found(rows[:1]) == sequential(rows[:1], 4)
+    moved = [*rows[:10], (9, "t10"), (10, None), *rows[12:]]  # two rows have changed places
+    assert found(moved) == sequential(moved, 4) != sequential(rows, 4)
+    assert found([(1, "a")] * 20) == sequential([(1, "a")] * 20, 4)
