@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.operators.common import latest
+from corrobora.sources.shared import materialize
 
 KEY = ["wiki", "page_id", "claim_hash", "source_url_hash", "provider", "prompt_version"]
 #: Columns that an update leaves as they were first written.
@@ -54,3 +57,28 @@ def candidates(links: DataFrame, targets: DataFrame, pages: DataFrame, template:
     found = own.join(used.select(F.col("tl_from").alias("page_id")), "page_id", "left_semi")
     title = F.replace(F.col("page_title").cast("string"), F.lit("_"), F.lit(" "))
     return found.orderBy("page_id").limit(most).select("page_id", title.alias("title"), F.col("page_latest").cast("long").alias("revision_id"))
+
+
+def all_candidates(read: Callable[[int, int], DataFrame], most: int = 500, page: int = 500) -> DataFrame:
+    """Candidates page by page until a short page or ``most`` rows: what a source that answers in pages gives.
+
+    ``read(after, limit)`` is one page, such as :func:`candidates` over tables or a
+    replica's query. Each page is written once, so that what follows does not ask
+    the source again; the driver keeps only its size and its last page_id. Where
+    the source is a table of Spark's, one call of :func:`candidates` does the same.
+    """
+    if most < 1 or page < 1:
+        raise ValueError(f"most and page must be positive, not {most} and {page}")
+    found, rows, after = None, 0, 0
+    while rows < most:
+        limit = min(page, most - rows)
+        part = materialize(read(after, limit), "page")
+        size, last = part.agg(F.count("*"), F.max("page_id")).first()
+        found = part if found is None else found.union(part) if size else found
+        rows += size
+        if size < limit:
+            break
+        if last <= after:
+            raise ValueError(f"a page of a source did not pass {after}")
+        after = last
+    return found

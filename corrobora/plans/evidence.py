@@ -148,18 +148,31 @@ def quote_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "q.status", "q.verified", F.size("q.segments").alias("segments"))
 
 
-def selection_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of candidates: orders that use a part, by order key above a mark."""
+def _replica(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tl_from"), F.col("l_partkey").alias("tl_target_id"), F.lit(0).alias("tl_from_namespace"))
     targets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lt_id"), F.lit(10).alias("lt_namespace"), F.col("p_type").alias("lt_title"))
     pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderpriority").alias("page_title"), F.col("o_custkey").alias("page_latest"), F.lit(0).alias("page_namespace"), (F.col("o_orderstatus") == "P").cast("int").alias("page_is_redirect"))
-    return K.candidates(links, targets, pages, "ECONOMY", after=100, most=500)
+    return links, targets, pages
+
+
+def selection_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of candidates: orders that use a part, by order key above a mark."""
+    return K.candidates(*_replica(spark, sf_dir), "ECONOMY", after=100, most=500)
+
+
+def selection_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1,000 candidates in pages of 300, the last one shorter."""
+    tables = _replica(spark, sf_dir)
+    return K.all_candidates(lambda after, limit: K.candidates(*tables, "ECONOMY", after=after, most=limit), most=1000, page=300)
 
 
 SELECTION_SQL = """SELECT o_orderkey AS page_id, replace(o_orderpriority, '_', ' ') AS title, o_custkey AS revision_id FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey > 100
   AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY') ORDER BY o_orderkey LIMIT 500"""
 
 
+PAGES_SQL = SELECTION_SQL.replace("o_orderkey > 100", "o_orderkey > 0").replace("LIMIT 500", "LIMIT 1000")
+
+
 def findings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by the hash of their claim; a second batch is written over the first."""
     docs = _documents(spark, sf_dir).select(F.lower(F.hex(T.claim_hash("text"))).alias("claim_hash"), "doc_id", F.col("lang").alias("verdict"), F.col("doc_id").alias("created_at"))
@@ -458,7 +471,7 @@ FEEDBACK_SQL = f"WITH {RAW_SQL} SELECT provider, count(*) AS checks, count(quali
 
 QUERIES = {
     "claim_hash": (claim_hashes, HASH_SQL), "url_hash_dedup": (url_hash_dedup, URL_DEDUP_SQL), "page_text_extract": (page_text_extract, PAGE_TEXT_SQL), "page_hosts": (page_hosts, HOSTS_SQL), "url_functions": (url_functions, URL_SQL),
-    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_normalized_join": (quote_normalized_join, NORMALIZED_JOIN_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
+    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_normalized_join": (quote_normalized_join, NORMALIZED_JOIN_SQL), "selection_pages": (selection_pages, PAGES_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
     "selection_keyset": (selection_keyset, SELECTION_SQL), "findings_upsert": (findings_upsert, UPSERT_SQL), "sweep_dedup": (sweep_dedup, SWEEP_SQL), "adjacency_groups": (adjacency_groups, ADJACENCY_SQL), "group_assembly": (group_assembly, GROUP_SQL),
     "report_units": (report_units, UNITS_SQL), "report_counts": (report_counts, COUNTS_SQL), "report_visible": (report_visible, VISIBLE_SQL), "section_numbers": (section_numbers, SECTION_SQL), "wice_rows": (wice_rows, WICE_SQL), "split_tallies": (split_tallies, TALLY_SQL),
     "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, CITATION_SQL), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),

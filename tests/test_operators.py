@@ -361,3 +361,16 @@ def test_ordered_checksum(spark):
     moved = [*rows[:10], (9, "t10"), (10, None), *rows[12:]]  # two rows have changed places
     assert found(moved) == sequential(moved, 4) != sequential(rows, 4)
     assert found([(1, "a")] * 20) == sequential([(1, "a")] * 20, 4)
+
+
+@pytest.mark.parametrize(("rows", "most", "asked"), [(10, 100, [(0, 4), (4, 4), (8, 4)]), (10, 6, [(0, 4), (4, 2)]), (8, 100, [(0, 4), (4, 4), (8, 4)]), (0, 5, [(0, 4)])])
+def test_pages_end_with_a_short_one(spark, rows, most, asked):
+    seen = []
+
+    def read(after, limit):
+        seen.append((after, limit))
+        return spark.range(1, rows + 1).select(F.col("id").alias("page_id")).where(F.col("page_id") > after).orderBy("page_id").limit(limit)
+
+    assert sorted(r[0] for r in K.all_candidates(read, most, 4).collect()) == list(range(1, min(rows, most) + 1)) and seen == asked
+    with pytest.raises(ValueError, match="did not pass"):
+        K.all_candidates(lambda after, limit: spark.range(1, limit + 1).select(F.col("id").alias("page_id")), 9, 4)
