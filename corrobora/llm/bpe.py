@@ -26,6 +26,10 @@ _MARK[0x27] = False
 #: Bytes that may begin something for which the borders might not hold.
 _SUSPECT = np.zeros(256, dtype=bool)
 _SUSPECT[[*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0x3C, 0xCC, 0xCD]] = True
+#: Bytes outside ASCII and the Latin letters of two bytes that stay two bytes in lower case and under composition (0xC3).
+_STRANGE = np.zeros(256, dtype=bool)
+_STRANGE[0x80:] = True
+_STRANGE[[*range(0x80, 0xC0), 0xC3]] = False
 #: White space that may begin a segment encoded with others.
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x0A, 0x09, 0x0D]] = True
@@ -65,12 +69,13 @@ class SegmentEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         self.most = most
-        self.spelled = None
-        if self.library.normalizer is None:
+        self.spelled, self.spaced = None, self.library.normalizer is None
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        if self.spaced or suffix:
             vocab = self.library.get_vocab()
             self.spelled = np.zeros(max(vocab.values()) + 1, np.int64)
             for token, i in vocab.items():
-                self.spelled[i] = len(token)
+                self.spelled[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
         self._clear()
 
     def _clear(self) -> None:
@@ -80,20 +85,24 @@ class SegmentEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Adds segments. Where the library's tokens spell the bytes of their text, many are encoded as one string and cut by length."""
+        spelt = ends - starts
         joined = np.zeros(len(keys), dtype=bool)
         if self.spelled is not None:
             joined = _GAP[data[starts]] & NON_SPACE[data[ends - 1]]
+            if not self.spaced:  # white space has no token, and only bytes that a normalizer leaves in number count
+                solid, strange = (np.concatenate([[0], np.cumsum(of[data], dtype=np.int64)]) for of in (NON_SPACE, _STRANGE))
+                spelt = solid[ends] - solid[starts]
+                joined &= strange[ends] == strange[starts]
         size, order, flat, raw = np.zeros(len(keys), np.int64), [], [], data.tobytes()
         for many in (False, True):
             own = np.flatnonzero(joined == many)
             for i in range(0, len(own), _AT_ONCE):
                 some = own[i : i + _AT_ONCE]
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-                ids, size[some] = self._joined(texts, ends[some] - starts[some]) if many else self._each(texts)
+                ids, size[some] = self._joined(data, starts[some], ends[some], spelt[some]) if many else self._each(raw, starts[some], ends[some])
                 order.append(some)
                 flat.append(ids)
         order, flat = np.concatenate(order), np.concatenate(flat)
@@ -110,22 +119,25 @@ class SegmentEncoder:
             setattr(self, name, both)
         self.flat = np.concatenate([self.flat, flat])
 
-    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        found = self._encode(texts)
+    def _each(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments in a row, and how many each has."""
+        found = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((y for x in found for y in x), np.uint32, int(size.sum())), size
 
-    def _joined(self, texts: list[str], spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of texts of so many bytes each, from strings of many."""
-        found = self.library.encode_batch_fast(["".join(texts[i : i + _JOINED]) for i in range(0, len(texts), _JOINED)], add_special_tokens=False)
-        ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in found])
-        ends, spelt = np.cumsum(spaces), np.cumsum(self.spelled[ids])
-        last = np.searchsorted(spelt, ends) + 1
-        if not np.array_equal(spelt[last - 1], ends):
-            raise ValueError("a token reaches over a segment's border")
-        return ids, np.diff(last, prepend=0)
-
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of segments whose tokens spell so many bytes each, from strings of many."""
+        length = ends - starts
+        edges = np.concatenate([[0], np.cumsum(length)])
+        raw = data[np.repeat(starts - edges[:-1], length) + np.arange(edges[-1])].tobytes()
+        cuts = [*edges[:-1:_JOINED].tolist(), int(edges[-1])]
+        found = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)])
+        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
+        want, have = np.cumsum(spelt), np.cumsum(self.spelled[ids])
+        last = np.searchsorted(have, want) + 1
+        if len(have) and last[-1] <= len(have) and np.array_equal(have[last - 1], want):
+            return ids, np.diff(last, prepend=0)
+        return self._each(data.tobytes(), starts, ends)  # a token reaches over a segment's border
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a row, and the n + 1 offsets of the rows in them."""
         odd = self._odd(data, offsets)
