@@ -34,14 +34,16 @@ from corrobora.operators import metrics as M
 from corrobora.operators import runs as R
 from corrobora.operators import wice as W
 from corrobora.operators.enrichment import log_payload
+from corrobora.operators.ranks import numbered, ordered
 from corrobora.prompts import system_prompt
 from corrobora.schemas import DATASET, RESULTS
 from corrobora.session import session
 from corrobora.sources.changes import RecentChanges
 from corrobora.sources.fetch import exit_code
 from corrobora.sources.corpus import locate
-from corrobora.sources.files import exists, read_csv, read_jsonl, read_log, read_rows, write_log, write_rows
+from corrobora.sources.files import exists, merge_log, read_csv, read_jsonl, read_log, read_rows, write_rows
 from corrobora.sources.models import REGISTRY
+from corrobora.sources.parts import finish, replaced, save, saved
 from corrobora.sources.posts import post_log
 from corrobora.sources.shared import materialize
 from corrobora.streaming import sweep as S
@@ -264,18 +266,20 @@ def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
     if a.limit:
         dataset = R.by_number(dataset).limit(a.limit)
     names = {p: getattr(models[p], "model", None) or (REGISTRY[p].model if p in REGISTRY else p) for p in wanted}
+    if (left := saved(spark, a.results)) is not None:  # of a run that ended early
+        finish(replaced(load_results(spark, a.results).drop("pos") if exists(spark, a.results) else None, left, ["entry_id", "provider"]), a.results, {"recovered_at": datetime.now(timezone.utc).isoformat()})
     kept = R.reload(load_results(spark, a.results), wanted, resume=a.resume) if exists(spark, a.results) else None  # rows of other providers always stay
     kept = materialize(kept, "kept") if kept is not None else None
-    entries = materialize(dataset.withColumn("part", F.expr(f"(row_number() over (order by id) - 1) div {a.save_every}")), "entries")
-    fresh = None
-    for part in range((entries.agg(F.max("part")).first()[0] or 0) + 1):  # saved after each part: a crash loses one
-        mine = entries.where(F.col("part") == part).drop("part")
-        got = materialize(B.run(mine, {p: models[p] for p in wanted}, names, a.concurrency, kept), "results")  # asked once
-        fresh = got if fresh is None else fresh.unionByName(got)
-        both = fresh.withColumn("timestamp", F.col("timestamp").cast("string"))
-        both = kept.drop("pos").unionByName(both, allowMissingColumns=True) if kept is not None else both
-        write_rows(both, a.results, {"run_at": datetime.now(timezone.utc).isoformat()})
-    for r in M.run_summary(fresh, F.col("correct")).orderBy("provider").collect():
+    entries = numbered(*ordered(dataset.withColumn("all", F.lit("")), "all", [F.col("id")]), "all").withColumn("part", F.expr(f"node div {a.save_every}")).select(*dataset.columns, "part")
+    entries = materialize(entries, "entries")
+    for part in range((entries.agg(F.max("part")).first()[0] or 0) + 1):  # a crash loses the part at hand alone
+        got = B.run(entries.where(F.col("part") == part).drop("part"), {p: models[p] for p in wanted}, names, a.concurrency, kept)
+        save(got.withColumn("timestamp", F.col("timestamp").cast("string")), a.results)  # asked once
+    fresh = saved(spark, a.results)
+    summary = M.run_summary(fresh, F.col("correct")).orderBy("provider").collect()
+    both = kept.drop("pos").unionByName(fresh, allowMissingColumns=True) if kept is not None else fresh
+    finish(both, a.results, {"run_at": datetime.now(timezone.utc).isoformat()})
+    for r in summary:
         print(f"{r['provider']}: {r['exact']}/{r['total']} exact, {r['partial']} partial, {r['wrong']} wrong, {r['errors']} errors", file=out)
     return 0
 
@@ -317,7 +321,7 @@ def sweep(spark: SparkSession, a: argparse.Namespace, out) -> int:
     now = datetime.now(timezone.utc)
     stamp = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
     spark.dataSource.register(RecentChanges)
-    log, failed = read_log(spark, a.log), []
+    log, new, failed = read_log(spark, a.log, stamp(now - timedelta(hours=hours))[:10]), None, []
     for wiki in [w.strip() for w in a.wikis.split(",") if w.strip()]:
         options = {"wikis": wiki, "pages": a.pages, "start": stamp(now - timedelta(hours=hours)), "end": stamp(now)}
         try:
@@ -327,8 +331,9 @@ def sweep(spark: SparkSession, a: argparse.Namespace, out) -> int:
             print(f"{wiki}: {str(error).splitlines()[0]}", file=sys.stderr)
             continue
         print(f"{wiki}: {fresh.count()} new", file=out)
-        log = log.unionByName(fresh)
-    write_log(materialize(log, "log"), a.log)
+        log, new = log.unionByName(fresh), fresh if new is None else new.unionByName(fresh)
+    if new is not None:
+        merge_log(new, a.log)
     return 1 if failed else 0
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrobora.operators.ranks import numbered, ordered
-from corrobora.sources.shared import materialize
+from corrobora.sources.shared import materialize, new_path
 
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -44,18 +44,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """An edit log of one object a line; empty where there is no file."""
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) and fs.getFileStatus(where).isDirectory() else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: The day of log rows without a timestamp, before all others.
+NO_DAY = "0000-00-00"
+
+
+def _by_day(spark: SparkSession, path: str) -> bool:
+    return any(name.startswith("day=") for name in listed(spark, path))
+
+
+def read_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """An edit log of one object a line; empty where there is no file.
+
+    ``since`` leaves the files of earlier days unread, but for rows without a
+    timestamp; a log that isn't kept by days is read whole.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).json(path)
+    if not _by_day(spark, path):
+        return spark.read.schema(LOG).json(path)
+    days = spark.read.schema(LOG + ", day string").json(path)
+    return (days.where((F.col("day") >= since) | (F.col("day") == NO_DAY)) if since else days).drop("day")
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """The log sorted by (timestamp, wiki, revid), keys in order: a directory with one part, since a log is one sequence."""
+    """The log sorted by (timestamp, wiki, revid), keys in order: a folder a day, whose files follow each other by name.
+
+    A day with many rows fills many files, each with a range of the order, so no
+    task sees a whole day; only the days that ``log`` has are written.
+    """
     columns = sorted(log.columns)
-    ordered = log.orderBy(F.coalesce("timestamp", F.lit("")), F.coalesce("wiki", F.lit("")), F.coalesce("revid", F.lit(0)))
-    ordered.coalesce(1).select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    day = F.substring(F.coalesce(F.nullif("timestamp", F.lit("")), F.lit(NO_DAY)), 1, 10)
+    order = ["day", F.coalesce("timestamp", F.lit("")), F.coalesce("wiki", F.lit("")), F.coalesce("revid", F.lit(0))]
+    placed = log.withColumn("day", day).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = placed.select("day", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path)
+
+
+def merge_log(fresh: DataFrame, path: str) -> None:
+    """Sorts new rows into the log; days without a new row are neither read nor written.
+
+    What is written is put in the shared folder first, since its days are read
+    from where they go. A log in one file or without days is rewritten by days.
+    """
+    spark = fresh.sparkSession
+    if not _by_day(spark, path):
+        write_log(read_log(spark, path).unionByName(fresh), f"{path}.days")
+        delete(spark, path)
+        made, where = (spark._jvm.org.apache.hadoop.fs.Path(str(p)) for p in (f"{path}.days", path))
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).rename(made, where)
+        return
+    day = F.substring(F.coalesce(F.nullif("timestamp", F.lit("")), F.lit(NO_DAY)), 1, 10)
+    days = [r[0] for r in fresh.select(day).distinct().collect()]  # at most one row a calendar day
+    old = spark.read.schema(LOG + ", day string").json(path).where(F.col("day").isin(days)).drop("day")
+    write_log(materialize(old.unionByName(fresh), "log"), path)
 
 
 def _split(line: str) -> list[str]:
@@ -95,19 +153,30 @@ def read_csv(spark: SparkSession, path: str, compatible: bool = False) -> DataFr
 
 
 def write_rows(rows: DataFrame, path: str, metadata: dict) -> None:
-    """An envelope ``{metadata, rows}`` in one file; for results that fit the driver."""
-    body = json.dumps({"metadata": metadata, "rows": [json.loads(x) for x in rows.toJSON().collect()]}, indent=2, ensure_ascii=False)
+    """An envelope ``{metadata, rows}`` in one file, a line a row in the rows' order.
+
+    Tasks write the lines; their files are copied behind each other buffer by
+    buffer, so the driver never holds the rows. The new file takes the old one's
+    place by a rename: a crash leaves the one or the other.
+    """
     spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    jvm, conf, lines = spark._jvm, spark._jsc.hadoopConfiguration(), new_path(spark, "lines")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", ",\n").text(lines)
+    folder, where, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (lines, path, path + ".tmp"))
+    source, fs = folder.getFileSystem(conf), where.getFileSystem(conf)
+    files = sorted(((s.getPath().getName(), s.getLen(), s.getPath()) for s in source.listStatus(folder) if s.getLen() and s.getPath().getName().startswith("part-")), key=lambda x: x[0])
     out = fs.create(staged, True)
-    out.write(bytearray(body.encode()))
+    out.write(bytearray(f'{{"metadata": {json.dumps(metadata, ensure_ascii=False)},\n"rows": [\n'.encode()))
+    for i, (_, size, file) in enumerate(files):
+        lines_of = source.open(file)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(lines_of, out, 0, size - 2 * (i == len(files) - 1))  # no comma after the last row
+        lines_of.close()
+    out.write(bytearray(b"\n]}\n"))
     out.close()
-    jvm = spark._jvm  # a rename that replaces: a crash leaves the old file or the new one
+    source.delete(folder, True)
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(where), options)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(where), options)
 
 
 REVIEW = ["id", "article_title", "citation_number", "occurrence", "claim_text", "source_url", "source_text_preview", "ground_truth", "dataset_version", "extraction_status", "needs_manual_review", "manual_claim_override", "manual_source_override"]
