@@ -144,8 +144,27 @@ def comparable(c: Column | str) -> Column:
 
 
 def check(source: Column | str, quote: Column | str) -> Column:
-    """The struct of ``SCHEMA`` for each row."""
-    return _verify(source, quote)
+    """The struct of ``SCHEMA`` for each row.
+
+    Blank quotes and sources, and quotes that stand in their source as they are,
+    are settled by built-in functions, and their texts never leave the JVM. A
+    quote is long enough for that if it has ``LEAST`` ASCII letters and digits
+    outside entities, whatever normalisation does to the rest.
+    """
+    source, quote = (F.col(c) if isinstance(c, str) else c for c in (source, quote))
+    own = F.regexp_replace(F.coalesce(quote, F.lit("")), f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    wrapped = F.substring(own, 1, 1).isin([a for a, _ in _PAIRS])
+    long = ~own.contains("&") & (F.length(F.regexp_replace(own, "[^A-Za-z0-9]", "")) >= LEAST)
+    exact = ~wrapped & long & F.contains(source, own)
+
+    def settled(status: str, text: Column) -> Column:
+        hit = F.lit(status == "exact")
+        segments = F.array(F.struct(text.alias("text"), hit.alias("found"), hit.alias("located"))) if status == "exact" else F.array().cast(SCHEMA["segments"].dataType)
+        return F.struct(F.lit(status).alias("status"), hit.alias("verified"), text.alias("verified_text"), segments.alias("segments"))
+
+    known = F.when(own == "", "empty").when(is_blank(source), "no-source").when(exact, "exact")
+    rest = _verify(F.when(known.isNull(), source), F.when(known.isNull(), quote))
+    return F.when(known == "empty", settled("empty", F.lit(""))).when(known == "no-source", settled("no-source", F.lit(""))).when(known == "exact", settled("exact", own)).otherwise(rest)
 
 
 def is_blank(c: Column | str) -> Column:

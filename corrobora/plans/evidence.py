@@ -148,6 +148,39 @@ def quote_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "q.status", "q.verified", F.size("q.segments").alias("segments"))
 
 
+def quote_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of one and two segments made of each document, held against it: all seven statuses."""
+    head, tail = (F.regexp_replace(F.regexp_replace(F.substring("text", at, 60), r"(?s)[.\u2026].*$", ""), f"^[{T.JS_SPACE},;:]+|[{T.JS_SPACE},;:]+$", "") for at in (1, 100))
+    loud = F.replace(F.translate(head, ascii_lowercase, ascii_uppercase), F.lit(" "), F.lit("  "))
+    none, two = F.lit("Nowhere in any of these texts"), lambda a, b: F.concat(a, F.lit(" ... "), b)
+    made = {"blank": F.lit("  "), "gone": head, "few": F.substring(head, 1, 5), "same": head, "loud": loud, "half": two(head, none), "none": none, "both": two(loud, tail), "turned": two(tail, head)}
+    rows = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), q.alias("quote")) for k, q in made.items()))).alias("x"))
+    source = F.when(F.col("x.kind") != "gone", F.col("text"))
+    return rows.select("doc_id", "x.kind", Q.check(source, "x.quote").alias("q")).select("doc_id", "kind", "q.status", "q.verified", F.size("q.segments").cast("long").alias("segments"))
+
+
+def _part_sql(at: int) -> str:
+    edge = f"[{T.JS_SPACE_RE2},;:]+"
+    return f"regexp_replace(regexp_replace(substring(text, {at}, 60), '(?s)[.\u2026].*$', ''), '^{edge}|{edge}$', '', 'g')"
+
+
+STATUS_SQL = f"""
+WITH p AS (SELECT doc_id, text, {_part_sql(1)} AS a, {_part_sql(100)} AS b, 'Nowhere in any of these texts' AS none FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, replace(translate(a, '{ascii_lowercase}', '{ascii_uppercase}'), ' ', '  ') AS loud FROM p),
+k AS (SELECT doc_id, text, unnest([
+  {{'k': 'blank', 'x': '', 'y': ''}}, {{'k': 'gone', 'x': a, 'y': ''}}, {{'k': 'few', 'x': substring(a, 1, 5), 'y': ''}}, {{'k': 'same', 'x': a, 'y': ''}}, {{'k': 'loud', 'x': loud, 'y': ''}},
+  {{'k': 'half', 'x': a, 'y': none}}, {{'k': 'none', 'x': none, 'y': ''}}, {{'k': 'both', 'x': loud, 'y': b}}, {{'k': 'turned', 'x': b, 'y': a}}]) AS v FROM l),
+q AS (SELECT doc_id, v.k AS kind, CASE WHEN v.k = 'gone' THEN '' ELSE text END AS src, v.x AS x, v.y AS y, v.x <> '' AND v.y <> '' AS two,
+  CASE WHEN v.k IN ('half', 'both', 'turned') THEN trim(v.x || ' ... ' || v.y) ELSE trim(v.x) END AS quote FROM k),
+n AS (SELECT *, {_comparable_sql("src")} AS h, {_comparable_sql("x")} AS nx, {_comparable_sql("y")} AS ny, length({_comparable_sql("quote")}) AS size FROM q),
+f AS (SELECT *, two AND length(nx) < 12 AS sx, two AND length(ny) < 12 AS sy, CASE WHEN nx = '' THEN 0 ELSE strpos(h, nx) END AS px FROM n),
+g AS (SELECT *, (x <> '')::INT + (y <> '')::INT AS many, CASE WHEN x = '' THEN 0 ELSE (sx OR px > 0)::INT END
+  + CASE WHEN y = '' THEN 0 ELSE (sy OR (ny <> '' AND strpos(substring(h, CASE WHEN NOT sx AND px > 0 THEN px + length(nx) ELSE 1 END), ny) > 0))::INT END AS hits FROM f),
+s AS (SELECT *, CASE WHEN quote = '' THEN 'empty' WHEN trim(src) = '' THEN 'no-source' WHEN size < 12 THEN 'too-short' WHEN contains(src, quote) THEN 'exact'
+  WHEN hits = 0 THEN 'not-found' WHEN hits = many THEN 'normalized' ELSE 'partial' END AS status FROM g)
+SELECT doc_id, kind, status, status IN ('exact', 'normalized') AS verified, CASE WHEN status IN ('empty', 'no-source', 'too-short') THEN 0 WHEN status = 'exact' THEN 1 ELSE many END::BIGINT AS segments FROM s"""
+
+
 def _replica(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tl_from"), F.col("l_partkey").alias("tl_target_id"), F.lit(0).alias("tl_from_namespace"))
     targets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lt_id"), F.lit(10).alias("lt_namespace"), F.col("p_type").alias("lt_title"))
@@ -471,7 +504,7 @@ FEEDBACK_SQL = f"WITH {RAW_SQL} SELECT provider, count(*) AS checks, count(quali
 
 QUERIES = {
     "claim_hash": (claim_hashes, HASH_SQL), "url_hash_dedup": (url_hash_dedup, URL_DEDUP_SQL), "page_text_extract": (page_text_extract, PAGE_TEXT_SQL), "page_hosts": (page_hosts, HOSTS_SQL), "url_functions": (url_functions, URL_SQL),
-    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_normalized_join": (quote_normalized_join, NORMALIZED_JOIN_SQL), "selection_pages": (selection_pages, PAGES_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None),
+    "source_key_dedup": (source_key_dedup, SOURCE_KEY_SQL), "quote_exact_join": (quote_exact_join, QUOTE_JOIN_SQL), "quote_normalized_join": (quote_normalized_join, NORMALIZED_JOIN_SQL), "selection_pages": (selection_pages, PAGES_SQL), "quote_checks": (quote_checks, QUOTE_CHECK_SQL), "quote_normalized": (quote_normalized, None), "quote_statuses": (quote_statuses, STATUS_SQL),
     "selection_keyset": (selection_keyset, SELECTION_SQL), "findings_upsert": (findings_upsert, UPSERT_SQL), "sweep_dedup": (sweep_dedup, SWEEP_SQL), "adjacency_groups": (adjacency_groups, ADJACENCY_SQL), "group_assembly": (group_assembly, GROUP_SQL),
     "report_units": (report_units, UNITS_SQL), "report_counts": (report_counts, COUNTS_SQL), "report_visible": (report_visible, VISIBLE_SQL), "section_numbers": (section_numbers, SECTION_SQL), "wice_rows": (wice_rows, WICE_SQL), "split_tallies": (split_tallies, TALLY_SQL),
     "log_payload": (log_payload, LOG_SQL), "text_functions": (text_functions, TEXT_SQL), "reply_parse": (reply_parse, REPLY_SQL), "citation_extract": (citation_extract, CITATION_SQL), "feedback_join": (feedback_join, FEEDBACK_SQL), "collective_verdicts": (collective_verdicts, COLLECTIVE_SQL), "provider_registry": (provider_registry, REGISTRY_SQL),

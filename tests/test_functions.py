@@ -142,3 +142,15 @@ def test_java_and_re2_agree_on_white_space(spark):
     ours = one(spark, F.regexp_replace(F.lit(chars), f"[{T.JS_SPACE}]", "_"))[0]
     theirs = duckdb.connect().execute(f"SELECT regexp_replace(?, '[{T.JS_SPACE_RE2}]', '_', 'g')", [chars]).fetchall()[0][0]
     assert ours == theirs and ours.count("_") == len(chars) - 2
+
+
+def test_settled_quotes_equal_the_sequential_check(spark):
+    from corrobora.functions import quotes as Q
+
+    source = "It was said: “The bridge opened in 1932, as planned.” Café & bar &amp; more words here. \"whole quoted words\""
+    pairs = [(s, q) for s in (None, "", " \n", source) for q in (
+        None, "", "  ", "short", "The bridge opened", " The bridge opened in 1932 ", '"whole quoted words"', "“The bridge opened in 1932, as planned.”", "bar &amp; more words here", "Café & bar &amp; more",
+        "éééééé", "THE BRIDGE ... more words here", "nothing like this at all", "the bridge opened ... nothing like this")]
+    rows = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(pairs)], "i int, s string, q string").select("i", Q.check("s", "q").alias("r")).orderBy("i").collect()
+    for row, (s, q) in zip(rows, pairs, strict=True):
+        assert row["r"].asDict(recursive=True) == Q.verify(s, q), (s, q)
