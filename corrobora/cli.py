@@ -40,7 +40,7 @@ from corrobora.schemas import DATASET, RESULTS
 from corrobora.session import session
 from corrobora.sources.changes import RecentChanges
 from corrobora.sources.fetch import exit_code
-from corrobora.sources.corpus import locate
+from corrobora.sources.corpus import locate, reachable
 from corrobora.sources.files import exists, merge_log, read_csv, read_jsonl, read_log, read_rows, write_rows
 from corrobora.sources.models import REGISTRY
 from corrobora.sources.parts import finish, replaced, save, saved
@@ -246,7 +246,7 @@ def _convert_split(spark: SparkSession, a: argparse.Namespace, split: str, schem
 
     def load(name: str) -> DataFrame:
         name = name.format(split=split)
-        return read_jsonl(spark, locate(name, a.local, a.cache, get) if a.local or a.download else name, schema)
+        return read_jsonl(spark, reachable(spark, locate(name, a.local, a.cache, get)) if a.local or a.download else name, schema)
 
     claims, subclaims = load(a.claims), load(a.subclaims)
     flat = claims.select(F.col("meta.id").alias("id"), "label", "claim", "evidence", "supporting_sentences", "meta.claim_title", "meta.claim_section", "meta.claim_context")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrobora.sources.files import read_jsonl
+from corrobora.sources.shared import new_path
 
 
 def locate(name: str, local: str | None, cache: str, download: Callable[[str], str] | None = None) -> str:
@@ -31,9 +32,21 @@ def locate(name: str, local: str | None, cache: str, download: Callable[[str], s
     return path
 
 
+def reachable(spark: SparkSession, path: str, copied: bool | None = None) -> str:
+    """The file where every executor can read it: a cluster's gets a copy in the shared folder, a local master reads it in place."""
+    if copied is None:
+        copied = not spark.sparkContext.master.startswith("local")
+    if not copied:
+        return path
+    target = f"{new_path(spark, 'corpus')}/{os.path.basename(path)}"
+    own, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"file://{os.path.abspath(path)}", target))
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(own, there)
+    return target
+
+
 def load_splits(spark: SparkSession, splits: Sequence[str], schema: T.StructType, pattern: str, local: str | None, cache: str, download: Callable[[str], str] | None = None) -> DataFrame:
     """All rows of several splits with a column ``split``; ``pattern`` names a split's file, such as ``claim/{split}.jsonl``."""
-    tables = [read_jsonl(spark, locate(pattern.format(split=s), local, cache, download), schema).withColumn("split", F.lit(s)) for s in splits]
+    tables = [read_jsonl(spark, reachable(spark, locate(pattern.format(split=s), local, cache, download)), schema).withColumn("split", F.lit(s)) for s in splits]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

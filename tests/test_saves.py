@@ -87,3 +87,12 @@ def test_log_is_sorted_over_its_files_and_touched_by_days(spark, tmp_path):
     after = {f: f.stat().st_mtime_ns for f in path.glob("day=*/part-*")}
     assert {f.parent.name for f in set(before.items()) ^ set(after.items()) for f in f[:1]} == {"day=2024-01-03"}
     assert files.read_log(spark, str(path)).count() == 11 and files.read_log(spark, str(path), since="2024-01-03").count() == 8
+
+
+def test_a_corpus_file_is_copied_for_executors(spark, tmp_path):
+    from corrobora.sources.corpus import reachable
+
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n')
+    assert reachable(spark, f"{tmp_path}/c.jsonl") == f"{tmp_path}/c.jsonl"
+    there = reachable(spark, f"{tmp_path}/c.jsonl", copied=True)
+    assert not there.startswith(str(tmp_path)) and files.read_jsonl(spark, there, "a int").first()["a"] == 1
