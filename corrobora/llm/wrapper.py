@@ -29,9 +29,9 @@ Folded trees go to the shared folder; the counts are sums, combined before they
 are shuffled. Pages meet their host's row by a broadcast while all hosts' rows
 take at most ``BROADCAST_BYTES``, else by a join on the host and a salt, so a
 host with a third of all pages is no group that one task must hold. Nothing
-here recurses, so pages of any depth are read; child lists of more than
-``MOST_CELLS`` pairs are matched in order by their labels instead of by the
-largest matching, which only changes what is compared.
+here recurses, so pages of any depth are read. Child lists of any length get the
+largest matching; with more than ``MOST_CELLS`` pairs its table is held in part,
+row by row, which changes memory and time but no result.
 
 Defined results: null html is empty; an empty page has an empty text and 0
 characters; a null url is a host of its own; a null page_id never is the
@@ -46,7 +46,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from hashlib import blake2b
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ LINK_SHARE, CONTENT_SHARE = 0.8, 0.7
 REFERENCES = 4
 #: Containers of one shape in a row, beyond so many, are one slot.
 LIST = 8
-#: Child lists with more pairs than this are matched in order.
+#: The table of child lists with more pairs than this is not held whole.
 MOST_CELLS = 250_000
 
 #: Hosts' rows of more bytes are joined by host and salt instead of being broadcast.
@@ -227,37 +229,18 @@ def _unshape(text: str) -> Slot:
 # --- alignment -----------------------------------------------------------------
 
 
-def _in_order(a: list[Slot], b: list[Slot]) -> list[tuple[Slot, Slot]]:
-    """A matching of long child lists: from both ends while labels agree, the rest each with the next of its label."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head].label == b[head].label:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail].label == b[-1 - tail].label:
-        tail += 1
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j].label, []).append(j)
-    out, last = list(zip(a[:head], b[:head], strict=True)), head - 1
-    for x in a[head : len(a) - tail]:
-        own = places.get(x.label, [])
-        while own and own[-1] <= last:
-            own.pop()
-        if own:
-            last = own.pop()
-            out.append((x, b[last]))
-    return out + (list(zip(a[-tail:], b[-tail:], strict=True)) if tail else [])
-
-
-def _needed(x: Slot, y: Slot) -> list[tuple[Slot, Slot]]:
-    """Pairs of children that a pair's score is made of."""
-    if len(x.kids) * len(y.kids) > MOST_CELLS:
-        return _in_order(x.kids, y.kids)
-    return [(a, b) for a in x.kids for b in y.kids if a.label == b.label]
+def _needed(x: Slot, y: Slot) -> Iterator[tuple[Slot, Slot]]:
+    """Pairs of children that a pair's score is made of, each pair of shapes once."""
+    theirs: dict[str, dict[int, Slot]] = {}
+    for b in y.kids:
+        theirs.setdefault(b.label, {}).setdefault(b.kind, b)
+    for a in {a.kind: a for a in x.kids}.values():
+        for b in theirs.get(a.label, {}).values():
+            yield a, b
 
 
 def _known(x: Slot, y: Slot) -> int | None:
-    return 0 if x.label != y.label else x.size if x.kind == y.kind else _SCORES.get((x.kind, y.kind))
+    return 0 if x.label != y.label else x.size if x.kind == y.kind else 1 if not x.kids or not y.kids else _SCORES.get((x.kind, y.kind))
 
 
 def _table(x: Slot, y: Slot) -> list[list[int]]:
@@ -270,23 +253,52 @@ def _table(x: Slot, y: Slot) -> list[list[int]]:
     return best
 
 
+class _Rows:
+    """The same table for long child lists: rows in numpy, every n-th one kept and those between made again when they are asked for."""
+
+    def __init__(self, x: Slot, y: Slot):
+        self.x, self.step = x, isqrt(len(x.kids)) + 1
+        numbers: dict[int, int] = {}
+        self.places = np.array([numbers.setdefault(b.kind, len(numbers)) for b in y.kids], np.int64)
+        shapes = {b.kind: b for b in y.kids}
+        self.shapes = [shapes[k] for k in numbers]
+        self.weights: tuple[int, np.ndarray] | None = None
+        self.kept, self.block = [row := np.zeros(len(y.kids) + 1, np.int64)], (0, [row])
+        for i in range(len(x.kids)):
+            row = self._next(i, row)
+            if (i + 1) % self.step == 0:
+                self.kept.append(row)
+        self.last = int(row[-1])
+
+    def _next(self, i: int, above: np.ndarray) -> np.ndarray:
+        a = self.x.kids[i]
+        if self.weights is None or self.weights[0] != a.kind:
+            self.weights = a.kind, np.array([_known(a, b) for b in self.shapes], np.int64)[self.places]
+        row = np.maximum(above[1:], above[:-1] + self.weights[1])
+        return np.concatenate([above[:1], np.maximum.accumulate(row)])
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        first = i // self.step
+        if self.block[0] != first or len(self.block[1]) == 1:
+            rows = [self.kept[first]]
+            for k in range(first * self.step, min((first + 1) * self.step, len(self.x.kids) + 1) - 1):
+                rows.append(self._next(k, rows[-1]))
+            self.block = first, rows
+        return self.block[1][i - first * self.step]
+
+
 def _score(x: Slot, y: Slot) -> int:
     """Nodes in the largest matching of two trees."""
-    stack = [(x, y)]
+    stack = [(x, y, _needed(x, y))]
     while stack:
-        a, b = stack[-1]
+        a, b, rest = stack[-1]
         if _known(a, b) is not None:
             stack.pop()
-            continue
-        if missing := [(c, d) for c, d in _needed(a, b) if _known(c, d) is None]:
-            stack += missing
-            continue
-        if len(a.kids) * len(b.kids) > MOST_CELLS:
-            inside = sum(_known(c, d) for c, d in _needed(a, b))
+        elif missing := next(((c, d) for c, d in rest if _known(c, d) is None), None):
+            stack.append((*missing, _needed(*missing)))
         else:
-            inside = _table(a, b)[-1][-1]
-        _SCORES[a.kind, b.kind] = 1 + inside
-        stack.pop()
+            _SCORES[a.kind, b.kind] = 1 + (_Rows(a, b).last if len(a.kids) * len(b.kids) > MOST_CELLS else _table(a, b)[-1][-1])
+            stack.pop()
     return _known(x, y)
 
 
@@ -294,18 +306,20 @@ def _children(x: Slot, y: Slot) -> list[tuple[Slot, Slot]]:
     """The children matched in a largest matching."""
     if x.kind == y.kind:
         return list(zip(x.kids, y.kids, strict=True))
-    if len(x.kids) * len(y.kids) > MOST_CELLS:
-        return _needed(x, y)
-    best, pairs, i, j = _table(x, y), [], len(x.kids), len(y.kids)
+    i, j = len(x.kids), len(y.kids)
+    best, pairs = _Rows(x, y) if i * j > MOST_CELLS else _table(x, y), []
+    own, above = best[i], best[i - 1] if i else None
     while i and j:
         w = _known(x.kids[i - 1], y.kids[j - 1])
-        if w and best[i][j] == best[i - 1][j - 1] + w:
+        if w and own[j] == above[j - 1] + w:
             pairs.append((x.kids[i - 1], y.kids[j - 1]))
             i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
+        elif own[j] == above[j]:
             i -= 1
         else:
             j -= 1
+            continue
+        own, above = above, best[i - 1] if i else None
     return pairs
 
 

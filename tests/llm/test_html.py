@@ -134,6 +134,33 @@ def test_long_child_lists_are_matched_in_order(monkeypatch):
     wrapper._SCORES.clear()
 
 
+@settings(max_examples=200, deadline=None)
+@given(trees, trees)
+def test_the_matching_does_not_depend_on_the_size_of_its_table(a, b):
+    from corrobora.llm import wrapper
+
+    left, right, most = wrapper._unshape(written(("a", (a, *b[1])))), wrapper._unshape(written(("a", (*a[1], b)))), wrapper.MOST_CELLS
+    found = []
+    try:
+        for wrapper.MOST_CELLS in (0, most):
+            wrapper._SCORES.clear()
+            found.append(wrapper._align_trees(left, right))
+    finally:
+        wrapper.MOST_CELLS = most
+    assert found[0] == found[1]
+
+
+def test_long_child_lists_get_the_largest_matching():
+    """600 children against 600: in order, the first c takes the last one's place and nothing else is left."""
+    from corrobora.llm import wrapper
+
+    left = wrapper._unshape("a(c()" + "b(x()y())d()" * 300 + ")")
+    right = wrapper._unshape("a(" + "b(y())d()" * 300 + "c())")
+    pairs = wrapper._align_trees(left, right)
+    assert len(pairs) == 1 + 300 * 3
+    assert pairs[:4] == ((0, 0), (2, 1), (4, 2), (5, 3))
+
+
 def bare(i, host="http://bare.example/", extra="", words=lambda i: ("slogan " + "xyz"[i % 3] * (i % 5 + 1))):
     """A page without a telling name: menu, slogan, story and imprint are plain containers."""
     story = "".join(f"<p>Sentence {k} of story {i} tells of thing {i * k}.</p>" for k in range(4 + i % 3))
