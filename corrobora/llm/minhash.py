@@ -269,6 +269,22 @@ def block_links(frame: pd.DataFrame, words: int, lower: bool, k: int, num: int,
     return pd.DataFrame({"a": [cids[i] for i, _ in linker.found], "b": [cids[j] for _, j in linker.found]}).astype("int64")
 
 
+def as_stars(links: pd.DataFrame) -> pd.DataFrame:
+    """Links of one block with the same components: each class with the smallest it is joined to, so that a cluster of one block needs no further round."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    rows = [(x, top) for x in list(root) if (top := find(x)) != x]
+    return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = 5, lower: bool = True, num: int = 85, den: int = 100, k: int = K, short: int = 24, block_shingles: int = 400_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, cid, n), and classes (cid, rep, root): root is the smallest class linked, directly or not."""
     spark = docs.sparkSession
@@ -299,7 +315,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, lower: bool = True,
     sets = materialize(members.join(texts.hint("merge"), "rowkey").select("cid", "n", "cluster", "parts", "block", "text"), "sets")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return block_links(frame, words, lower, k, num, den)
+        return as_stars(block_links(frame, words, lower, k, num, den))
 
     def linked(dealt: DataFrame, name: str) -> DataFrame:
         return materialize(dealt.select("cid", "text", "comp", "side", "cluster", "bi", "bj").groupBy("cluster", "bi", "bj").applyInPandas(run, "a long, b long"), name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.arrowtext import buffers
 from corrobora.llm.jaccard import class_id, shingle_sets
-from corrobora.llm.minhash import K, Linker, block_links, least_shared, near_duplicates, own_least, pair_least
+from corrobora.llm.minhash import K, Linker, as_stars, block_links, least_shared, near_duplicates, own_least, pair_least
 from tests.llm.helpers import ODD, docs
 from tests.llm.test_jaccard import brute, corpus, shingles
 
@@ -94,6 +94,28 @@ def test_a_block_of_near_copies_takes_one_comparison_a_member():
     assert given <= linked and spans(given, len(want)) == spans(linked, len(want))
 
 
+def test_blocks_give_stars():
+    """Chains and forests keep their components, and every link ends at its component's smallest class."""
+    rng = random.Random(8)
+    for n in (1, 2, 40):
+        pairs = [(i + 1, i) if rng.random() < 0.5 else (i, i + 1) for i in range(n - 1) if rng.random() < 0.9]
+        stars = as_stars(pd.DataFrame(pairs, columns=["a", "b"]).astype("int64"))
+        given = set(zip(stars["a"].tolist(), stars["b"].tolist(), strict=True))
+        assert spans(given, n) == spans(pairs, n) and all(spans(given, n)[a] == b < a for a, b in given) and len(given) == len(pairs)
+
+
+def test_clusters_of_one_block_need_no_rounds(spark, monkeypatch):
+    from corrobora.llm import components as C
+    from corrobora.llm import minhash as M
+
+    rounds, star, whole, rows = [], C._star, C.components, family(3, 6, 40, 200)
+    monkeypatch.setattr(C, "_star", lambda edges, large, heavy: rounds.append(len(calls)) or star(edges, large, heavy))
+    calls = []
+    monkeypatch.setattr(M, "components", lambda links: calls.append(1) or whole(links))
+    assert found(spark, rows) == expected(rows)
+    assert len(calls) == 2 and 2 not in rounds
+
+
 def spans(links, n):
     root = list(range(n))
 
