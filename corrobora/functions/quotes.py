@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,13 +47,16 @@ _FOLD = str.maketrans(
     | dict.fromkeys("\u00ad\u200b\u200c\u200d\ufeff", None)
     | dict.fromkeys([chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)], " ")
 )
-_ELLIPSIS = re.compile(rf"{_SPACE}*(?:\[{_SPACE}*(?:\.\.\.|\u2026){_SPACE}*\]|\.\.\.\.?|\u2026){_SPACE}*")
+_ELLIPSIS = re.compile(rf"\[{_SPACE}*(?:\.\.\.|\u2026){_SPACE}*\]|\.\.\.\.?|\u2026")
 _PAIRS = [('"', '"'), ("'", "'"), ("\u201c", "\u201d"), ("\u2018", "\u2019"), ("\u00ab", "\u00bb")]
-_ENDS = re.compile(rf"^{_SPACE}+|{_SPACE}+$")
+#: JavaScript's white space, and each folded character with what takes its place.
+_SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_REPLACED = {c: "" if x is None else x for c, x in ((chr(k), v) for k, v in ({ord(c): " " for c in _SPACES} | _FOLD).items()) if c != x}
+_REPLACED_ASCII = [c for c in _REPLACED if c.isascii()]
 
 
 def _trim(text: str) -> str:
-    return _ENDS.sub("", text)
+    return text.strip(_SPACES)
 
 
 def _entity(m: re.Match) -> str:
@@ -69,8 +73,20 @@ def decode_entities(text: str) -> str:
 
 def normalize(text: str | None) -> str:
     """The form in which quotes and sources are compared."""
-    out = decode_entities(unicodedata.normalize("NFKC", text or "")).translate(_FOLD)
-    return _trim(re.sub(f"{_SPACE}+", " ", re.sub(f"-{_SPACE}+", "-", out))).lower()
+    out = unicodedata.normalize("NFKC", text or "")
+    if "&" in out:
+        out = decode_entities(out)
+    for c in _REPLACED_ASCII if out.isascii() else _REPLACED.keys() & set(out):
+        out = out.replace(c, _REPLACED[c])
+    while "  " in out:
+        out = out.replace("  ", " ")
+    return out.replace("- ", "-").strip(" ").lower()
+
+
+@lru_cache(maxsize=1)
+def _source_form(source: str) -> str:
+    """A source is normalised once for the quotes that follow each other."""
+    return normalize(source)
 
 
 def unwrap(quote: str) -> str:
@@ -100,8 +116,8 @@ def verify(source: str | None, quote: str | None) -> dict:
         return result("too-short")
     if quote in source:
         return result("exact", True, quote, [{"text": quote, "found": True, "located": True}])
-    parts = [p for p in map(_trim, _ELLIPSIS.split(quote)) if p]
-    hay, cursor, segments = normalize(source), 0, []
+    parts = [p for p in map(_trim, _ELLIPSIS.split(quote) if "..." in quote or "\u2026" in quote else [quote]) if p]
+    hay, cursor, segments = _source_form(source), 0, []
     for part in parts:
         needle = normalize(part)
         at = hay.find(needle, cursor) if needle else -1
@@ -123,16 +139,27 @@ def verify(source: str | None, quote: str | None) -> dict:
     return result("normalized" if whole else "partial", whole, text, segments)
 
 
-@F.pandas_udf(SCHEMA)
-def _verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for sources, quotes in batches:
-        rows = [verify(s, q) for s, q in zip(sources, quotes, strict=True)]
-        yield pd.DataFrame(rows, columns=["status", "verified", "verified_text", "segments"])
+_ARROW = pa.struct([
+    ("status", pa.string()), ("verified", pa.bool_()), ("verified_text", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("found", pa.bool_()), ("located", pa.bool_())]))),
+])
+#: Rows of a batch that are Python objects at the same time.
+SLICE = 64
+
 
+@F.arrow_udf(SCHEMA)
+def _verify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of structs of source and quote; null stays null."""
+    for pairs in batches:
+        made = [pa.array((x and verify(x["source"], x["quote"]) for x in pairs[i : i + SLICE].to_pylist()), _ARROW) for i in range(0, len(pairs), SLICE)]
+        _source_form.cache_clear()
+        yield pa.concat_arrays(made) if made else pa.array([], _ARROW)
 
-@F.pandas_udf(T.StringType())
-def normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(normalize)
+
+@F.arrow_udf(T.StringType())
+def normalized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        made = [pa.array(map(normalize, texts[i : i + SLICE].to_pylist()), pa.string()) for i in range(0, len(texts), SLICE)]
+        yield pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 def comparable(c: Column | str) -> Column:
@@ -152,21 +179,27 @@ def check(source: Column | str, quote: Column | str) -> Column:
     outside entities, whatever normalisation does to the rest.
     """
     source, quote = (F.col(c) if isinstance(c, str) else c for c in (source, quote))
-    own = F.regexp_replace(F.coalesce(quote, F.lit("")), f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
-    wrapped = F.substring(own, 1, 1).isin([a for a, _ in _PAIRS])
-    long = ~own.contains("&") & (F.length(F.regexp_replace(own, "[^A-Za-z0-9]", "")) >= LEAST)
-    exact = ~wrapped & long & F.contains(source, own)
+    own = F.btrim(F.coalesce(quote, F.lit("")), F.lit(_SPACES))
+    once = F.array(F.struct(source.alias("source"), own.alias("quote")))  # a lambda's variable is evaluated once, however often it is used
+
+    def known(x: Column) -> Column:
+        wrapped = F.substring(x["quote"], 1, 1).isin([a for a, _ in _PAIRS])
+        long = ~x["quote"].contains("&") & x["quote"].rlike(f"(?:[A-Za-z0-9][^A-Za-z0-9]*){{{LEAST}}}")
+        return F.when(x["quote"] == "", "empty").when(is_blank(x["source"]), "no-source").when(~wrapped & long & F.contains(x["source"], x["quote"]), "exact")
+
+    def settled(x: Column) -> Column:
+        def result(status: str, text: Column) -> Column:
+            hit = F.lit(status == "exact")
+            segments = F.array(F.struct(text.alias("text"), hit.alias("found"), hit.alias("located"))) if status == "exact" else F.array().cast(SCHEMA["segments"].dataType)
+            return F.struct(F.lit(status).alias("status"), hit.alias("verified"), text.alias("verified_text"), segments.alias("segments"))
 
-    def settled(status: str, text: Column) -> Column:
-        hit = F.lit(status == "exact")
-        segments = F.array(F.struct(text.alias("text"), hit.alias("found"), hit.alias("located"))) if status == "exact" else F.array().cast(SCHEMA["segments"].dataType)
-        return F.struct(F.lit(status).alias("status"), hit.alias("verified"), text.alias("verified_text"), segments.alias("segments"))
+        status = known(x)
+        return F.when(status == "empty", result("empty", F.lit(""))).when(status == "no-source", result("no-source", F.lit(""))).otherwise(result("exact", x["quote"]))
 
-    known = F.when(own == "", "empty").when(is_blank(source), "no-source").when(exact, "exact")
-    rest = _verify(F.when(known.isNull(), source), F.when(known.isNull(), quote))
-    return F.when(known == "empty", settled("empty", F.lit(""))).when(known == "no-source", settled("no-source", F.lit(""))).when(known == "exact", settled("exact", own)).otherwise(rest)
+    rest = _verify(F.get(F.transform(once, lambda x: F.when(known(x).isNull(), x)), F.lit(0)))
+    return F.coalesce(rest, F.get(F.transform(once, settled), F.lit(0)))
 
 
 def is_blank(c: Column | str) -> Column:
     own = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(own.rlike(f"^[{JS_SPACE}]*$"), F.lit(True))
+    return F.coalesce(~own.rlike(f"[^{JS_SPACE}]"), F.lit(True))

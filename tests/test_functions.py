@@ -154,3 +154,42 @@ def test_settled_quotes_equal_the_sequential_check(spark):
     rows = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(pairs)], "i int, s string, q string").select("i", Q.check("s", "q").alias("r")).orderBy("i").collect()
     for row, (s, q) in zip(rows, pairs, strict=True):
         assert row["r"].asDict(recursive=True) == Q.verify(s, q), (s, q)
+
+
+def test_quotes_on_one_source_normalise_it_once(monkeypatch):
+    from corrobora.functions import quotes as Q
+
+    own, seen = Q.normalize, []
+    monkeypatch.setattr(Q, "normalize", lambda text: seen.append(text) or own(text))
+    source = "A long source, \u201cread\u201d by   many quotes that follow each other. " * 3
+    found = [Q.verify(source, q)["status"] for q in ("A LONG SOURCE, 'READ' BY MANY", "quotes that ... nowhere in any text", "READ' BY MANY QUOTES - not there")]
+    assert found == ["normalized", "partial", "not-found"] and seen.count(source) == 1
+
+
+def test_the_comparable_form_is_that_of_its_definition():
+    """Replacements by single characters give what one pass over a table and two regular expressions give."""
+    import random
+    import re
+    import unicodedata
+
+    from corrobora.functions import quotes as Q
+
+    def defined(text):
+        out = Q.decode_entities(unicodedata.normalize("NFKC", text)).translate(Q._FOLD)
+        out = re.sub(f"{Q._SPACE}+", " ", re.sub(f"-{Q._SPACE}+", "-", out))
+        return re.sub(f"^{Q._SPACE}+|{Q._SPACE}+$", "", out).lower()
+
+    rng, letters = random.Random(4), "ab .-\u2013\u2014\u2011\u2026'`\u2019\u201c\u00ab\t\n\u2028\x85\u00a0\u3000\u200b\ufeff\ufb01\u00c9\u0130\u03a3[]"
+    for _ in range(5_000):
+        text = "".join(rng.choice([*letters, "&amp;", "&nbsp;", "&#8230;"]) for _ in range(rng.randrange(30)))
+        assert Q.normalize(text) == defined(text)
+
+
+def test_quotes_on_spark_are_those_of_the_helper(spark):
+    from corrobora.functions import quotes as Q
+
+    text = "Plain words, 'quoted' and dashed \u2013 once; then more. \x85"
+    rows = [(i, s, q) for i, (s, q) in enumerate((s, q) for s in (text, "", " \x85", "\u2028 ", None) for q in (text, text.upper(), "", None, "\x85", " words, 'quoted' and \u2028", "1 2 3 4", "Plain words ... more. \x85 ", "\u201cPlain words, \"quoted\" AND\u201d"))]
+    frame = spark.createDataFrame(rows, "id int, s string, q string")
+    got = {r["id"]: r["c"].asDict(recursive=True) for r in frame.select("id", Q.check("s", "q").alias("c")).collect()}
+    assert got == {i: Q.verify(s, q) for i, s, q in rows}
