@@ -6,8 +6,9 @@ Lengths are code points throughout.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,6 +23,8 @@ MARKERS = (
     r"|when\??|where\??|who\??|why\??|by whom\??|according to whom\??|original research[^\]]*|specify[^\]]*|vague|opinion|fact)\]"
 )
 MAX_LOGGED = 2000
+#: Texts of a batch that are Python objects at the same time.
+SLICE = 64
 
 
 def _col(c: Column | str) -> Column:
@@ -71,10 +74,21 @@ def check_id() -> Column:
     return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark has no function for."""
-    return texts.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+@F.arrow_udf(StringType())
+def _composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts are Python objects a few at a time, whatever the batch holds, and nothing of a batch is kept."""
+    for texts in batches:
+        made = [pa.array((x and unicodedata.normalize("NFC", x) for x in texts[i : i + SLICE].to_pylist()), pa.string()) for i in range(0, len(texts), SLICE)]
+        yield pa.concat_arrays(made) if made else pa.array([], pa.string())
+        del texts, made
+        pa.default_memory_pool().release_unused()
+
+
+def nfc(c: Column | str) -> Column:
+    """Canonical composition, which Spark has no function for; texts of characters below U+0300 are composed already and stay in the JVM."""
+    own = _col(c)
+    open_ = own.rlike(r"[^\x00-\u02FF]")
+    return F.coalesce(_composed(F.when(open_, own)), own)
 
 
 def normal_claim(c: Column | str) -> Column:

@@ -193,3 +193,19 @@ def test_quotes_on_spark_are_those_of_the_helper(spark):
     frame = spark.createDataFrame(rows, "id int, s string, q string")
     got = {r["id"]: r["c"].asDict(recursive=True) for r in frame.select("id", Q.check("s", "q").alias("c")).collect()}
     assert got == {i: Q.verify(s, q) for i, s, q in rows}
+
+
+def test_composition_holds_few_texts_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "Cafe\u0301 " * 4_000
+    batch = pa.array([text] * 1_000)  # 28 million characters
+    tracemalloc.start()
+    (out,) = T._composed.func(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000 and out[999].as_py() == "Caf\u00e9 " * 4_000
+    rows = spark.createDataFrame([("e\u0301",), ("\u00e9 \u024f",), ("plain",), ("",), (None,), ("\u1100\u1161",)], "t string")
+    assert [r[0] for r in rows.select(T.nfc("t")).collect()] == ["\u00e9", "\u00e9 \u024f", "plain", "", None, "\uac00"]
