@@ -182,15 +182,14 @@ def places(table: DataFrame) -> DataFrame:
 
 
 def cited(table: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
-    """Citations with a claim of at least ``least`` characters, in order."""
+    """Citations with a claim of at least ``least`` characters."""
     own = places(table).where("own").select("art", "wrapper", "box", "said")
-    anchors = table.where("kind = 'anchor'").select("art", "doc_id", "at", "wrapper", "name", "section", "container", fragment("href").alias("ref_id"), F.col("text").alias("number")).where("ref_id IS NOT NULL")
+    anchors = table.where("kind = 'anchor'").select("art", "doc_id", "at", "wrapper", "name", "section", fragment("href").alias("ref_id"), F.col("text").alias("number")).where("ref_id IS NOT NULL")
     boxes = table.where("kind = 'box'").select("art", "box", F.col("text").alias("whole"))
     claims = anchors.join(own.withColumn("claim", cleaned("said")).drop("said"), ["art", "wrapper"]).withColumn("short", F.char_length("claim") < 10)
     joined = claims.alias("c").join(boxes.alias("b"), (F.col("c.art") == F.col("b.art")) & (F.col("c.box") == F.col("b.box")) & F.col("short"), "left").select("c.*", "whole")
     kept = joined.withColumn("claim_text", F.when(F.col("short"), cleaned("whole")).otherwise(F.col("claim"))).where(F.char_length("claim_text") >= least).drop("claim", "whole", "short", "box")
-    number = js_trim(F.regexp_replace("number", r"[\[\]]", ""))
-    return kept.withColumns({"citation_number": number, "pos": F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1}).drop("number")
+    return kept.withColumn("citation_number", js_trim(F.regexp_replace("number", r"[\[\]]", ""))).drop("number")
 
 
 def grouped(citations: DataFrame, table: DataFrame) -> DataFrame:
@@ -217,15 +216,23 @@ def resolved(citations: DataFrame, table: DataFrame) -> DataFrame:
     return citations.join(found, ["art", "ref_id"], "left")
 
 
-def extract_citations(articles: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
-    """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows."""
+def extract_citations(articles: DataFrame, least: int = LEAST_CLAIM, containers: bool = True) -> DataFrame:
+    """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows, left out without ``containers``.
+
+    Numbers, groups and addresses are found on rows without texts, which are joined to their citations once, at the end.
+    """
     table = tokens(articles)
-    found = resolved(grouped(materialize(cited(table, least), "cited"), table), table)
+    whole = materialize(cited(table, least), "cited")
+    narrow = whole.drop("claim_text").withColumn("pos", F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1)
+    found = resolved(grouped(narrow, table), table)
     same = Window.partitionBy("art", "citation_number")
-    return found.select(
-        "doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", "group_citation_numbers", "section",
-        F.row_number().over(same.orderBy("pos")).alias("occurrence"), F.count("*").over(same).cast("int").alias("total_occurrences"), collapse("container").alias("container_text"),
-    )
+    found = found.withColumns({"occurrence": F.row_number().over(same.orderBy("pos")), "total_occurrences": F.count("*").over(same).cast("int")})
+    found = found.join(whole.select("art", "at", "claim_text"), ["art", "at"])
+    names = ["doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", "group_citation_numbers", "section", "occurrence", "total_occurrences"]
+    if not containers:
+        return found.select(*names)
+    shown = table.where("kind = 'anchor'").select("art", "at", collapse("container").alias("container_text"))
+    return found.join(shown, ["art", "at"]).select(*names, "container_text")
 
 
 def by_number(citations: DataFrame, number: str, occurrence: int = 1) -> DataFrame:

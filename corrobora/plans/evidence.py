@@ -459,9 +459,10 @@ SELECT event_id, CASE WHEN f < 3 THEN 'NOT SUPPORTED' WHEN f = 3 THEN 'PARTIALLY
 
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles made of documents: each line a paragraph with two references, adjacent, parted by a comma or in mid-sentence; footnotes with links of all kinds, short cites among them."""
+    half = lambda s: F.floor(F.char_length(s) / 2).cast("int")
     line = lambda s, i: F.concat(
-        F.when(i % 10 == 9, "<h2>h</h2>").otherwise(""), F.lit("<p>"), F.when(i % 3 == 2, F.substr(s, F.lit(1), F.expr("char_length(s) div 2"))).otherwise(s),
-        F.format_string('<sup id="r%d" class="reference"><a href="./T#n%d">[%d]</a></sup>', i, i % 6, i + 1), F.when(i % 3 == 0, "").when(i % 3 == 1, ", ").otherwise(F.substr(s, F.expr("char_length(s) div 2 + 1"))),
+        F.when(i % 10 == 9, "<h2>h</h2>").otherwise(""), F.lit("<p>"), F.when(i % 3 == 2, F.substr(s, F.lit(1), half(s))).otherwise(s),
+        F.format_string('<sup id="r%d" class="reference"><a href="./T#n%d">[%d]</a></sup>', i, i % 6, i + 1), F.when(i % 3 == 0, "").when(i % 3 == 1, ", ").otherwise(F.substr(s, half(s) + 1)),
         F.format_string('<sup id="s%d" class="reference"><a href="#m">[0]</a></sup></p>', i),
     )
     notes = F.lit(
@@ -469,9 +470,9 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<li id="n4"><a href="https://archive.is/x">y</a><a href="https://web.archive.org/web/1/https://c.example/">c</a></li><li id="m"><a href="https://archive.is/x">y</a><a href="https://b.example/">b</a></li>'
         '<li><cite id="CITEREFa">A</cite> <a href="https://full.example/a">f</a></li><li><cite id="CITEREFb">B <a href="https://full.example/b">f</a></cite></li></ol>'
     )
-    lines = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1)).alias("i", "s"))
-    docs = lines.select("doc_id", F.struct("i", line(F.col("s"), F.col("i")).alias("html")).alias("x")).groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["html"]), ""), notes).alias("html"))
-    found = X.extract_citations(docs)
+    lines = F.transform(F.split(F.regexp_replace("text", "[<>&\\[\\]]", ""), "\n", -1), lambda s, i: line(s, i))
+    docs = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(F.array_join(lines, ""), notes).alias("html"))
+    found = X.extract_citations(docs, containers=False)
     return found.select("doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", F.array_join("group_citation_numbers", " ").alias("group_numbers"), "section", "occurrence", "total_occurrences")
 
 

@@ -73,3 +73,15 @@ def test_time_grows_with_the_article(spark):
 
     took(500)
     assert took(16_000) < 8 * 4 * took(4_000)
+
+
+def test_texts_of_containers_are_left_out_of_what_is_shuffled(spark):
+    """Citations are the same with and without them, and none is written with the claims."""
+    from corrobora.operators.citations import cited, tokens
+
+    html = '<p>One claim that is long enough<sup id="r" class="reference"><a href="#n">[1]</a></sup><sup id="s" class="reference"><a href="#n">[2]</a></sup></p><ol><li id="n"><a href="https://a.example/">a</a></li></ol>'
+    frame = spark.createDataFrame([("a", html), ("b", html + html)], "doc_id string, html string")
+    whole, bare = extract_citations(frame), extract_citations(frame, containers=False)
+    assert "container_text" in whole.columns and "container_text" not in bare.columns and bare.count() == 6
+    assert sorted(map(str, whole.drop("container_text").collect())) == sorted(map(str, bare.collect()))
+    assert "container" not in cited(tokens(frame)).columns
