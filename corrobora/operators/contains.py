@@ -1,5 +1,10 @@
-"""Quotes found inside texts, by blocking on words that a containing text has whole.
+"""Quotes found inside texts.
 
+Quotes of at most ``MOST_ANCHORS`` different texts and ``MOST_BYTES`` go to every
+task, which looks for all of them in one pass over its texts (:mod:`scan`): texts
+are read once and neither shuffled nor written, only what is found is.
+
+More quotes meet the texts by blocks, on words that a containing text has whole.
 A quote's inner words stand whole in a text that contains it. A quote of five
 words or more has as its block one window of three inner words, one of three or
 four words a single inner word: the one that the fewest quotes share. Texts meet
@@ -16,14 +21,20 @@ with such a word are searched for the quote.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corrobora.functions.quotes import comparable
+from corrobora.operators.scan import Quotes, scan
 from corrobora.sources.shared import materialize
 
-#: Rows of blocks (hashes, or words with their quotes) that may be broadcast; characters of a block of a short quote.
+#: Quotes, or rows of blocks (hashes, or words with their quotes), that may be broadcast; characters of a block of a short quote.
 MOST_ANCHORS, GRAM = 1_000_000, 3
+#: Bytes of quotes that may be broadcast.
+MOST_BYTES = 16 << 20
 _SPACES = r" \t\n\r\f\u000B"
 
 
@@ -94,9 +105,17 @@ def _met(texts: DataFrame, inner: DataFrame, k: int) -> DataFrame:
     return have.join(F.broadcast(anchors) if n <= MOST_ANCHORS else anchors, "block").select("doc_id", "item_id").distinct()
 
 
-def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the text contains the quote. texts: doc_id, text; quotes: item_id, quote."""
-    texts, quotes = texts.select("doc_id", "text"), quotes.where(F.length("quote") > 0).select("item_id", "quote")
+def _scanned(texts: DataFrame, quotes: DataFrame, different: DataFrame) -> DataFrame:
+    """(doc_id, item_id) by one pass over the texts for all quotes; ``different``: number, quote, each quote once."""
+    rows = different.select("number", F.col("quote").cast("binary").alias("quote")).toArrow()  # at most MOST_ANCHORS rows and MOST_BYTES
+    known = texts.sparkSession.sparkContext.broadcast(Quotes(rows.column("quote").to_pylist(), rows.column("number").to_pylist()))
+    found = texts.mapInArrow(partial(scan, quotes=known), StructType([texts.schema["doc_id"], StructField("number", LongType())]))
+    items = quotes.join(different, "quote").select("number", "item_id")
+    return found.join(F.broadcast(items) if items.count() <= MOST_ANCHORS else items, "number").select("doc_id", "item_id").distinct()
+
+
+def _blocked(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of any number of quotes, by blocks."""
     cut = quotes.select("item_id", "quote", F.explode(F.array(_words(F.col("quote")))).alias("w"))
     inner = cut.where(F.size("w") >= 3).select("item_id", "quote", F.explode(F.array(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
     met = _met(texts, inner.where(F.size("w") >= 3), 3).union(_met(texts, inner.where(F.size("w") < 3), 1))
@@ -106,7 +125,22 @@ def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     return met.join(quotes, "item_id").join(texts, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
 
 
+def _containing(texts: DataFrame, quotes: DataFrame, made: bool) -> DataFrame:
+    """``made``: texts are computed, so that they are written where they are read more than once."""
+    texts = texts.select("doc_id", "text")
+    quotes = materialize(quotes.where(F.length("quote") > 0).select("item_id", "quote"), "quotes")
+    different = materialize(quotes.select("quote").distinct().withColumn("number", F.monotonically_increasing_id()), "different")
+    n, size = different.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("quote")), F.lit(0))).first()
+    if n <= MOST_ANCHORS and size <= MOST_BYTES:
+        return _scanned(texts, quotes, different)
+    return _blocked(materialize(texts, "texts") if made else texts, quotes)
+
+
+def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where the text contains the quote. texts: doc_id, text; quotes: item_id, quote."""
+    return _containing(texts, quotes, made=False)
+
+
 def containing_normalized(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """The same for texts and quotes in the form in which quotes are compared: entities, quotation marks, dashes, spaces and case do not matter."""
-    texts = materialize(texts.select("doc_id", comparable("text").alias("text")), "comparable")  # read for the words and again for the search
-    return containing(texts, quotes.select("item_id", comparable("quote").alias("quote")))
+    return _containing(texts.select("doc_id", comparable("text").alias("text")), quotes.select("item_id", comparable("quote").alias("quote")), made=True)

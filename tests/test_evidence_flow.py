@@ -165,6 +165,40 @@ def test_normalized_containment(spark):
     assert containing(texts, quotes).count() == 0 and [tuple(r) for r in containing_normalized(texts, quotes).collect()] == [(1, 1)]
 
 
+def test_quotes_are_found_in_one_pass_over_the_texts(spark, monkeypatch):
+    from corrobora.operators import contains
+
+    written, materialize = [], contains.materialize
+    monkeypatch.setattr(contains, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    texts = spark.createDataFrame([(1, "A caf\u00e9 & \u201cmany words\u201d"), (1, "other  WORDS"), (2, None), (3, ""), (None, "words")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "Words"), (1, "other words"), (2, "words"), (3, '"MANY  words"'), (4, ""), (5, None), (6, "\u00e9"), (None, "many")], "item_id long, quote string")
+    got = containing_normalized(texts, quotes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, got.collect()))) == ["(1, 1)", "(1, 2)", "(1, 3)", "(1, 6)", "(1, None)", "(None, 1)", "(None, 2)"]
+    assert written == ["quotes", "different"] and plan.count("Exchange hashpartitioning(doc_id") == 1 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(contains, "MOST_BYTES", 20)  # more quotes than go to every task
+    assert sorted(map(tuple, containing_normalized(texts.where("doc_id IS NOT NULL"), quotes.where("item_id IS NOT NULL")).collect())) == [(1, 1), (1, 2), (1, 3), (1, 6)]
+    assert containing(texts, quotes.where("item_id > 3 AND item_id < 6")).count() == 0
+
+
+def test_the_scan_is_containment(monkeypatch):
+    import pyarrow as pa
+
+    from corrobora.operators import scan
+
+    rng = random.Random(8)
+    for slab, places in ((7, 1), (64, 5), (1 << 16, 1 << 18)) * 20:
+        monkeypatch.setattr(scan, "SLAB", slab)
+        monkeypatch.setattr(scan, "PLACES", places)
+        some = lambda most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+        letters = rng.choice(["ab", "ab\u00e9", "a \u20ac\U0001d11eb \n", "\x00a"])
+        texts = [some(rng.choice([1, 6, 200])) for _ in range(rng.randrange(12))]
+        quotes = sorted({some(rng.choice([3, 9, 18, 40])) for _ in range(20)} | {t[3:][: rng.randrange(60)] for t in texts}, key=lambda q: rng.random())
+        quotes = [q for q in quotes if q]
+        rows, numbers = scan.Quotes([q.encode() for q in quotes], [10 * i for i in range(len(quotes))]).found(pa.array([None, "ab", *texts, None], pa.string())[2:])
+        assert sorted(zip(rows.tolist(), numbers.tolist())) == [(i, 10 * j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if q in t]
+
+
 def test_comparable_is_the_sequential_form(spark):
     from corrobora.functions import quotes as Q
 
