@@ -1,35 +1,41 @@
-"""Citations read from article html: one parser pass to a token table, the rest as windows and joins.
-
-``tokens`` reads each article once and lays down what relations need, linear in
-the article's length (nested elements are ranges of one numbering):
-
-* ``place``: a reference inside a container, with the text since the reference
-  before it (``lead``; the container's start for the first one) and the same
-  with that reference's own text (``run``);
-* ``anchor``: a link inside a reference, its number, address and section;
-* ``box``: the text of a container of references;
-* ``note``: an element that a reference or a short cite points to, its text, its
-  links and those of the list item around it.
-
-Runs of adjacent references are islands of places whose leads are blank, a
-claim is what stands in its island up to its reference, footnotes and short
-cites (``#CITEREF``) are two left joins of citations with notes. A citation
-belongs to the run in its own container; where containers with references of
-their own nest, the outermost such run counts.
+"""Citations read from article html: one parser pass to a table of tokens, the rest as windows and joins.
+
+``tokens`` reads each article once into a row, linear in the article's length
+(nested elements are ranges of one numbering):
+
+* ``pieces``: the article's text, cut wherever a range that is asked for begins
+  or ends, so that a text is a slice of them;
+* ``anchors``: the links inside references of a container, with number, address
+  and section; ``first`` to ``last`` are the pieces from the beginning of the
+  reference's run to it, ``opens`` to ``closes`` those of its container, and
+  ``shows`` to ``hides`` those that a dataset's review shows;
+* ``places``: references once more for each further container around them;
+* ``notes``: elements that a reference or a short cite points to, their text,
+  their links and those of the list item around them.
+
+Runs of adjacent references are islands of one container with white space at
+most between them, and a claim is what stands in its island up to its reference.
+A citation belongs to the run in its own container; where containers with
+references of their own nest, the outermost such run counts.
+
+Texts stay where they were read: thresholds are tested beside the pieces, numbers,
+groups and addresses are found on rows without texts, and the pieces meet these
+once, at the end.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import cleaned, collapse, js_trim
+from corrobora.functions.text import JS_SPACE, cleaned, collapse, js_trim
 from corrobora.functions.urls import footnote_url, fragment, page_number
 from corrobora.sources.shared import materialize
 
@@ -41,13 +47,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES = {"li": ("ul", "ol"), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",), "dd": ("dl",), "dt": ("dl",)}
 
-TOKENS = (
-    "art long, doc_id string, kind string, at int, wrapper int, box int, own boolean, name string, text string, run string, href string, section int, container string, "
-    "links array<string>, item array<string>"
-)
-_NAMES = [c.split()[0] for c in TOKENS.split(", ")]
-_LIST = pa.list_(pa.string())
-_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": _LIST}[c.split()[1]]) for n, c in zip(_NAMES, TOKENS.split(", "), strict=True)])
+_BLANK = re.compile(f"[{JS_SPACE}]*")
+
+#: The lists of an article's row, by the kind of token.
+_LISTS = {
+    "places": "wrapper int, box int, island int",
+    "anchors": "at int, wrapper int, box int, island int, first int, last int, opens int, closes int, shows int, hides int, name string, text string, href string, section int",
+    "notes": "name string, text string, links array<string>, item array<string>",
+}
+TOKENS = "art long, doc_id string, pieces array<string>, " + ", ".join(f"{k} array<struct<{v.replace(' ', ':').replace(',:', ', ')}>>" for k, v in _LISTS.items())
+_TYPES = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([("art", pa.int64()), ("doc_id", pa.string()), ("pieces", _TYPES["array<string>"]), *((k, pa.list_(pa.struct([(c.split()[0], _TYPES[c.split()[1]]) for c in v.split(", ")]))) for k, v in _LISTS.items())])
 
 
 class Element:
@@ -116,27 +126,39 @@ class Article(HTMLParser):
 
 
 def article_tokens(html: str) -> Iterator[dict]:
-    """The tokens of one article, without its name."""
+    """The tokens of one article, without its name; the pieces of its text come last."""
     page = Article(html)
     wrappers = [e for e in page.elements if e.wrap is e]
     anchors = [e for e in page.elements if e.tag == "a" and e.over is not None and e.over.wrap is not None]
     headings = [e.start for e in page.elements if e.tag in ("h2", "h3", "h4", "h5", "h6")]
     orders = [w.order for w in wrappers]
     boxes = {w.box.order: w.box for w in wrappers if w.box is not None}
+    runs: dict[int, tuple[int, int]] = {}
     for box in boxes.values():
-        before = None
+        before, island, begin = None, 0, box.start
         for w in wrappers[bisect_right(orders, box.order) : bisect_right(orders, box.last)]:
-            yield {
-                "kind": "place", "wrapper": w.order, "box": box.order, "own": w.box is box, "text": page.text[before.end if before else box.start : w.start], "run": page.text[before.start : w.start] if before else None,
-            }
+            if before is not None and not _BLANK.fullmatch(page.text, before.end, max(before.end, w.start)):
+                island, begin = island + 1, before.end
+            yield {"kind": "place", "wrapper": w.order, "box": box.order, "own": w.box is box, "island": island}
+            if w.box is box:
+                runs[w.order] = (island, begin)
             before = w
-        yield {"kind": "box", "box": box.order, "text": page.text[box.start : box.end]}
-    wanted = set()
+    wanted, found = set(), []
     for a in anchors:
         w, href = a.over.wrap, a.attrs.get("href", "")
         wanted.add(href.partition("#")[2])
-        shown = page.text[w.shown.start : w.shown.end] if w.shown else ""
-        yield {"kind": "anchor", "at": a.order, "wrapper": w.order, "name": w.attrs.get("id"), "text": page.text[a.start : a.end], "href": href, "section": bisect_right(headings, w.start), "container": shown}
+        if w.box is not None:
+            island, begin = runs[w.order]
+            shown = (w.shown.start, w.shown.end) if w.shown else (0, 0)
+            found.append((a, w, href, island, (begin, w.start, w.box.start, w.box.end, *shown)))
+    cuts = sorted({0, len(page.text)}.union(*(x[-1] for x in found)))
+    piece = {c: i for i, c in enumerate(cuts)}
+    for a, w, href, island, ends in found:
+        first, last, opens, closes, shows, hides = (piece[c] for c in ends)
+        yield {
+            "kind": "anchor", "at": a.order, "wrapper": w.order, "box": w.box.order, "island": island, "first": first, "last": last, "opens": opens, "closes": closes, "shows": shows, "hides": hides,
+            "name": w.attrs.get("id"), "text": page.text[a.start : a.end], "href": href, "section": bisect_right(headings, w.start),
+        }
     links = [e for e in page.elements if e.tag == "a" and "href" in e.attrs]
     places = [e.order for e in links]
     ids: dict[str, Element] = {}
@@ -151,88 +173,96 @@ def article_tokens(html: str) -> Iterator[dict]:
     for name in sorted(wanted & ids.keys()):
         e = ids[name]
         yield {"kind": "note", "name": name, "text": page.text[e.start : e.end], "links": within(e), "item": within(e.item) if e.item is not None and e.item is not e else []}
+    yield {"kind": "text", "pieces": [page.text[i:j] for i, j in zip(cuts, cuts[1:])]}
 
 
-def _read(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], rows: int = 20_000, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Articles as rows, in batches of about so many tokens or characters of html."""
     out: list[dict] = []
+    size = length = 0
     for batch in batches:
-        for art, doc_id, html in zip(*(batch.column(c).to_pylist() for c in ("art", "doc_id", "html")), strict=True):
-            out.extend({"art": art, "doc_id": doc_id, **token} for token in article_tokens(html or ""))
-            if len(out) >= rows:
+        for art, doc_id, html in zip(*(batch.column(c) for c in ("art", "doc_id", "html")), strict=True):
+            row = {"art": art.as_py(), "doc_id": doc_id.as_py(), "places": [], "anchors": [], "notes": []}
+            whole = html.as_py() or ""
+            for token in article_tokens(whole):
+                size += 1
+                if token["kind"] == "text":
+                    row["pieces"] = token["pieces"]
+                elif token["kind"] != "place" or not token["own"]:  # an own place is told by its anchors
+                    row[token["kind"] + "s"].append(token)
+            out.append(row)
+            length += len(whole)
+            if size >= rows or length >= chars:
                 yield pa.RecordBatch.from_pylist(out, _ARROW)
-                out = []
+                out, size, length = [], 0, 0
     if out:
         yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
 def tokens(articles: DataFrame) -> DataFrame:
-    """The token table of the articles' html (columns doc_id, html), written once; ``art`` numbers the articles."""
+    """The tokens of the articles' html (columns doc_id, html), a row an article, written once; ``art`` numbers the articles."""
     named = articles.select(F.monotonically_increasing_id().alias("art"), F.col("doc_id").cast("string").alias("doc_id"), "html")
     return materialize(named.mapInArrow(_read, TOKENS), "tokens")
 
 
-def places(table: DataFrame) -> DataFrame:
-    """References in their containers: the island each is in and the text of the island up to it."""
-    order = Window.partitionBy("art", "box").orderBy("wrapper")
-    opens = F.col("run").isNull() | (F.char_length(js_trim("text")) > 0)
-    numbered = table.where("kind = 'place'").withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("int")).over(order))
-    run = Window.partitionBy("art", "box", "island").orderBy("wrapper").rowsBetween(Window.unboundedPreceding, 0)
-    said = F.array_join(F.collect_list(F.when(F.col("opens"), F.col("text")).otherwise(F.col("run"))).over(run), "")
-    return numbered.select("art", "box", "wrapper", "own", "island", said.alias("said"))
+def _text(first: str, last: str) -> Column:
+    """The text of a range of pieces."""
+    return F.array_join(F.slice("pieces", F.col(first) + 1, F.col(last) - F.col(first)), "")
 
 
 def cited(table: DataFrame, least: int = LEAST_CLAIM) -> DataFrame:
-    """Citations with a claim of at least ``least`` characters."""
-    own = places(table).where("own").select("art", "wrapper", "box", "said")
-    anchors = table.where("kind = 'anchor'").select("art", "doc_id", "at", "wrapper", "name", "section", fragment("href").alias("ref_id"), F.col("text").alias("number")).where("ref_id IS NOT NULL")
-    boxes = table.where("kind = 'box'").select("art", "box", F.col("text").alias("whole"))
-    claims = anchors.join(own.withColumn("claim", cleaned("said")).drop("said"), ["art", "wrapper"]).withColumn("short", F.char_length("claim") < 10)
-    joined = claims.alias("c").join(boxes.alias("b"), (F.col("c.art") == F.col("b.art")) & (F.col("c.box") == F.col("b.box")) & F.col("short"), "left").select("c.*", "whole")
-    kept = joined.withColumn("claim_text", F.when(F.col("short"), cleaned("whole")).otherwise(F.col("claim"))).where(F.char_length("claim_text") >= least).drop("claim", "whole", "short", "box")
-    return kept.withColumn("citation_number", js_trim(F.regexp_replace("number", r"[\[\]]", ""))).drop("number")
-
-
-def grouped(citations: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds the group of each citation: the outermost run that holds its reference and a citation of the run's own container. Of several links in one reference the last is a member."""
-    last = citations.withColumn("from_end", F.row_number().over(Window.partitionBy("art", "wrapper").orderBy(F.desc("at")))).where("from_end = 1").select("art", "wrapper", "at", "name", "ref_id", "citation_number")
-    runs = places(table).select("art", "wrapper", "box", "island", "own").join(last, ["art", "wrapper"])
-    runs = runs.withColumn("holds", F.max("own").over(Window.partitionBy("art", "box", "island"))).where("holds")
-    outermost = runs.withColumn("rank", F.row_number().over(Window.partitionBy("art", "wrapper").orderBy("box"))).where("rank = 1")
-    group = Window.partitionBy("art", "box", "island").orderBy("wrapper")
+    """Citations with a claim of at least ``least`` characters, as ranges of pieces.
+
+    What is cleaned away is white space or begins with a bracket, so that enough other characters before any bracket settle most claims.
+    """
+    anchors = table.select("art", "pieces", F.inline("anchors")).withColumn("ref_id", fragment("href")).where("ref_id IS NOT NULL")
+    enough, own, box = max(10, least), _text("first", "last"), _text("opens", "closes")
+    said, whole = F.char_length(cleaned(own)), F.char_length(cleaned(box))
+    kept = anchors.where(own.rlike(rf"^(?:[{JS_SPACE}]*[^{JS_SPACE}\[]){{{enough}}}") | (said >= enough) | ((said < 10) & (whole >= least)))
+    return kept.withColumn("citation_number", js_trim(F.regexp_replace("text", r"[\[\]]", ""))).drop("pieces", "text", "href")
+
+
+def numbered(citations: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds position, occurrences and group: the outermost run that holds the reference and a citation of the run's own container. Of several links in one reference the last is a member.
+
+    All windows are of one article or less, so that its rows meet once.
+    """
+    further = table.select("art", F.inline("places")).withColumn("own", F.lit(False))
+    rows = citations.withColumn("own", F.lit(True)).unionByName(further, allowMissingColumns=True).repartition("art")
+    run, reference = Window.partitionBy("art", "box", "island"), Window.partitionBy("art", "wrapper")
+    rows = rows.withColumns({"last_at": F.max("at").over(reference), "holds": F.max("own").over(run)})
+    rows = rows.withColumn("home", F.min(F.when(F.col("holds"), F.struct("box", "island"))).over(reference)).where("own").drop("box", "island", "own", "holds")
+    rows = rows.withColumns({"box": F.col("home.box"), "island": F.col("home.island"), "member": F.col("at") == F.col("last_at")}).drop("home", "last_at")
+    group = Window.partitionBy("art", "box", "island", "member").orderBy("wrapper")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    members = outermost.select(
-        "art", "at", F.first(F.coalesce(F.nullif("name", F.lit("")), "ref_id")).over(whole).alias("group_id"), F.count("*").over(whole).cast("int").alias("group_size"),
-        (F.row_number().over(group) - 1).alias("group_index"), F.collect_list("citation_number").over(whole).alias("group_citation_numbers"),
-    )
-    return citations.join(members, ["art", "at"], "left")
+    of_group = {
+        "group_id": F.first(F.coalesce(F.nullif("name", F.lit("")), "ref_id")).over(whole), "group_size": F.count("*").over(whole).cast("int"),
+        "group_index": F.row_number().over(group) - 1, "group_citation_numbers": F.collect_list("citation_number").over(whole),
+    }
+    rows = rows.withColumns({k: F.when(F.col("member"), v) for k, v in of_group.items()}).drop("box", "island", "member", "name", "wrapper")
+    same = Window.partitionBy("art", "citation_number")
+    return rows.withColumns({"pos": F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1, "occurrence": F.row_number().over(same.orderBy("at")), "total_occurrences": F.count("*").over(same).cast("int")})
 
 
 def resolved(citations: DataFrame, table: DataFrame) -> DataFrame:
     """Adds url and page_num: the footnote's own link, else the full citation's that a short cite names, else that of the list item around it."""
-    notes = table.where("kind = 'note'").select("art", "name", "text", "links", "item")
+    notes = table.select("art", F.inline("notes"))
     foot = notes.select("art", F.col("name").alias("ref_id"), footnote_url("links").alias("direct"), page_number(collapse("text")).alias("page_num"), F.substring(F.get(F.filter("links", lambda x: x.startswith("#CITEREF")), F.lit(0)), 2, 1 << 30).alias("cite"))
-    full = notes.select("art", F.col("name").alias("cite"), F.coalesce(footnote_url("links"), footnote_url("item")).alias("second"))
+    full = notes.where(F.col("name").startswith("CITEREF")).select("art", F.col("name").alias("cite"), F.coalesce(footnote_url("links"), footnote_url("item")).alias("second"))
     found = foot.join(full, ["art", "cite"], "left").select("art", "ref_id", F.coalesce("direct", "second").alias("url"), "page_num")
     return citations.join(found, ["art", "ref_id"], "left")
 
 
 def extract_citations(articles: DataFrame, least: int = LEAST_CLAIM, containers: bool = True) -> DataFrame:
-    """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows, left out without ``containers``.
-
-    Numbers, groups and addresses are found on rows without texts, which are joined to their citations once, at the end.
-    """
+    """One row a citation of the articles' html (columns doc_id, html). ``container_text`` is what a dataset's review shows, left out without ``containers``."""
     table = tokens(articles)
-    whole = materialize(cited(table, least), "cited")
-    narrow = whole.drop("claim_text").withColumn("pos", F.row_number().over(Window.partitionBy("art").orderBy("at")) - 1)
-    found = resolved(grouped(narrow, table), table)
-    same = Window.partitionBy("art", "citation_number")
-    found = found.withColumns({"occurrence": F.row_number().over(same.orderBy("pos")), "total_occurrences": F.count("*").over(same).cast("int")})
-    found = found.join(whole.select("art", "at", "claim_text"), ["art", "at"])
+    found = numbered(resolved(cited(table, least), table), table)
+    texts = {"claim_text": F.when(F.char_length("said") < 10, cleaned(_text("opens", "closes"))).otherwise(F.col("said"))}
+    if containers:
+        texts["container_text"] = collapse(_text("shows", "hides"))
     names = ["doc_id", "pos", "ref_id", "citation_number", "claim_text", "url", "page_num", "group_id", "group_size", "group_index", "group_citation_numbers", "section", "occurrence", "total_occurrences"]
-    if not containers:
-        return found.select(*names)
-    shown = table.where("kind = 'anchor'").select("art", "at", collapse("container").alias("container_text"))
-    return found.join(shown, ["art", "at"]).select(*names, "container_text")
+    whole = found.join(table.select("art", "doc_id", "pieces"), "art").withColumn("said", cleaned(_text("first", "last")))
+    return whole.select(*(texts[n].alias(n) if n in texts else n for n in (*names, *(["container_text"] if containers else []))))
 
 
 def by_number(citations: DataFrame, number: str, occurrence: int = 1) -> DataFrame:

@@ -85,3 +85,43 @@ def test_texts_of_containers_are_left_out_of_what_is_shuffled(spark):
     assert "container_text" in whole.columns and "container_text" not in bare.columns and bare.count() == 6
     assert sorted(map(str, whole.drop("container_text").collect())) == sorted(map(str, bare.collect()))
     assert "container" not in cited(tokens(frame)).columns
+
+
+def test_an_article_s_text_is_shuffled_once(spark):
+    """Bytes shuffled stay near the text's own, however many windows and joins there are."""
+    rng = random.Random(3)
+    claim = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1500))
+    two = lambda i: "".join(f'<sup id="{x}{i}" class="reference"><a href="#n">[{i}]</a></sup>' for x in "rs")
+    pages = [(d, "".join(f"<p>{claim()}{two(i)}</p>" for i in range(40))) for d in range(8)]
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    args = (None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+
+    def shuffled():
+        found = store.stageList(*args)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        rows = extract_citations(spark.createDataFrame(pages, "doc_id long, html string").repartition(2), containers=False)
+        between = shuffled()  # the articles themselves were dealt out
+        rows.write.format("noop").mode("overwrite").save()
+        spent = shuffled() - between
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert between > before and rows.count() == 640
+    assert spent < 1.5 * 8 * 40 * 1500
+
+
+def test_brackets_white_space_and_empty_references(spark):
+    """Claims that cleaning leaves short take their container's text; an empty reference at the start is a run of its own."""
+    ref = lambda n, text="": f'<sup id="r{n}" class="reference"><a href="#n">{text}</a></sup>'
+    html = (
+        f"<p>{ref(1)}A claim after an empty one{ref(2, '[2]')}</p><p>[1234567890123][citation needed] short{ref(3, '[3]')} but its container is long</p>"
+        f"<p>  x y 　 z{ref(4, '[4]')}</p><p>(a) ten cha{ref(5, '[5]')}</p><p>[note one] and [vague] more{ref(6, '[6]')}</p>"
+    )
+    rows = sorted(extract_citations(spark.createDataFrame([(1, html)], "doc_id long, html string")).collect(), key=lambda r: r["pos"])
+    assert [(r["citation_number"], r["claim_text"], r["group_id"], r["group_size"]) for r in rows] == [
+        ("", "A claim after an empty one", "r1", 1), ("2", "A claim after an empty one", "r2", 1), ("3", "short but its container is long", "r3", 1),
+        ("5", "(a) ten cha", "r5", 1), ("6", "[note one] and more", "r6", 1)]
