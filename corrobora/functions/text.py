@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 JS_SPACE = r"\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: The same for RE2 (DuckDB).
 JS_SPACE_RE2 = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: Runs of white space in Java's syntax; visible ASCII is ruled out by one comparison.
+_SPACES = f"[[^!-~]&&[{JS_SPACE}]]+"
 #: Maintenance markers in claims.
 MARKERS = (
     r"(?i)\[(failed verification|verification needed|citation needed|better source[^\]]*|dubious[^\]]*|unreliable source[^\]]*|clarification needed|disputed[^\]]*|page needed"
@@ -42,7 +44,8 @@ def collapse(c: Column | str) -> Column:
 
 def cleaned(c: Column | str) -> Column:
     """A text without citation numbers and maintenance markers; null is empty."""
-    return collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\[[0-9]+\]", ""), f"[{JS_SPACE}]+", " "), MARKERS, ""))
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\[[0-9]+\]", ""), _SPACES, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, MARKERS, ""), " {2,}", " "))
 
 
 def clean_claim(text: Column | str, container: Column | str) -> Column:
